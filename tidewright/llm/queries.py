@@ -8,7 +8,8 @@ from .near_dup import op10_setsketch
 from .quality import op5_covariance_determinant
 from .sharding import op1_balanced_label_propagation
 from .tokens import op2_ranked_byte_codes
+from .toxicity import op7_label_model
 from .warc import op8_revisit_resolution
 
-QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op2_ranked_byte_codes, op5_covariance_determinant, op8_revisit_resolution, op9_iterative_proportional_fitting, op10_setsketch)}
+QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op2_ranked_byte_codes, op5_covariance_determinant, op7_label_model, op8_revisit_resolution, op9_iterative_proportional_fitting, op10_setsketch)}
 ORACLE_SQL: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE, "op9_iterative_proportional_fitting": mixing.oracle()}
