@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import mixing, warc
+from .decontamination import op4_simhash_windows
+from .html_text import op6_block_rules
 from .mixing import op9_iterative_proportional_fitting
 from .near_dup import op10_setsketch
 from .quality import op5_covariance_determinant
@@ -11,5 +13,5 @@ from .tokens import op2_ranked_byte_codes
 from .toxicity import op7_label_model
 from .warc import op8_revisit_resolution
 
-QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op2_ranked_byte_codes, op5_covariance_determinant, op7_label_model, op8_revisit_resolution, op9_iterative_proportional_fitting, op10_setsketch)}
+QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op2_ranked_byte_codes, op4_simhash_windows, op5_covariance_determinant, op6_block_rules, op7_label_model, op8_revisit_resolution, op9_iterative_proportional_fitting, op10_setsketch)}
 ORACLE_SQL: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE, "op9_iterative_proportional_fitting": mixing.oracle()}
