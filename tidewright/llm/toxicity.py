@@ -193,5 +193,17 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those rows of docs (doc_id, text and any others) that the classifier does not find toxic, in one pass over the texts."""
+    model = fit(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Hits(model.entries)
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array(model.score(utf8(batch.column("text")), hits) < TOXIC))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
