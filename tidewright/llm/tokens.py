@@ -8,6 +8,7 @@ frequency, so that common ids take one byte. The table of ranks is stored beside
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, settle, slices, table, utf8
+from .common import release, scratch, settle, slices, table, utf8
 
 #: Ids that a block has, unless its last document is longer.
 BLOCK_IDS = 1 << 19
 #: Distinct words whose ids a task keeps.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 
+#: A word as what comes first and the ASCII punctuation (no apostrophe) that ends it.
+TAIL = re.compile(rb"(.*?)([!-&(-/:-@\[-`{-~]*)", re.S)
 #: By control byte: the four lengths.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -54,26 +57,51 @@ def decode_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class WordMemo:
-    """Ids of whole texts, each distinct word being encoded once. Exact for tokenizers whose tokens never cross ASCII white space."""
+    """Ids of whole texts, each distinct word being encoded once. Exact for tokenizers whose tokens cross neither
+    ASCII white space nor the edge between a run of letters and ASCII punctuation after it, and that lower-case."""
+
+    held: dict[str, "WordMemo"] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces: dict[bytes, list[int]] = {}
         self.clear()
 
+    @classmethod
+    def of(cls, path: str) -> "WordMemo":
+        """The one of this Python worker, which its tasks share."""
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
+
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    @staticmethod
+    def split(word: bytes) -> tuple[bytes, ...]:
+        """The letters, lower-cased, and the punctuation after them; the word itself if it is anything else."""
+        core, tail = TAIL.fullmatch(word).groups()
+        if core.isalpha():
+            return (core.lower(), tail) if tail else (core.lower(),)
+        return (core, tail) if tail and core.decode().isalpha() else (word,)
+
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > MEMO_WORDS:
             self.clear()
+        if len(self.pieces) > MEMO_WORDS:
+            self.pieces.clear()
         words = [t.split() for t in texts]
         every = list(chain.from_iterable(words))
         new = list(dict.fromkeys(w for w in every if w not in self.index))
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+            parts = [self.split(w) for w in new]
+            fresh = list(dict.fromkeys(p for w in parts for p in w if p not in self.pieces))
+            coded = self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)
+            self.pieces.update(zip(fresh, (e.ids for e in coded), strict=True))
+            got = [[i for p in w for i in self.pieces[p]] for w in parts]
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
             self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint32)])
@@ -81,73 +109,85 @@ class WordMemo:
         k = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
         size = self.size[k]
         ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.start[k] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)] if len(k) else self.pool[:0]
+        ids = self.pool[np.repeat(self.start[k] - ends + size, size) + np.arange(ends[-1])] if len(k) else self.pool[:0]
         cuts = np.cumsum([len(w) for w in words])[:-1]
         return np.split(ids, np.concatenate([[0], ends])[cuts])
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Rows (doc_id, ids): ids of the whole text (null: empty) and end_id, as little-endian unsigned 32-bit integers."""
+def token_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """Blocks (part, block, doc_ids, lengths, n_ids, ids) of documents in ascending doc_id order (null first).
+
+    ids has the whole text's ids (null: none) and end_id for each document, little-endian, 16 bits each if the
+    vocabulary allows, else 32.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = WordMemo(tokenizer), np.array([end_id], "<u4")
-        for batch in slices(batches, "text"):
+        from pyspark import TaskContext
+
+        memo = WordMemo.of(tokenizer)
+        kind = "<u2" if memo.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        part, block, docs, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def cut() -> pa.RecordBatch:
+            body = np.concatenate([np.append(x, end_id).astype(kind) for x in ids]).tobytes()
+            n = pa.array([[len(x) + 1 for x in ids]], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), n, pa.array([held], pa.int64()), pa.array([int(kind[2])], pa.int32()), pa.array([body], pa.binary())], ["part", "block", "doc_ids", "lengths", "n_ids", "width", "ids"])
+
+        for batch in slices(batches, "text", 2 << 20):
             got = memo([t or b"" for t in utf8(batch.column("text"))])
-            ids = [np.concatenate([x, end]).astype("<u4").tobytes() for x in got]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for d, x in zip(batch.column("doc_id").to_pylist(), got, strict=True):
+                if ids and held + len(x) >= BLOCK_IDS:
+                    yield cut()
+                    block, docs, ids, held = block + 1, [], [], 0
+                docs.append(d)
+                ids.append(x)
+                held += len(x) + 1
+        if ids:
+            yield cut()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("doc_id").asc_nulls_first()
+    dealt = docs.select("doc_id", "text").repartitionByRange(n, order).sortWithinPartitions(order)
+    return dealt.mapInArrow(run, "part int, block int, doc_ids array<long>, lengths array<long>, n_ids long, width int, ids binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
+def _plain(r: dict) -> np.ndarray:
+    return np.frombuffer(r["ids"], f"<u{r['width']}")
 
-def id_ranks(tokens: DataFrame) -> np.ndarray:
+
+def id_ranks(blocks: DataFrame) -> np.ndarray:
     """Ids by falling frequency, ties by id. The vocabulary's size bounds what comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in slices(batches, "ids"):
-            got = np.bincount(np.frombuffer(b"".join(utf8(batch.column("ids"))), "<u4"))
-            total = np.pad(total, (0, max(0, len(got) - len(total))))
-            total[: len(got)] += got
+            for r in batch.to_pylist():
+                got = np.bincount(_plain(r))
+                total = np.pad(total, (0, max(0, len(got) - len(total))))
+                total[: len(got)] += got
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r.id for r in sorted(rows, key=lambda r: (-r.n, r.id))], np.uint32)
 
 
-def write_ids(tokens: DataFrame, path: str) -> None:
-    """Write rows (doc_id, ids) in ascending doc_id order (null first) as a file set at path."""
-    by_rank = id_ranks(tokens)
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+    """Write the ids of documents as a file set at path."""
+    blocks = settle(token_blocks(docs, tokenizer, end_id), "ids")
+    release(docs.sparkSession)
+    by_rank = id_ranks(blocks)
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, block, docs, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def cut() -> pa.RecordBatch:
-            control, data = encode_ids(rank[np.concatenate(ids)])
-            n = pa.array([[len(x) for x in ids]], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), n, pa.array([held], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["part", "block", "doc_ids", "lengths", "n_ids", "control", "data"])
-
         for batch in slices(batches, "ids"):
-            for d, x in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("ids")), strict=True):
-                x = np.frombuffer(x, "<u4")
-                if ids and held + len(x) > BLOCK_IDS:
-                    yield cut()
-                    block, docs, ids, held = block + 1, [], [], 0
-                docs.append(d)
-                ids.append(x)
-                held += len(x)
-        if ids:
-            yield cut()
+            coded = [encode_ids(rank[_plain(r)]) for r in batch.to_pylist()]
+            names = ["part", "block", "doc_ids", "lengths", "n_ids"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x, pa.binary()) for x in zip(*coded, strict=True))], [*names, "control", "data"])
 
-    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    schema = "part int, block int, doc_ids array<long>, lengths array<long>, n_ids long, control binary, data binary"
-    dealt.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
-    dealt.sparkSession.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").write.parquet(f"{path}/ranks")
+    blocks.mapInArrow(run, "part int, block int, doc_ids array<long>, lengths array<long>, n_ids long, control binary, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks.sparkSession.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").write.parquet(f"{path}/ranks")
 
 
 def read_ids(spark: SparkSession, path: str, derive: Callable, schema: str) -> DataFrame:
@@ -190,7 +230,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """
     spark = docs.sparkSession
     path = f"{scratch(spark)}/ids-{uuid.uuid4().hex}"
-    write_ids(settle(token_ids(docs, tokenizer, end_id), "ids"), path)
+    write_ids(docs, path, tokenizer, end_id)
     got = read_ids(spark, path, digest, "doc_id long, at long, n_tokens long, ids_crc32 long")
     return got.join(starts(spark, path), ["part", "block"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
