@@ -9,9 +9,10 @@ from .mixing import op9_iterative_proportional_fitting
 from .near_dup import op10_setsketch
 from .quality import op5_covariance_determinant
 from .sharding import op1_balanced_label_propagation
+from .suffix_dedup import op3_difference_cover
 from .tokens import op2_ranked_byte_codes
 from .toxicity import op7_label_model
 from .warc import op8_revisit_resolution
 
-QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op2_ranked_byte_codes, op4_simhash_windows, op5_covariance_determinant, op6_block_rules, op7_label_model, op8_revisit_resolution, op9_iterative_proportional_fitting, op10_setsketch)}
+QUERIES = {f.__name__: f for f in (op1_balanced_label_propagation, op2_ranked_byte_codes, op3_difference_cover, op4_simhash_windows, op5_covariance_determinant, op6_block_rules, op7_label_model, op8_revisit_resolution, op9_iterative_proportional_fitting, op10_setsketch)}
 ORACLE_SQL: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE, "op9_iterative_proportional_fitting": mixing.oracle()}
