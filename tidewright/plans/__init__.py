@@ -1,8 +1,7 @@
 """Registered queries over the given tables, each with DuckDB SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import aggregates, reads
+from .registry import ORACLE_SQL, QUERIES
+from .reads import flagship
 
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "flagship", "reads"]
