@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+
 
 def latest(df: DataFrame, keys: list[str], at: str, ties: bool = True) -> DataFrame:
     """Rows of the largest `at` of each key: with ties all of them, by a join with the maxima, so that no key is sorted in one task."""
@@ -77,3 +79,11 @@ def islands(df: DataFrame, keys: list[str], order: str, good: Column, name: str)
     w = Window.partitionBy(*keys).orderBy(order)
     runs = df.withColumn("_g", F.coalesce(good, F.lit(False))).withColumn("_i", F.sum((~F.col("_g")).cast("int")).over(w))
     return runs.withColumn(name, F.sum(F.col("_g").cast("int")).over(Window.partitionBy(*keys, "_i").orderBy(order))).drop("_g", "_i")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in a total order, from 0: ranges are sorted apart, and offsets come from their counts."""
+    own = settled(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = own.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))  # a row for each range
+    return own.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(offsets, "_p").withColumn(name, F.col("_o") + F.col("_r") - 1).drop("_p", "_o", "_r")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import numbered
+
 
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution by the error function's five-term approximation (absolute error 1.5e-7)."""
@@ -66,7 +68,7 @@ def walk_forward(df: DataFrame, order: list[str], n: int, train: float = 0.7, fo
     """Rows of each expanding fold: fold k is trained on what comes before its test rows. n is the number of rows."""
     first = int(n * train)
     step = max(1, (n - first) // folds)
-    placed = df.withColumn("_p", F.row_number().over(Window.orderBy(*order)) - 1) if n <= 100_000 else df.withColumn("_p", F.percent_rank().over(Window.orderBy(*order)) * n)
+    placed = numbered(df, order, "_p")
     placed = placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     start = first + F.col("fold") * step
     return placed.where(F.col("_p") < start + step).withColumn("part", F.when(F.col("_p") < start, "train").otherwise("test")).drop("_p")

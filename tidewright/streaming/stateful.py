@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,27 +41,22 @@ def without_repeats(df: DataFrame, at: str, keys: list[str], span: str) -> DataF
 
 
 def cooled(df: DataFrame, keys: list[str], at: str, severity: str) -> DataFrame:
-    """Alerts that are not silenced by an earlier one of their key. State is one time for each key, dropped after the longest silence."""
+    """Alerts that are not silenced by an earlier one of their key; `at` is in microseconds. State is one number for each key."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out = ", ".join(f"{c} {kinds[c]}" for c in df.columns)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        until = state.get[0] if state.exists else -math.inf
+        until = state.get[0] if state.exists else 0
         pdf = pd.concat(list(batches)).sort_values(at)
         keep = []
-        for t, s in zip(pdf[at].astype("int64") // 1000, pdf[severity], strict=True):
-            unit = 1 if pdf[at].dtype != "datetime64[ns]" else 1
-            keep.append(t * unit >= until)
+        for t, s in zip(pdf[at], pdf[severity], strict=True):
+            keep.append(t >= until)
             if keep[-1]:
                 until = t + COOLDOWN_HOURS.get(s, 24) * 3_600_000_000
-        state.update((float(until),))
-        state.setTimeoutDuration(COOLDOWN_HOURS["critical"] * 3_600_000)
+        state.update((int(until),))
         yield pdf[keep]
 
-    return df.groupBy(*keys).applyInPandasWithState(step, out, "until double", "append", "ProcessingTimeTimeout")
+    return df.groupBy(*keys).applyInPandasWithState(step, out, "until long", "append", "NoTimeout")
 
 
 def smoothed(df: DataFrame, keys: list[str], at: str, value: str, alpha: float) -> DataFrame:
