@@ -196,6 +196,8 @@ def label_blocks(found: list[Block]) -> None:
         first = ["bad" if k in menus else "near" if (j := judge(b)) == "bad" else j for k, b in enumerate(judged)]
     else:
         first = [judge(b) for b in judged]
+        if "good" not in first:  # a page of middling blocks only
+            first = ["good" if f == "near" else f for f in first]
     edge = "good" if inside else "bad"
     decided = lambda span: next((first[j] for j in span if first[j] in ("good", "bad")), edge)
     for k, b in enumerate(judged):
