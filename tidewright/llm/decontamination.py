@@ -1,10 +1,11 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows.
 
-Items fall into size classes; each class has a window of W words. All windows of an item are fingerprinted, and
-every (W / 4)-th window of a document, so that any copy of an item holds a window that starts where one of the
-document's does. Fingerprints are cut into RADIUS + 1 blocks: two that differ in RADIUS bits at most agree in one
-block, so looking up all blocks finds every pair within the radius. Candidates are verified exactly, by the
-weighted similarity of five-word shingles between the item and the windows of its own size around the place.
+Items fall into size classes; each class has a window of W words, W being as large as any copy of the item that
+reaches the threshold must hold unchanged in one piece. All windows of an item are fingerprinted, and every
+(W / 4)-th window of a document, so that such a piece holds a window that starts where one of the document's does.
+Fingerprints are cut into RADIUS + 1 blocks: two that differ in RADIUS bits at most agree in one block, so looking up
+all blocks finds every pair within the radius. Candidates are verified exactly, by the weighted similarity of
+five-word shingles between the item and the windows of its own size around the place.
 """
 
 from __future__ import annotations
@@ -22,41 +23,50 @@ from .common import slices, table, utf8
 from .shingles import WordHashes, mix
 
 #: Largest number of differing bits, and words of a shingle.
-RADIUS, SHINGLE = 7, 5
+RADIUS, SHINGLE = 3, 5
 #: Weighted similarity from which a document holds an item.
 LEAST = 0.75
-#: Windows in words; an item of n words takes the largest W with 5 W / 4 - 1 <= n, or W = n if there is none.
-LADDER = [w for k in range(3, 12) for w in (1 << k, 3 << (k - 1))]
+#: Windows in words: below 256, for their votes are counted in bytes.
+LADDER = [w for k in range(2, 8) for w in (1 << k, 3 << (k - 1))]
 #: Words by which a verified window may lie off the place that the fingerprints give.
 SHIFT = 3
 #: Items that one scan of the documents looks for.
 ITEMS_A_SCAN = 5_000
+WORD = re.compile(r"\w+")
 
 
-def words_of(text: str) -> list[bytes]:
+def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters, digits and underscores."""
-    return [w.encode() for w in re.findall(r"\w+", text.lower())]
+    return WORD.findall(text.lower())
 
 
 def window_of(n: int) -> tuple[int, int]:
-    """Window and step for an item of n words."""
-    fit = [w for w in LADDER if w + w // 4 - 1 <= n]
-    return (fit[-1], fit[-1] // 4) if fit else (n, 1)
+    """Window and step for an item of n words: what a copy at the threshold leaves in one piece must hold W + step - 1.
+
+    A copy may lose a seventh of the shingles: `lost` words at the ends, or one word inside for every five.
+    """
+    lost = max(0, n - SHINGLE + 1) // 7
+    piece = (n - lost) // (lost // SHINGLE + 1)
+    fit = [w for w in LADDER if w + w // 4 - 1 <= piece]
+    return (fit[-1], fit[-1] // 4) if fit else (max(1, piece), 1)
 
 
-def fingerprints(h: np.ndarray, window: int, step: int) -> np.ndarray:
+def fingerprints(h: np.ndarray, window: int, step: int, sums: np.ndarray | None = None) -> np.ndarray:
     """SimHash of the windows that start at multiples of step: each word's hash votes on 64 bits."""
     if len(h) < window:
         return np.zeros(0, np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    n = len(h) // step
-    sums = bits[: n * step].reshape(n, step, 64).sum(axis=1, dtype=np.int32)
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(sums, axis=0, dtype=np.int32)])
-    k = window // step
-    return np.packbits((sums[k:] - sums[:-k]) * 2 > window, axis=1).view(np.uint64).ravel()
+    sums = running(h) if sums is None else sums
+    votes = (sums[window:] - sums[:-window])[::step]
+    return np.packbits(votes.view(np.uint8) > window // 2, axis=1).view(np.uint64).ravel()
+
 
+def running(h: np.ndarray) -> np.ndarray:
+    """Running sums of the words' bits, a byte for each, eight to a 64-bit number; differences over fewer than 256 words are exact."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+    return np.concatenate([np.zeros((1, 8), np.uint64), np.cumsum(bits, axis=0, dtype=np.uint64)])
 
-def weights(words: list[bytes]) -> Counter:
+
+def weights(words: list[str]) -> Counter:
     """Shingles with their weights: the letters of the words, times the occurrences."""
     k = min(SHINGLE, len(words))
     out: Counter = Counter()
@@ -98,28 +108,40 @@ class Index:
                 tables.append((order, np.searchsorted(key[order], np.arange(int(mask) + 2, dtype=np.uint64))))
             self.classes[window, step] = own, offset, f, tables
 
-    def near(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, word at which the item would start) for all fingerprints of a text within the radius."""
-        found: set[tuple[int, int]] = set()
+    def near(self, texts: list[np.ndarray]) -> list[set[tuple[int, int]]]:
+        """For each text's word hashes, (item, word at which the item would start) of all fingerprints within the radius."""
+        found: list[set[tuple[int, int]]] = [set() for _ in texts]
+        sums = [running(h) for h in texts]
         for (window, step), (own, offset, f, tables) in self.classes.items():
-            g = fingerprints(h, window, step)
+            each = [fingerprints(h, window, step, s) for h, s in zip(texts, sums, strict=True)]
+            size = np.array([len(x) for x in each])
+            g, begin = np.concatenate(each), np.cumsum(size) - size
             for (low, mask), (order, starts) in zip(self.blocks, tables, strict=True):
                 key = ((g >> low) & mask).astype(np.int64)
-                n = starts[key + 1] - starts[key]
-                at = np.repeat(np.arange(len(g)), n)
+                first = starts[key]
+                n = starts[key + 1] - first
+                some = np.nonzero(n)[0]
+                n, first = n[some], first[some]
+                at = np.repeat(some, n)
                 ends = np.cumsum(n)
-                probe = order[np.repeat(starts[key] - ends + n, n) + np.arange(len(at))]
+                probe = order[np.repeat(first - ends + n, n) + np.arange(len(at))]
                 hit = np.bitwise_count(g[at] ^ f[probe]) <= self.radius
                 at, probe = at[hit], probe[hit]
-                found.update(zip(own[probe].tolist(), (at * step - offset[probe]).tolist(), strict=True))
+                text = np.searchsorted(begin, at, side="right") - 1
+                for k, i, start in zip(text.tolist(), own[probe].tolist(), ((at - begin[text]) * step - offset[probe]).tolist(), strict=True):
+                    found[k].add((i, start))
         return found
 
-    def leaks(self, text: str, hashes: WordHashes) -> dict[int, tuple[float, int]]:
-        """Items that a text holds, each with its best similarity and the word at which it starts."""
-        words = words_of(text)
+    def leaks(self, texts: list[str], hashes: WordHashes) -> list[dict[int, tuple[float, int]]]:
+        """Items that each text holds, with their best similarities and the words at which they start."""
+        words = [words_of(t) for t in texts]
+        near = self.near([mix(hashes.of(w)) for w in words])
+        return [self.verified(w, c) for w, c in zip(words, near, strict=True)]
+
+    def verified(self, words: list[str], near: set[tuple[int, int]]) -> dict[int, tuple[float, int]]:
         out: dict[int, tuple[float, int]] = {}
         done: set[tuple[int, int]] = set()
-        for item, start in sorted(self.near(mix(hashes.of(words)))):
+        for item, start in sorted(near):
             n = len(self.items[item])
             for s in range(max(0, start - SHIFT), max(0, min(start + SHIFT, len(words) - min(n, len(words)))) + 1):
                 if (item, s) in done:
@@ -149,11 +171,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, items_a_scan: int = ITEMS_A_SCA
 
         def run(batches: Iterator[pa.RecordBatch], chunk=chunk) -> Iterator[pa.RecordBatch]:
             index, hashes = Index(chunk.value), WordHashes()
-            for batch in slices(batches, "text"):
-                rows = [
-                    (d, i, round(s, 6), at) for d, t in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True) if t
-                    for i, (s, at) in index.leaks(t.decode(), hashes).items()
-                ]
+            for batch in slices(batches, "text", 1 << 20):
+                texts = [(t or b"").decode() for t in utf8(batch.column("text"))]
+                rows = [(d, i, round(s, 6), at) for d, got in zip(batch.column("doc_id").to_pylist(), index.leaks(texts, hashes), strict=True) for i, (s, at) in got.items()]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "start_word"])
 

@@ -11,15 +11,15 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """Word (bytes) to 64-bit hash."""
+    """Word to 64-bit hash."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
