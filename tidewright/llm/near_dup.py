@@ -4,8 +4,8 @@ A register is the exponentially spaced, truncated minimum of exponential variate
 max(0, min(q + 1, floor(1 - log_b x))). Sketches merge by maximum, and equal registers are as likely as the sets
 are similar. Texts of equal shingle sets form a class; classes that share a band of registers are candidates.
 The joint likelihood of two sketches estimates their similarity, and pairs that may reach the threshold are
-verified on full sets. In a band's bucket, members are first compared with one pivot, and only what then lies
-in different components is compared further: a group of near copies never gives all its pairs.
+verified on full sets. In a band's bucket, members are compared with one of them, and only what then lies in
+different components, and may be linked by what the members have beside it, is compared further (_linked()).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, release, settle, slices, table, utf8
@@ -154,32 +154,67 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = full_sets(texts).join(wanted, ["rep", "set_key"], "left_semi").select("rep", "elements")
     sets = settle(sets, "near-sets").dropDuplicates(["rep"]) if _repeats(docs) else settle(sets, "near-sets")
     release(spark)
-    edges = tried = comps = None
-    for step in ("least", "greatest", "rest"):
-        at = shared.withColumn("comp", F.col("rep"))
-        if comps is not None:
-            at = shared.join(comps, shared.rep == comps.id, "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-        pick = F.max if step == "greatest" else F.min
-        pivots = at.groupBy("band").agg(pick(F.struct("rep", "comp")).alias("pivot"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q")
-        if step == "rest":
-            at = settle(at.join(pivots.select("band"), "band"), "near-open")
-            pairs = at.join(at.toDF("band", "rep2", "comp2"), "band").where("rep < rep2 and comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        else:
-            pairs = at.join(pivots, "band").where("comp <> pivot.comp").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "near-pairs")
-        links = settle(verified(likely(pairs, classes), sets), "near-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = links if edges is None else edges.unionByName(links)
-        comps = settle(components(edges, "near"), "near-components")
-        release(spark)
+    comps = _linked(shared, classes, sets)
     homes = own.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     found = sk.select("doc_id", "n_shingles").join(homes, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _linked(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, component) of all linked classes; buckets (band, rep) hold every pair that may be linked.
+
+    First the members of a bucket are compared with its smallest, then, in buckets that still span several
+    components, with the member h that has most links. A member's home is the closest h it has met. Let x and
+    y lie in different components and have one home h; one of them, say x, is not linked with h. If they share
+    no element outside h, then |x & y| <= |x & h|, which allows a link only for a few sizes of y, and those are
+    looked up. Otherwise at least LEAST percent of x less |x & h| shared elements lie outside h, so that x and
+    y agree in one of the rarest of those. Members of one bucket with different homes are compared as pairs.
+    """
+    spark = buckets.sparkSession
+    low = buckets.groupBy("band").agg(F.min("rep").alias("h"))
+    pairs = settle(buckets.join(low, "band").where("rep <> h").select(F.col("h").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    edges = settle(verified(likely(pairs, classes), sets), "near-links")
+    comps = components(edges, "near")
+    release(spark)
+    degrees = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
+    known = settle(comps.join(degrees, comps.id == degrees.a, "left").select("id", "component", "links"), "near-known")
+    at = buckets.join(known, buckets.rep == known.id, "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
+    hubs = at.groupBy("band").agg(F.min_by("rep", F.struct((-F.col("links")).alias("l"), "rep")).alias("h"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q")
+    at = settle(at.join(hubs, "band").select("band", "rep", "h"), "near-open")
+    if not at.limit(1).count():
+        return comps
+    around = at.where("rep <> h").select("h", "rep").distinct()
+    both = around.join(sets.toDF("h", "sh"), "h").join(sets.toDF("rep", "sx"), "rep")
+    both = settle(both.select("h", "rep", F.size("sx").alias("n"), F.size("sh").alias("nh"), F.size(F.array_intersect("sx", "sh")).alias("common")), "near-hubs")
+    near = F.expr(f"{100 + LEAST} * common >= {LEAST} * (n + nh)")
+    edges = settle(edges.unionByName(both.where(near).select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))).distinct(), "near-links")
+    known = settle(components(edges, "near"), "near-known").toDF("id", "component")
+    release(spark)
+    homes = both.groupBy("rep").agg(F.max_by(F.struct("h", "n", "common", near.alias("linked")), F.struct("common", -F.col("h"))).alias("r")).select("rep", "r.*")
+    homes = settle(homes.join(known, homes.rep == known.id, "left").select("rep", "h", "n", "common", "linked", F.coalesce("component", "rep").alias("comp")), "near-homes")
+    # one home: the rarest elements outside h
+    rest = homes.join(sets.toDF("h", "sh"), "h").join(sets.toDF("rep", "sx"), "rep").select("h", "rep", "linked", "comp", F.array_except("sx", "sh").alias("rest"), F.greatest(F.ceil(F.col("n") * LEAST / 100) - F.col("common"), F.lit(1)).alias("need"))
+    each = settle(rest.select("h", "rep", "linked", "comp", "need", F.size("rest").alias("k"), F.explode("rest").alias("e")), "near-rest")
+    several = each.groupBy("h", "e").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("p"), F.max("comp").alias("q"))
+    order = Window.partitionBy("rep").orderBy("df", "e")
+    first = each.join(several, ["h", "e"]).withColumn("place", F.row_number().over(order)).where("place <= k - need + 1 and p <> q")
+    first = settle(first.select("h", "e", "rep", "comp", "linked"), "near-prefix")
+    meet = first.where("not linked").select("h", "e", F.col("rep").alias("x"), F.col("comp").alias("cx")).join(first, ["h", "e"])
+    alike = meet.where("comp <> cx and (linked or x < rep)").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+    # one home: sizes that need nothing outside h
+    most, least = F.floor(F.expr(f"common * {100 + LEAST} / {LEAST} - n")).cast("int"), F.ceil(F.col("n") * LEAST / 100).cast("int")
+    small = homes.where("not linked").where(most >= least).select("h", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.explode(F.sequence(least, most)).alias("n"))
+    sized = small.join(homes.select("h", "n", "rep", "comp"), ["h", "n"]).where("comp <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+    # different homes
+    tagged = at.join(homes.select("rep", F.col("h").alias("home"), "comp"), "rep", "left").join(known, at.rep == known.id, "left").select("band", "rep", F.coalesce("home", "rep").alias("home"), F.coalesce("comp", "component", "rep").alias("comp"))
+    mixed = tagged.groupBy("band").agg(F.min("home").alias("p"), F.max("home").alias("q"), F.min("comp").alias("r"), F.max("comp").alias("s")).where("p <> q and r <> s").select("band")
+    tagged = settle(tagged.join(mixed, "band"), "near-mixed")
+    apart = tagged.join(tagged.toDF("band", "rep2", "home2", "comp2"), "band").where("home < home2 and comp <> comp2 and rep <> home2 and rep2 <> home").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    pairs = settle(alike.unionByName(sized).unionByName(apart).distinct(), "near-pairs")
+    release(spark)
+    return components(edges.unionByName(verified(likely(pairs, classes), sets)), "near")
+
+
 def _repeats(docs: DataFrame) -> bool:
     """Whether any doc_id is on several rows."""
     return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
