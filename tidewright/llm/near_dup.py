@@ -163,23 +163,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _linked(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, component) of all linked classes; buckets (band, rep) hold every pair that may be linked.
 
-    First the members of a bucket are compared with its smallest, then, in buckets that still span several
-    components, with the member h that has most links. A member's home is the closest h it has met. Let x and
-    y lie in different components and have one home h; one of them, say x, is not linked with h. If they share
+    A member's fame is the number of members in its buckets: the text that a crowd was copied from has most.
+    First the members of a bucket are compared with its most famous, then, in buckets that still span several
+    components, with h, the most famous of the component of that one; h need not be in the bucket. Let x and y
+    lie in different components and in a bucket with this h; one of them, say x, is not linked with h. If they share
     no element outside h, then |x & y| <= |x & h|, which allows a link only for a few sizes of y, and those are
     looked up. Otherwise at least LEAST percent of x less |x & h| shared elements lie outside h, so that x and
-    y agree in one of the rarest of those. Members of one bucket with different homes are compared as pairs.
+    y agree in one of the rarest of those.
     """
     spark = buckets.sparkSession
-    low = buckets.groupBy("band").agg(F.min("rep").alias("h"))
-    pairs = settle(buckets.join(low, "band").where("rep <> h").select(F.col("h").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    fame = buckets.join(sizes, "band").groupBy("rep").agg(F.sum("size").alias("fame"))
+    buckets = settle(buckets.join(fame, "rep"), "near-fame")
+    first = F.struct((-F.col("fame")).alias("f"), "rep")
+    low = buckets.groupBy("band").agg(F.min_by("rep", first).alias("h"))
+    pairs = settle(buckets.join(low, "band").where("rep <> h").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct(), "near-pairs")
     edges = settle(verified(likely(pairs, classes), sets), "near-links")
     comps = components(edges, "near")
     release(spark)
-    degrees = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    known = settle(comps.join(degrees, comps.id == degrees.a, "left").select("id", "component", "links"), "near-known")
-    at = buckets.join(known, buckets.rep == known.id, "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
-    hubs = at.groupBy("band").agg(F.min_by("rep", F.struct((-F.col("links")).alias("l"), "rep")).alias("h"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q")
+    famed = comps.join(fame, comps.id == fame.rep).select("id", "component", "fame")
+    tops = famed.groupBy("component").agg(F.min_by("id", F.struct((-F.col("fame")).alias("f"), "id")).alias("top"))
+    known = settle(comps.join(tops, "component"), "near-known")
+    at = buckets.join(known, buckets.rep == known.id, "left").select("band", "rep", "fame", F.coalesce("component", "rep").alias("comp"), F.coalesce("top", "rep").alias("top"))
+    hubs = at.groupBy("band").agg(F.min_by("top", first).alias("h"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q")
     at = settle(at.join(hubs, "band").select("band", "rep", "h"), "near-open")
     if not at.limit(1).count():
         return comps
@@ -190,27 +196,21 @@ def _linked(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
     edges = settle(edges.unionByName(both.where(near).select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))).distinct(), "near-links")
     known = settle(components(edges, "near"), "near-known").toDF("id", "component")
     release(spark)
-    homes = both.groupBy("rep").agg(F.max_by(F.struct("h", "n", "common", near.alias("linked")), F.struct("common", -F.col("h"))).alias("r")).select("rep", "r.*")
-    homes = settle(homes.join(known, homes.rep == known.id, "left").select("rep", "h", "n", "common", "linked", F.coalesce("component", "rep").alias("comp")), "near-homes")
-    # one home: the rarest elements outside h
-    rest = homes.join(sets.toDF("h", "sh"), "h").join(sets.toDF("rep", "sx"), "rep").select("h", "rep", "linked", "comp", F.array_except("sx", "sh").alias("rest"), F.greatest(F.ceil(F.col("n") * LEAST / 100) - F.col("common"), F.lit(1)).alias("need"))
+    met = both.join(known, both.rep == known.id, "left").select("h", "rep", "n", "common", near.alias("linked"), F.coalesce("component", "rep").alias("comp"))
+    # the rarest elements outside h
+    rest = met.join(sets.toDF("h", "sh"), "h").join(sets.toDF("rep", "sx"), "rep").select("h", "rep", "linked", "comp", F.array_except("sx", "sh").alias("rest"), F.greatest(F.ceil(F.col("n") * LEAST / 100) - F.col("common"), F.lit(1)).alias("need"))
     each = settle(rest.select("h", "rep", "linked", "comp", "need", F.size("rest").alias("k"), F.explode("rest").alias("e")), "near-rest")
     several = each.groupBy("h", "e").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("p"), F.max("comp").alias("q"))
-    order = Window.partitionBy("rep").orderBy("df", "e")
+    order = Window.partitionBy("h", "rep").orderBy("df", "e")
     first = each.join(several, ["h", "e"]).withColumn("place", F.row_number().over(order)).where("place <= k - need + 1 and p <> q")
     first = settle(first.select("h", "e", "rep", "comp", "linked"), "near-prefix")
     meet = first.where("not linked").select("h", "e", F.col("rep").alias("x"), F.col("comp").alias("cx")).join(first, ["h", "e"])
     alike = meet.where("comp <> cx and (linked or x < rep)").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-    # one home: sizes that need nothing outside h
+    # sizes that need nothing outside h
     most, least = F.floor(F.expr(f"common * {100 + LEAST} / {LEAST} - n")).cast("int"), F.ceil(F.col("n") * LEAST / 100).cast("int")
-    small = homes.where("not linked").where(most >= least).select("h", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.explode(F.sequence(least, most)).alias("n"))
-    sized = small.join(homes.select("h", "n", "rep", "comp"), ["h", "n"]).where("comp <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-    # different homes
-    tagged = at.join(homes.select("rep", F.col("h").alias("home"), "comp"), "rep", "left").join(known, at.rep == known.id, "left").select("band", "rep", F.coalesce("home", "rep").alias("home"), F.coalesce("comp", "component", "rep").alias("comp"))
-    mixed = tagged.groupBy("band").agg(F.min("home").alias("p"), F.max("home").alias("q"), F.min("comp").alias("r"), F.max("comp").alias("s")).where("p <> q and r <> s").select("band")
-    tagged = settle(tagged.join(mixed, "band"), "near-mixed")
-    apart = tagged.join(tagged.toDF("band", "rep2", "home2", "comp2"), "band").where("home < home2 and comp <> comp2 and rep <> home2 and rep2 <> home").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-    pairs = settle(alike.unionByName(sized).unionByName(apart).distinct(), "near-pairs")
+    small = met.where("not linked").where(most >= least).select("h", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.explode(F.sequence(least, most)).alias("n"))
+    sized = small.join(met.select("h", "n", "rep", "comp"), ["h", "n"]).where("comp <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+    pairs = settle(alike.unionByName(sized).distinct(), "near-pairs")
     release(spark)
     return components(edges.unionByName(verified(likely(pairs, classes), sets)), "near")
 
