@@ -79,8 +79,8 @@ def _names(keys: np.ndarray) -> tuple[np.ndarray, bool]:
     return out, bool(step.all())
 
 
-def suffix_array(s: np.ndarray, depth: int = 4) -> np.ndarray:
-    """The suffixes of s (values from 1, fewer than 2**20 of them) in the order of their first 3**depth values at least."""
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """The suffixes of s (values from 1, fewer than 2**20 of them) in order."""
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
@@ -89,13 +89,10 @@ def suffix_array(s: np.ndarray, depth: int = 4) -> np.ndarray:
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     names, unique = _names((s[sample] * top + s[sample + 1]) * top + s[sample + 2])
-    if not unique and depth > 1:
-        inner = suffix_array(names, depth - 1)
+    if not unique:
+        inner = suffix_array(names)
         names = np.empty(len(sample), np.int64)
         names[inner] = np.arange(1, len(sample) + 1)
-    elif not unique:
-        order = np.argsort(names, kind="stable")
-        names[order] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = names
     many = len(sample) + 2
