@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -23,11 +24,13 @@ from .common import release, scratch, settle, slices, table, utf8
 
 #: Ids that a block has, unless its last document is longer.
 BLOCK_IDS = 1 << 19
-#: Distinct words whose ids a task keeps.
-MEMO_WORDS = 600_000
+#: Entries (words and parts of words) whose ids a Python worker keeps.
+MEMO_WORDS = 1_000_000
 
 #: A word as what comes first and the ASCII punctuation (no apostrophe) that ends it.
 TAIL = re.compile(rb"(.*?)([!-&(-/:-@\[-`{-~]*)", re.S)
+#: Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on.
+BYTE_CHARS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))
 #: By control byte: the four lengths.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -58,7 +61,8 @@ def decode_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 class WordMemo:
     """Ids of whole texts, each distinct word being encoded once. Exact for tokenizers whose tokens cross neither
-    ASCII white space nor the edge between a run of letters and ASCII punctuation after it, and that lower-case."""
+    ASCII white space nor the edge between a run of letters and ASCII punctuation after it, and that lower-case;
+    runs of letters go straight to the tokenizer's model."""
 
     held: dict[str, "WordMemo"] = {}
 
@@ -66,7 +70,7 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[bytes, list[int]] = {}
+        self.model = self.tokenizer.model
         self.clear()
 
     @classmethod
@@ -78,7 +82,34 @@ class WordMemo:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.pieces: dict[bytes, int] = {}
+        self.pool, self.start, self.size = array("I"), array("q"), array("q")
+
+    def keep(self, ids: list[int]) -> int:
+        """The number of a new entry."""
+        self.start.append(len(self.pool))
+        self.size.append(len(ids))
+        self.pool.extend(ids)
+        return len(self.size) - 1
+
+    def ids_of(self, entry: int) -> array:
+        a = self.start[entry]
+        return self.pool[a : a + self.size[entry]]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Add words to the index."""
+        parts = [self.split(w) for w in new]
+        hard = []
+        for p in dict.fromkeys(p for w in parts for p in w if p not in self.pieces):
+            if letters := self.letters(p):
+                self.pieces[p] = self.keep([t.id for t in self.model.tokenize(letters)])
+            else:
+                hard.append(p)
+        for p, e in zip(hard, self.tokenizer.encode_batch_fast([p.decode() for p in hard], add_special_tokens=False), strict=True):
+            self.pieces[p] = self.keep(e.ids)
+        for w, own in zip(new, parts, strict=True):
+            first = self.pieces[own[0]]
+            self.index[w] = first if len(own) == 1 else self.keep(self.ids_of(first) + self.ids_of(self.pieces[own[1]]))
 
     @staticmethod
     def split(word: bytes) -> tuple[bytes, ...]:
@@ -88,28 +119,27 @@ class WordMemo:
             return (core.lower(), tail) if tail else (core.lower(),)
         return (core, tail) if tail and core.decode().isalpha() else (word,)
 
+    def letters(self, piece: bytes) -> str:
+        """What the tokenizer's own model gets for a piece that is one run of letters, byte by byte; '' for others."""
+        if piece.isalpha():
+            return piece.decode()
+        if piece.isascii():
+            return ""
+        text = piece.decode()
+        if not text.isalpha() or not (text := self.tokenizer.normalizer.normalize_str(text)).isalpha():
+            return ""
+        return text.encode().decode("latin-1").translate(BYTE_CHARS)
+
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > MEMO_WORDS:
+        if len(self.size) > MEMO_WORDS:
             self.clear()
-        if len(self.pieces) > MEMO_WORDS:
-            self.pieces.clear()
-        words = [t.split() for t in texts]
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]  # lower case might make a special token
         every = list(chain.from_iterable(words))
-        new = list(dict.fromkeys(w for w in every if w not in self.index))
-        if new:
-            parts = [self.split(w) for w in new]
-            fresh = list(dict.fromkeys(p for w in parts for p in w if p not in self.pieces))
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)
-            self.pieces.update(zip(fresh, (e.ids for e in coded), strict=True))
-            got = [[i for p in w for i in self.pieces[p]] for w in parts]
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint32)])
-            self.start = np.cumsum(self.size) - self.size
+        self.learn([w for w in dict.fromkeys(every) if w not in self.index])
         k = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        size = self.size[k]
+        size = np.frombuffer(self.size, np.int64)[k] if len(k) else k
         ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.start[k] - ends + size, size) + np.arange(ends[-1])] if len(k) else self.pool[:0]
+        ids = np.frombuffer(self.pool, np.uint32)[np.repeat(np.frombuffer(self.start, np.int64)[k] - ends + size, size) + np.arange(ends[-1])] if len(k) else np.zeros(0, np.uint32)
         cuts = np.cumsum([len(w) for w in words])[:-1]
         return np.split(ids, np.concatenate([[0], ends])[cuts])
 
@@ -174,7 +204,7 @@ def id_ranks(blocks: DataFrame) -> np.ndarray:
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Write the ids of documents as a file set at path."""
-    blocks = settle(token_blocks(docs, tokenizer, end_id), "ids")
+    blocks = settle(token_blocks(docs, tokenizer, end_id), "ids", "zstd")
     release(docs.sparkSession)
     by_rank = id_ranks(blocks)
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
