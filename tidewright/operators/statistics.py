@@ -68,10 +68,10 @@ def walk_forward(df: DataFrame, order: list[str], n: int, train: float = 0.7, fo
     """Rows of each expanding fold: fold k is trained on what comes before its test rows. n is the number of rows."""
     first = int(n * train)
     step = max(1, (n - first) // folds)
-    placed = numbered(df, order, "_p")
+    placed = numbered(df, order, "_place")
     placed = placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     start = first + F.col("fold") * step
-    return placed.where(F.col("_p") < start + step).withColumn("part", F.when(F.col("_p") < start, "train").otherwise("test")).drop("_p")
+    return placed.where(F.col("_place") < start + step).withColumn("part", F.when(F.col("_place") < start, "train").otherwise("test")).drop("_place")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
