@@ -17,7 +17,7 @@ from .common import settle, table
 #: Share of all tokens to be sampled, and the power by which each margin's shares are evened out.
 BUDGET, POWERS = 0.7, {"source": 0.8, "lang": 0.8, "topic": 0.9}
 #: Sweeps over all margins, and sweeps between two writes of the cells.
-SWEEPS, STEP = 12, 2
+SWEEPS, STEP = 12, 1
 
 #: Topics by form, the first that holds; the rest is prose.
 SYMBOLS, LETTERS = "[#*$%&|<>{}=]", "[A-Z]"
