@@ -155,6 +155,31 @@ def test_op4_every_print_in_the_radius_is_found():
     assert index.near([h, h[:0], h[:30], h])[::3] == [want, want]
 
 
+def test_op4_finds_every_copy_at_the_threshold():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.choice((1, 2, 2, 3, 9, 11))))
+    items = [[word() for _ in range(n)] for n in range(20, 76)]
+    index = decontamination.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    docs = []
+    for w in items:
+        light = min(range(4, len(w) - 4), key=lambda p: (sum(map(len, w[p - 4 : p + 5])), p))  # the word whose change weighs least
+        middle = len(w) // 2 + rnd.randrange(-2, 3)
+        copies = [w[:p] + ["x"] + w[p + 1 :] for p in (light, middle)]
+        for p in rnd.sample(range(1, len(w) - 1), 6):
+            q = rnd.randrange(len(w))
+            copies += [w[:p] + ["x"] + w[p:], w[:p] + w[p + 1 :], w[p:] + w[:p], copies[0][:q] + ["y"] + copies[0][q + 1 :]]
+        docs += [[word() for _ in range(rnd.randrange(30))] + c + [word() for _ in range(rnd.randrange(30))] for c in copies]
+    got = index.leaks([" ".join(w) for w in docs], decontamination.WordHashes())
+    per, found = len(docs) // len(items), 0
+    for k, w in enumerate(docs):
+        i = k // per
+        n = len(items[i])
+        each = [decontamination.similarity(index.shingles[i], decontamination.weights(w[s : s + n])) for s in range(max(0, len(w) - n) + 1)]
+        assert got[k].get(i) == ((max(each), each.index(max(each))) if max(each) >= decontamination.LEAST else None)
+        found += i in got[k]
+    assert found > 400
+
+
 def test_op5_counts_match_brute_force(spark):
     rows, df = corpus(spark, 5)
     rows += [(9_000, "a b c d e f g h " * 6 + "\n\nx y\nx y\n *#<>", "en", "s1", 0, 1, 2)]

@@ -1,11 +1,11 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows.
 
-Items fall into size classes; each class has a window of W words, W being as large as any copy of the item that
-reaches the threshold must hold unchanged in one piece. All windows of an item are fingerprinted, and every
+Items fall into classes; each class has a window of W words, W being as large as any copy of the item that reaches
+the threshold must hold unchanged in one piece (see piece_of()). All windows of an item are fingerprinted, and every
 (W / 4)-th window of a document, so that such a piece holds a window that starts where one of the document's does.
 Fingerprints are cut into RADIUS + 1 blocks: two that differ in RADIUS bits at most agree in one block, so looking up
 all blocks finds every pair within the radius. Candidates are verified exactly, by the weighted similarity of
-five-word shingles between the item and the windows of its own size around the place.
+five-word shingles between the item and all windows of its own size that can hold the place.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ RADIUS, SHINGLE = 3, 5
 LEAST = 0.75
 #: Windows in words: below 256, for their votes are counted in bytes.
 LADDER = [w for k in range(2, 8) for w in (1 << k, 3 << (k - 1))]
-#: Words by which a verified window may lie off the place that the fingerprints give.
-SHIFT = 3
 #: Items that one scan of the documents looks for.
 ITEMS_A_SCAN = 5_000
 WORD = re.compile(r"\w+")
@@ -40,15 +38,36 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def window_of(n: int) -> tuple[int, int]:
-    """Window and step for an item of n words: what a copy at the threshold leaves in one piece must hold W + step - 1.
+def piece_of(words: list[str]) -> int:
+    """Words that every window of the item's length at a weighted similarity of LEAST holds in one piece of the item.
 
-    A copy may lose a seventh of the shingles: `lost` words at the ends, or one word inside for every five.
+    Of n words with n - 4 shingles, `lost` weigh most when the lightest go first, and a shingle that the item lacks
+    weighs SHINGLE letters at least. Two pieces that do not follow each other in the item can share words only
+    where the item repeats them: with `q` words repeated at most, 4 - q shingles between them are new. The new are
+    no more than the lost, for the window is no longer than the item.
     """
-    lost = max(0, n - SHINGLE + 1) // 7
-    piece = (n - lost) // (lost // SHINGLE + 1)
+    n = len(words)
+    if n <= SHINGLE:
+        return n
+    q = next((q for q in range(SHINGLE - 1, 0, -1) if len({tuple(words[j : j + q]) for j in range(n - q + 1)}) < n - q + 1), 0)
+    each = SHINGLE - 1 - q
+    if not each:
+        return SHINGLE
+    letters = np.array([sum(map(len, words[j : j + SHINGLE])) for j in range(n - SHINGLE + 1)])
+    lightest = np.cumsum(np.sort(letters))
+    piece = n
+    for breaks in range(n):
+        lost = int(np.searchsorted(lightest, (1 - LEAST) * letters.sum() - LEAST * SHINGLE * each * breaks + 1e-6, side="right"))
+        if lost < each * breaks:
+            break
+        piece = min(piece, -(-(len(letters) - lost) // (breaks + 1)) + SHINGLE - 1)
+    return piece
+
+
+def window_of(piece: int) -> tuple[int, int]:
+    """Window and step for items whose copies hold `piece` words in one: W + step - 1 of them hold a window that starts at a multiple of step."""
     fit = [w for w in LADDER if w + w // 4 - 1 <= piece]
-    return (fit[-1], fit[-1] // 4) if fit else (max(1, piece), 1)
+    return (fit[-1], fit[-1] // 4) if piece > SHINGLE else (max(1, piece), 1)
 
 
 def fingerprints(h: np.ndarray, window: int, step: int, sums: np.ndarray | None = None) -> np.ndarray:
@@ -94,7 +113,8 @@ class Index:
         by_class = defaultdict(list)
         for i, w in self.items.items():
             if w:
-                by_class[window_of(len(w))].append(i)
+                by_class[window_of(piece_of(w))].append(i)
+        self.window = {i: window for (window, _), ids in by_class.items() for i in ids}
         self.classes = {}
         for (window, step), ids in by_class.items():
             prints = [fingerprints(mix(hashes.of(self.items[i])), window, 1) for i in ids]
@@ -139,19 +159,47 @@ class Index:
         return [self.verified(w, c) for w, c in zip(words, near, strict=True)]
 
     def verified(self, words: list[str], near: set[tuple[int, int]]) -> dict[int, tuple[float, int]]:
+        """Items with their best similarity over all windows that can hold a place in `near`, and the first word of the first such window."""
         out: dict[int, tuple[float, int]] = {}
-        done: set[tuple[int, int]] = set()
+        upto: dict[int, int] = {}
         for item, start in sorted(near):
-            n = len(self.items[item])
-            for s in range(max(0, start - SHIFT), max(0, min(start + SHIFT, len(words) - min(n, len(words)))) + 1):
-                if (item, s) in done:
-                    continue
-                done.add((item, s))
-                got = similarity(self.shingles[item], weights(words[s : s + n]))
+            n, last = len(self.items[item]), max(0, len(words) - len(self.items[item]))
+            reach = n - self.window[item]
+            first, end = max(0, start - reach, upto.get(item, 0)), min(last, start + reach) + 1
+            if first < end:
+                upto[item] = end
+                got, s = self.best(item, words, first, end)
                 if got >= LEAST and got > out.get(item, (0.0, 0))[0]:
                     out[item] = got, s
         return out
 
+    def best(self, item: int, words: list[str], first: int, end: int) -> tuple[float, int]:
+        """The highest weighted similarity of the item and windows of its length that start at first, ..., end - 1, and the first start that has it."""
+        n, own = len(self.items[item]), self.shingles[item]
+        size, k = sum(own.values()), min(SHINGLE, n)
+        words = words[first : end - 1 + n]
+        count = min(n, len(words)) - k + 1
+        here = [tuple(words[j : j + k]) for j in range(len(words) - k + 1)]
+        held: Counter = Counter()
+        total = both = 0
+        top = (0.0, first)
+        for j, s in enumerate(here):
+            w = sum(map(len, s))
+            total += w
+            if s in own:
+                held[s] += w
+                both += w if held[s] <= own[s] else 0
+            if j >= count:
+                s = here[j - count]
+                w = sum(map(len, s))
+                total -= w
+                if s in own:
+                    both -= w if held[s] <= own[s] else 0
+                    held[s] -= w
+            if j >= count - 1 and both and (got := both / (size + total - both)) > top[0]:
+                top = got, first + j - count + 1
+        return top
+
 
 def leaks(docs: DataFrame, benchmark: DataFrame, items_a_scan: int = ITEMS_A_SCAN) -> DataFrame:
     """(doc_id, item_id, similarity, start_word) for documents (doc_id, text) that hold benchmark items (item_id, text).
