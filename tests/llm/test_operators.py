@@ -243,6 +243,19 @@ def test_op7_held_out_accuracy(spark):
     assert auc > 0.95 and np.mean([r.toxic for r in hits]) > 0.93 and np.mean([s >= 0.7 for s in bad]) > 0.85
 
 
+@pytest.mark.parametrize("share", [0.4, 0.5, 0.7])
+def test_op7_learns_at_any_share_of_toxic_labels(spark, share):
+    rnd = random.Random(7)
+    plain, bad = [f"w{k}" for k in range(300)], ["vexling", "grolt", "snarb", "plooth", "drezz"]
+    rows = []
+    for i in range(900):
+        toxic = int(rnd.random() < share)
+        rows.append((i, " ".join(rnd.choices(plain, k=40) + (rnd.choices(bad, k=3) if toxic else [])), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.scored(docs.drop("toxic"), docs.select("doc_id", "toxic")).join(docs.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted for r in got if r.toxic]) > 0.9 and np.mean([r.predicted for r in got if not r.toxic]) < 0.05
+
+
 def test_op7_edges(spark):
     rows, df = corpus(spark)
     labels = spark.createDataFrame([(r[0], 0) for r in rows[:30]] + [(None, 1), (3, None)], "doc_id long, toxic int")

@@ -24,7 +24,7 @@ from .common import slices, table, utf8
 TRAIN_ROWS = 12_000
 #: Entries of the lexicon at most, labelled texts that each needs, and lengths of word beginnings.
 ENTRIES, SUPPORT, STEMS = 400, 5, range(3, 9)
-#: The lower bound of an entry's share of toxic texts must exceed this many times the overall share.
+#: The lower bound of an entry's odds of toxic texts must exceed this many times the overall odds.
 LIFT = 2.0
 #: Voters among the entries (the strongest), score from which a text is toxic.
 VOTERS, TOXIC = 60, 0.7
@@ -60,7 +60,7 @@ def lexicon(train: DataFrame) -> list[str]:
     counts = train.select("text", "toxic").mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     p, m = F.col("t") / (F.col("c") + F.col("t")), F.col("c") + F.col("t")
     low = (p + 2 / m - 2 * F.sqrt(p * (1 - p) / m + 1 / (m * m))) / (1 + 4 / m)  # Wilson's bound for z = 2
-    best = counts.where(F.col("t") >= SUPPORT).withColumn("low", low).where(F.col("low") > LIFT * share).orderBy(F.desc("low"), F.desc("t"), "entry").limit(ENTRIES)
+    best = counts.where(F.col("t") >= SUPPORT).withColumn("low", low).where(F.col("low") * (1 - share) > LIFT * share * (1 - F.col("low"))).orderBy(F.desc("low"), F.desc("t"), "entry").limit(ENTRIES)
     return [r.entry for r in best.collect()]
 
 
