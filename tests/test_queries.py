@@ -5,6 +5,8 @@ import os
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidewright.plans import ORACLE_SQL, QUERIES, flagship
@@ -46,5 +48,15 @@ def test_query(spark, db, name):
         assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["s_first_signups", "s_daily_windows", "s_alert_cooldown", "s_smoothed"])
+def test_streams_do_not_depend_on_the_files(spark, db, tmp_path, name):
+    events = pq.read_table(f"{FOLDER}/events.parquet").to_pandas().sample(frac=1, random_state=5)
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(40):
+        pq.write_table(pa.Table.from_pandas(events[k::40], preserve_index=False), tmp_path / "events.parquet" / f"part-{k}.parquet", coerce_timestamps="us")
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(db.sql(ORACLE_SQL[name]).df())
+
+
 def test_flagship(spark):
     assert flagship(spark, FOLDER).count() > 0

@@ -22,10 +22,10 @@ def stream(sql: str | None = None):
 
 @stream("""SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'signup' GROUP BY user_id""")
 def s_first_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first signup of each user within 40 days, which is all the days there are."""
-    e = stateful.stream_of(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", "event_id", "ts")
-    ordered = stateful.drained(stateful.without_repeats(e, "ts", ["user_id"], "40 days").drop("_at"), "signups")
-    return ordered.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    """The first signup of each user over all the days there are, as keyed state."""
+    e = stateful.stream_of(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", "event_id")
+    firsts = stateful.drained(stateful.least(e, ["user_id"], "event_id"), "signups")
+    return firsts.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
 
 
 @stream("""SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY ALL""")

@@ -15,9 +15,9 @@ COOLDOWN_HOURS = {"low": 24, "medium": 48, "high": 72, "critical": 168}
 
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table as a stream of its files."""
+    """A finite table as a stream. All files come in one micro-batch, so that no watermark or state sees a part of the rows before earlier ones."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{folder}/{name}.parquet*")
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
 
 
 def drained(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -40,6 +40,21 @@ def without_repeats(df: DataFrame, at: str, keys: list[str], span: str) -> DataF
     return df.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", span).dropDuplicatesWithinWatermark(keys)
 
 
+def least(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A row (keys, value) whenever the least value of a key falls, whatever the order of rows and micro-batches; the least of these rows is the key's. State is the least so far."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = ", ".join(f"{c} {kinds[c]}" for c in [*keys, value])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        was = state.get[0] if state.exists else None
+        new = min((int(low) for pdf in batches if not pd.isna(low := pdf[value].min())), default=None)
+        if new is not None and (was is None or new < was):
+            state.update((new,))
+            yield pd.DataFrame([[*key, new]], columns=[*keys, value])
+
+    return df.groupBy(*keys).applyInPandasWithState(step, out, "least long", "append", "NoTimeout")
+
+
 def cooled(df: DataFrame, keys: list[str], at: str, severity: str) -> DataFrame:
     """Alerts that are not silenced by an earlier one of their key; `at` is in microseconds. State is one number for each key."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
