@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one bucket of a distributed ranking may hold on average.
@@ -34,6 +34,15 @@ def settle(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*settled: DataFrame) -> None:
+    """Delete what settle() wrote for these frames; nothing may read them any more."""
+    for df in settled:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
     for _ in range(2):  # the cleaner works on its own time
@@ -82,27 +91,46 @@ def ranked(df: DataFrame, key: str, bucket: Column, order: list, out: str = "ran
     return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_b", "_k", "_c", "_off", "_rn")
 
 
-def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
+def settle_seen(df: DataFrame, label: str, **seen: Column) -> tuple[DataFrame, dict]:
+    """settle() and aggregates of df (not distinct ones), taken while it is written."""
+    watch = Observation(label)
+    out = settle(df.observe(watch, *[c.alias(k) for k, c in seen.items()]), label)
+    return out, watch.get
+
+
+def components(edges: DataFrame, label: str, known: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component the smallest id reachable.
 
     Alternating large-star and small-star rounds over (child, parent) rows: every group is reduced by a
-    min before anything is joined, and the rows of a hot node stay rows. Nodes without edges do not appear.
+    min before anything is joined, and the rows of a hot node stay rows. A round that leaves all rows as they
+    were ends it, for then all are stars. Nodes without edges do not appear. With `known`, an earlier
+    result, edges need only hold what came since: both ends give way to their components first.
     """
+    if known is not None:
+        home = known.select(F.col("id").alias("k"), F.col("component").alias("c"))
+        for end in ("a", "b"):
+            edges = edges.join(home, F.col(end) == F.col("k"), "left").withColumn(end, F.coalesce("c", end)).drop("k", "c")
+        joined = components(edges, label, None, most_rounds).select(F.col("id").alias("k"), F.col("component").alias("c"))
+        moved = known.join(joined, F.col("component") == F.col("k"), "left").select("id", F.coalesce("c", "component").alias("component"))
+        return settle(moved.unionByName(joined.join(known, F.col("k") == F.col("id"), "left_anti").toDF("id", "component")), f"{label}-components")
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    e = settle(edges.select("a", "b").where("a <> b").distinct(), f"{label}-edges")
-    seen = None
-    for _ in range(most_rounds):
+    marks = {"n": F.count(F.lit(1)), "mark": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    e, seen = settle_seen(edges.select("a", "b").where("a <> b").distinct(), f"{label}-edges", **marks)
+    for _ in range(most_rounds if seen["n"] else 0):
         pairs = both(e)
         low = pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = pairs.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = down.join(least, F.col("a") == F.col("k"))
-        e = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
-        e = settle(e, f"{label}-edges")
-        now = e.agg(F.count("a"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)), F.count_distinct("a")).first()
-        if tuple(now) == seen and now[0] == now[2]:
-            top = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(top)
-        seen = tuple(now)
-    raise RuntimeError(f"components of {label} did not settle in {most_rounds} rounds")
+        after = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
+        was, before = e, seen
+        e, seen = settle_seen(after, f"{label}-edges", **marks)
+        discard(was)
+        if seen == before:
+            break
+    else:
+        if seen["n"]:
+            raise RuntimeError(f"components of {label} did not settle in {most_rounds} rounds")
+    top = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(top)

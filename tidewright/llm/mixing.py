@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -17,7 +17,7 @@ from .common import settle, table
 #: Share of all tokens to be sampled, and the power by which each margin's shares are evened out.
 BUDGET, POWERS = 0.7, {"source": 0.8, "lang": 0.8, "topic": 0.9}
 #: Sweeps over all margins, and sweeps between two writes of the cells.
-SWEEPS, STEP = 12, 1
+SWEEPS, STEP = 12, 3
 
 #: Topics by form, the first that holds; the rest is prose.
 SYMBOLS, LETTERS = "[#*$%&|<>{}=]", "[A-Z]"
@@ -47,26 +47,32 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", empty("source"), empty("lang"), topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("n_tokens"))
 
 
-def targets(cells: DataFrame, margin: str, power: float, budget: float) -> DataFrame:
-    """Tokens aimed at for each value of a margin: the budget shared out in proportion to tokens ** power."""
-    sums = cells.groupBy(margin).agg(F.sum("tokens").alias("t"))
-    whole = sums.agg(F.sum(F.pow("t", F.lit(power))).alias("p"), F.sum("t").alias("t")).first()
-    return sums.select(margin, (F.pow("t", F.lit(power)) * F.lit((whole.t or 0.0) * budget / (whole.p or 1.0))).alias("target"))
+def aimed(cells: DataFrame, powers: dict[str, float], budget: float) -> DataFrame:
+    """Cells (margins, tokens) with a column target_<margin> for each margin: the tokens aimed at for the cell's value,
+    the budget being shared out in proportion to the values' tokens ** power."""
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value"), F.lit(float(p)).alias("power")) for m, p in powers.items()]))
+    sums = cells.select("tokens", one.alias("o")).groupBy("o.margin", "o.value", "o.power").agg(F.sum("tokens").alias("t"))
+    own = Window.partitionBy("margin")
+    aims = sums.select("margin", "value", (F.sum("t").over(own) * budget * F.pow("t", "power") / F.sum(F.pow("t", "power")).over(own)).alias("target"))
+    for m in powers:
+        cells = cells.join(aims.where(F.col("margin") == m).select(F.col("value").alias(m), F.col("target").alias(f"target_{m}")), m)
+    return cells
 
 
-def rake(cells: DataFrame, aims: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """Cells (margins, tokens > 0) with weight: its sums meet aims[margin] (value, target) as nearly as tokens allow.
+def rake(cells: DataFrame, margins: list[str], sweeps: int = SWEEPS) -> DataFrame:
+    """Cells (margins, targets, tokens > 0) with weight, its sums meeting the targets as nearly as tokens allow, and
+    margin_error, the largest relative distance from its targets that the sums of the cell's margins are left with.
 
     Each scaling keeps weight <= tokens. The cells are few against the documents, and stay a table.
     """
+    held = lambda m: F.sum("weight").over(Window.partitionBy(m))
     now = cells.withColumn("weight", F.col("tokens"))
     for k in range(1, sweeps + 1):
-        for margin, aim in aims.items():
-            factor = now.groupBy(margin).agg(F.sum("weight").alias("s")).join(aim, margin).select(margin, (F.col("target") / F.col("s")).alias("f"))
-            now = now.join(factor, margin).withColumn("weight", F.least(F.col("weight") * F.col("f"), F.col("tokens"))).drop("f")
+        for m in margins:
+            now = now.withColumn("weight", F.least(F.col("weight") * (F.col(f"target_{m}") / held(m)), F.col("tokens")))
         if k % STEP == 0 or k == sweeps:
             now = settle(now, "mix-cells")
-    return now
+    return now.withColumn("margin_error", F.greatest(*[F.abs(held(m) / F.col(f"target_{m}") - 1) for m in margins]))
 
 
 def chance(doc_id: Column, seed: str) -> Column:
@@ -75,7 +81,10 @@ def chance(doc_id: Column, seed: str) -> Column:
 
 
 def mixed(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, seed: str = "mix-") -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, probability (6 digits) and sampled for documents (doc_id, text, lang, source).
+    """doc_id, source, lang, topic, n_tokens, probability (6 digits), margin_error and sampled for documents (doc_id, text, lang, source).
+
+    margin_error is the largest relative distance between expected tokens and target of the document's source,
+    language and topic; it is large only where the targets ask for more tokens than there are.
 
     Null sources and languages count as ''. A document without words has weight 0 in every margin, costs no
     budget and is always sampled. Repeated doc_ids share one draw. No documents give no rows.
@@ -83,10 +92,10 @@ def mixed(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = PO
     own = settle(labelled(docs), "mix-docs")
     margins = list(powers)
     cells = settle(own.groupBy(*margins).agg(F.sum("n_tokens").cast("double").alias("tokens")).where("tokens > 0"), "mix-sums")
-    aims = {m: settle(targets(cells, m, p, budget), f"mix-aim-{m}") for m, p in powers.items()}
-    rates = rake(cells, aims).select(*margins, F.round(F.col("weight") / F.col("tokens"), 6).alias("probability"))
-    return own.join(rates, margins, "left").select(
-        "doc_id", "source", "lang", "topic", "n_tokens", F.coalesce("probability", F.lit(1.0)).alias("probability"),
+    raked = rake(settle(aimed(cells, powers, budget), "mix-aims"), margins)
+    rates = raked.select(*margins, F.round(F.col("weight") / F.col("tokens"), 6).alias("probability"), F.round("margin_error", 4).alias("margin_error"))
+    return own.join(settle(rates, "mix-rates"), margins, "left").select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.coalesce("probability", F.lit(1.0)).alias("probability"), F.coalesce("margin_error", F.lit(0.0)).alias("margin_error"),
     ).withColumn("sampled", chance(F.col("doc_id"), seed) < F.col("probability"))
 
 
@@ -116,7 +125,10 @@ def oracle(budget: float = BUDGET, powers: dict[str, float] = POWERS, sweeps: in
     for n, m in enumerate(list(powers) * sweeps):
         steps.append(f"w{n + 1} AS (SELECT w.* EXCLUDE (weight), least(weight * (target / sum(weight) OVER (PARTITION BY w.{m})), tokens) weight FROM w{n} w JOIN aim_{m} USING ({m}))")
     last = f"w{len(powers) * sweeps}"
+    error = ", ".join(f"abs(sum(weight) OVER (PARTITION BY w.{m}) / target_{m} - 1)" for m in powers)
+    joins = " ".join(f"JOIN (SELECT {m}, target target_{m} FROM aim_{m}) USING ({m})" for m in powers)
+    steps.append(f"ends AS (SELECT w.*, greatest({error}) error FROM {last} w {joins})")
     return "WITH " + ",\n".join(steps) + f"""
-SELECT doc_id, source, lang, topic, n_tokens, probability,
+SELECT doc_id, source, lang, topic, n_tokens, probability, margin_error,
   ('0x' || substr(md5(concat('{seed}', coalesce(doc_id::VARCHAR, ''))), 1, 8))::UBIGINT / 4294967296.0 < probability sampled
-FROM (SELECT own.*, coalesce(round(weight / tokens, 6), 1.0) probability FROM own LEFT JOIN {last} USING ({margins}))"""
+FROM (SELECT own.*, coalesce(round(weight / tokens, 6), 1.0) probability, coalesce(round(error, 4), 0.0) margin_error FROM own LEFT JOIN ends USING ({margins}))"""

@@ -179,7 +179,7 @@ def _linked(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
     low = buckets.groupBy("band").agg(F.min_by("rep", first).alias("h"))
     pairs = settle(buckets.join(low, "band").where("rep <> h").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct(), "near-pairs")
     edges = settle(verified(likely(pairs, classes), sets), "near-links")
-    comps = components(edges, "near")
+    comps = settle(components(edges, "near"), "near-first")
     release(spark)
     famed = comps.join(fame, comps.id == fame.rep).select("id", "component", "fame")
     tops = famed.groupBy("component").agg(F.min_by("id", F.struct((-F.col("fame")).alias("f"), "id")).alias("top"))
@@ -193,8 +193,8 @@ def _linked(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
     both = around.join(sets.toDF("h", "sh"), "h").join(sets.toDF("rep", "sx"), "rep")
     both = settle(both.select("h", "rep", F.size("sx").alias("n"), F.size("sh").alias("nh"), F.size(F.array_intersect("sx", "sh")).alias("common")), "near-hubs")
     near = F.expr(f"{100 + LEAST} * common >= {LEAST} * (n + nh)")
-    edges = settle(edges.unionByName(both.where(near).select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))).distinct(), "near-links")
-    known = settle(components(edges, "near"), "near-known").toDF("id", "component")
+    more = both.where(near).select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))
+    known = components(more, "near", comps)
     release(spark)
     met = both.join(known, both.rep == known.id, "left").select("h", "rep", "n", "common", near.alias("linked"), F.coalesce("component", "rep").alias("comp"))
     # the rarest elements outside h
@@ -212,7 +212,7 @@ def _linked(buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
     sized = small.join(met.select("h", "n", "rep", "comp"), ["h", "n"]).where("comp <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
     pairs = settle(alike.unionByName(sized).distinct(), "near-pairs")
     release(spark)
-    return components(edges.unionByName(verified(likely(pairs, classes), sets)), "near")
+    return components(verified(likely(pairs, classes), sets), "near", known)
 
 
 def _repeats(docs: DataFrame) -> bool:
