@@ -8,27 +8,29 @@ frequency, so that common ids take one byte. The table of ranks is stored beside
 
 from __future__ import annotations
 
-import re
+import string
 import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, scratch, settle, slices, table, utf8
+from .common import release, scratch, settle, slices, table
 
 #: Ids that a block has, unless its last document is longer.
 BLOCK_IDS = 1 << 19
-#: Entries (words and parts of words) whose ids a Python worker keeps.
+#: Runs of letters and other pieces whose ids a Python worker keeps.
 MEMO_WORDS = 1_000_000
 
-#: A word as what comes first and the ASCII punctuation (no apostrophe) that ends it.
-TAIL = re.compile(rb"(.*?)([!-&(-/:-@\[-`{-~]*)", re.S)
+#: ASCII punctuation that may end a word (no apostrophe), and words whose lower case is one letter for one and needs no normal form.
+TAIL = string.punctuation.replace("'", "")
+PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on.
 BYTE_CHARS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512)))
 #: By control byte: the four lengths.
@@ -59,10 +61,17 @@ def decode_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. (size[0] of them), then start[1] and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordMemo:
-    """Ids of whole texts, each distinct word being encoded once. Exact for tokenizers whose tokens cross neither
-    ASCII white space nor the edge between a run of letters and ASCII punctuation after it, and that lower-case;
-    runs of letters go straight to the tokenizer's model."""
+    """Ids of whole texts. Words are split and told apart in Arrow; the runs of letters and the punctuation after them
+    that a batch holds are looked up, and each new one goes to the tokenizer once. Exact for tokenizers whose tokens
+    cross neither ASCII white space nor the edge between a run of letters and ASCII punctuation after it, and that
+    lower-case; runs of ASCII and Latin-1 letters go straight to the tokenizer's model, other words to the tokenizer."""
 
     held: dict[str, "WordMemo"] = {}
 
@@ -81,67 +90,66 @@ class WordMemo:
         return cls.held[path]
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.pieces: dict[bytes, int] = {}
-        self.pool, self.start, self.size = array("I"), array("q"), array("q")
-
-    def keep(self, ids: list[int]) -> int:
-        """The number of a new entry."""
-        self.start.append(len(self.pool))
-        self.size.append(len(ids))
-        self.pool.extend(ids)
-        return len(self.size) - 1
-
-    def ids_of(self, entry: int) -> array:
-        a = self.start[entry]
-        return self.pool[a : a + self.size[entry]]
-
-    def learn(self, new: list[bytes]) -> None:
-        """Add words to the index."""
-        parts = [self.split(w) for w in new]
-        hard = []
-        for p in dict.fromkeys(p for w in parts for p in w if p not in self.pieces):
-            if letters := self.letters(p):
-                self.pieces[p] = self.keep([t.id for t in self.model.tokenize(letters)])
+        self.entry: dict[str, int] = {}
+        self.pool, self.start = array("I"), array("q", [0])
+
+    def entries(self, pieces: list[str], letters: bool) -> np.ndarray:
+        """Numbers of the pieces' entries, new ones being encoded; letters: all are runs of lower-case letters."""
+        start, pool = self.start, self.pool
+        got = np.array(list(map(self.entry.get, pieces, repeat(-1))), np.int64)
+        at = np.flatnonzero(got < 0)
+        if len(at):
+            new = [pieces[k] for k in at.tolist()]
+            if letters:
+                tokenize = self.model.tokenize
+                plain = [p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS) for p in new]
+                ids = ([t.id for t in tokenize(p)] for p in plain)
             else:
-                hard.append(p)
-        for p, e in zip(hard, self.tokenizer.encode_batch_fast([p.decode() for p in hard], add_special_tokens=False), strict=True):
-            self.pieces[p] = self.keep(e.ids)
-        for w, own in zip(new, parts, strict=True):
-            first = self.pieces[own[0]]
-            self.index[w] = first if len(own) == 1 else self.keep(self.ids_of(first) + self.ids_of(self.pieces[own[1]]))
-
-    @staticmethod
-    def split(word: bytes) -> tuple[bytes, ...]:
-        """The letters, lower-cased, and the punctuation after them; the word itself if it is anything else."""
-        core, tail = TAIL.fullmatch(word).groups()
-        if core.isalpha():
-            return (core.lower(), tail) if tail else (core.lower(),)
-        return (core, tail) if tail and core.decode().isalpha() else (word,)
-
-    def letters(self, piece: bytes) -> str:
-        """What the tokenizer's own model gets for a piece that is one run of letters, byte by byte; '' for others."""
-        if piece.isalpha():
-            return piece.decode()
-        if piece.isascii():
-            return ""
-        text = piece.decode()
-        if not text.isalpha() or not (text := self.tokenizer.normalizer.normalize_str(text)).isalpha():
-            return ""
-        return text.encode().decode("latin-1").translate(BYTE_CHARS)
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.size) > MEMO_WORDS:
+                ids = (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
+            got[at] = np.arange(len(new)) + len(start) - 1
+            self.entry.update(zip(new, got[at].tolist(), strict=True))
+            for x in ids:
+                pool.extend(x)
+                start.append(len(pool))
+        return got
+
+    def of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after another, and how many each word has."""
+        core = pc.ascii_rtrim(words, TAIL)
+        plain = pc.match_substring_regex(core, PLAIN)
+        tail = pc.binary_length(words).to_numpy() - pc.binary_length(core).to_numpy()
+        split = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        whole = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        ends = split[tail[split] > 0]
+        first, second = np.zeros(len(words), np.int64), np.full(len(words), -1)
+        for at, pieces, letters in (
+            (split, pc.utf8_lower(core.take(pa.array(split))), True),
+            (whole, words.take(pa.array(whole)), False),
+            (ends, pa.array([w[-n:] for w, n in zip(words.take(pa.array(ends)).to_numpy(zero_copy_only=False).tolist(), tail[ends].tolist(), strict=True)], pa.string()), False),
+        ):
+            coded = pieces.dictionary_encode()
+            number = self.entries(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), letters)[coded.indices.to_numpy()]
+            (second if at is ends else first)[at] = number
+        start = np.append(np.frombuffer(self.start, np.int64), len(self.pool))  # the last has no ids: no tail
+        two = np.column_stack([first, second]).ravel()
+        two[two < 0] = len(start) - 2
+        size = start[two + 1] - start[two]
+        return np.frombuffer(self.pool, np.uint32)[_spread(start[two], size)] if len(self.pool) else np.zeros(0, np.uint32), size.reshape(-1, 2).sum(axis=1)
+
+    def __call__(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text; null: none."""
+        if len(self.start) > MEMO_WORDS:
             self.clear()
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]  # lower case might make a special token
-        every = list(chain.from_iterable(words))
-        self.learn([w for w in dict.fromkeys(every) if w not in self.index])
-        k = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        size = np.frombuffer(self.size, np.int64)[k] if len(k) else k
-        ends = np.cumsum(size)
-        ids = np.frombuffer(self.pool, np.uint32)[np.repeat(np.frombuffer(self.start, np.int64)[k] - ends + size, size) + np.arange(ends[-1])] if len(k) else np.zeros(0, np.uint32)
-        cuts = np.cumsum([len(w) for w in words])[:-1]
-        return np.split(ids, np.concatenate([[0], ends])[cuts])
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        cuts = np.cumsum(pc.list_value_length(split).to_numpy())
+        if not len(words):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        ids, size = self.of_words(words)
+        each = size[at]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return np.split(ids[_spread((np.cumsum(size) - size)[at], each)], upto[cuts[:-1]])
 
 
 def token_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -163,8 +171,8 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             n = pa.array([[len(x) + 1 for x in ids]], pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), n, pa.array([held], pa.int64()), pa.array([int(kind[2])], pa.int32()), pa.array([body], pa.binary())], ["part", "block", "doc_ids", "lengths", "n_ids", "width", "ids"])
 
-        for batch in slices(batches, "text", 2 << 20):
-            got = memo([t or b"" for t in utf8(batch.column("text"))])
+        for batch in slices(batches, "text", 16 << 20):
+            got = memo(batch.column("text"))
             for d, x in zip(batch.column("doc_id").to_pylist(), got, strict=True):
                 if ids and held + len(x) >= BLOCK_IDS:
                     yield cut()
