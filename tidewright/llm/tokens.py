@@ -26,7 +26,7 @@ from .common import release, scratch, settle, slices, table
 #: Ids that a block has, unless its last document is longer.
 BLOCK_IDS = 1 << 19
 #: Runs of letters and other pieces whose ids a Python worker keeps.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 
 #: ASCII punctuation that may end a word (no apostrophe), and words whose lower case is one letter for one and needs no normal form.
 TAIL = string.punctuation.replace("'", "")
@@ -171,7 +171,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             n = pa.array([[len(x) + 1 for x in ids]], pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), n, pa.array([held], pa.int64()), pa.array([int(kind[2])], pa.int32()), pa.array([body], pa.binary())], ["part", "block", "doc_ids", "lengths", "n_ids", "width", "ids"])
 
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             got = memo(batch.column("text"))
             for d, x in zip(batch.column("doc_id").to_pylist(), got, strict=True):
                 if ids and held + len(x) >= BLOCK_IDS:
