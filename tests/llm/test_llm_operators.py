@@ -101,11 +101,25 @@ def test_op3_suffix_array_order():
             assert order == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
-@pytest.mark.parametrize("together", [8_000, 3])
-def test_op3_matches_brute_force(spark, monkeypatch, together):
-    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+def test_op3_units_do_not_depend_on_segments(monkeypatch):
+    rnd = np.random.default_rng(5)
+    t, ends = rnd.integers(0, 3, 5000).astype(np.uint8), np.array([20, 69, 70, 70, 900, 4000, 5000])
+    owner = np.searchsorted(ends, np.arange(5000), side="right")
+    for segment in (1 << 16, 64, 1):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+        at = {}
+        for start, n, place in zip(*suffix_dedup.units_of(t, ends), strict=True):
+            at |= {int(i): int(place) for i in range(start, start + n)}
+        assert set(at) == {i for i in range(4951) if owner[i] == owner[i + 49]}
+        assert all(i <= a <= i + 30 for i, a in at.items())
+        keys = suffix_dedup.gram_keys(t)
+        assert all(keys[a] == keys[i : i + 31].min() for i, a in at.items())
+
+
+@pytest.mark.parametrize("crowd", [12_000, 3, 1])
+def test_op3_matches_brute_force(spark, crowd):
     rows, df = corpus(spark, 3)
-    got, seen = by_id(suffix_dedup.removed_repeats(df)), {}
+    got, seen = by_id(suffix_dedup.removed_repeats(df, crowd)), {}
     for i, t, *_ in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))

@@ -1,73 +1,87 @@
 """Exact-substring dedup by difference-cover suffix arrays.
 
 A window of LENGTH bytes is anchored at the least hash of the GRAM-byte strings in it, so equal windows have equal
-anchors at the same place. Only windows whose anchor lies in several documents can repeat; the windows of one
-anchor make a unit of at most 2 * LENGTH - GRAM bytes. Equal units are merged with their smallest doc_id. Spark deals
-the units out by anchor, and each task sorts the suffixes of its units, a bounded piece at a time, by the
-difference-cover algorithm: triples at two of three places are sorted and named, names are recursed upon, the
-remaining suffixes are merged in. Adjacent suffixes with equal prefixes share the smallest doc_id of any of them.
+anchors at the same place. The windows of one anchor that follow one another make a unit of at most
+2 * LENGTH - GRAM bytes. Texts lie in blocks. Each block sends its distinct anchors, as sorted arrays, to the buckets
+of a shuffle; the buckets answer which anchors occur more than once. For these the blocks send their units to the
+buckets. Equal units share their smallest doc_id; different units of one anchor are compared by a suffix array of
+their bytes: triples at two of three places are sorted and named, names are recursed upon, the remaining suffixes
+are merged in, and adjacent suffixes with equal prefixes share the smallest doc_id of any of them. The blocks get the answers and cut their texts. An anchor that occurs very often is left out of the
+suffix arrays: its windows count as units of their own, which any number of buckets share.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, settle, slices, table, utf8
+from .common import discard, release, settle, slices, table, utf8
 from .shingles import mix
 
 #: Bytes of a repeated string, and of the strings that anchor it.
 LENGTH, GRAM = 50, 20
-#: Bytes that one suffix array is built of, and units of one anchor that are still sorted together.
-PIECE, TOGETHER = 1 << 20, 8_000
-#: Bytes of a text that are anchored at a time; places need 20 bits.
-SEGMENT = 1 << 20
-_B = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that one suffix array is built of, and occurrences of an anchor whose units are still sorted together.
+PIECE, CROWD = 1 << 18, 12_000
+#: Bytes of text in a block, unless its one text is longer, and windows that are anchored at a time.
+BLOCK, SEGMENT = 4 << 20, 1 << 16
+_B, _M = np.uint32(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(63)
 
 
-def gram_hashes(t: np.ndarray, k: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of each k-byte string of t."""
+def gram_keys(t: np.ndarray, k: int = GRAM) -> np.ndarray:
+    """A 32-bit hash of each k-byte string of t."""
     n = len(t) - k + 1
-    power, have = {1: t.astype(np.uint64) + np.uint64(1)}, 1
+    power, have = {1: t.astype(np.uint32) + np.uint32(1)}, 1
     while have * 2 <= k:
-        x, b = power[have], np.uint64(pow(int(_B), have, 1 << 64))
-        power[have * 2] = x[:-have] * b + x[have:]
+        x = power[have]
+        power[have * 2] = x[:-have] * np.uint32(pow(int(_B), have, 1 << 32)) + x[have:]
         have *= 2
-    out, at = np.zeros(n, np.uint64), 0
+    out, at = np.zeros(n, np.uint32), 0
     for size in sorted(power, reverse=True):
         if k - at >= size:
-            out = out * np.uint64(pow(int(_B), size, 1 << 64)) + power[size][at : at + n]
+            out = out * np.uint32(pow(int(_B), size, 1 << 32)) + power[size][at : at + n]
             at += size
-    return mix(out)
+    for shift, factor in ((15, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        out = (out ^ (out >> np.uint32(shift))) * np.uint32(factor)
+    return out ^ (out >> np.uint32(16))
+
+
+def string_hashes(t: np.ndarray, at: np.ndarray, size: np.ndarray | int, most: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of the strings of t that start at `at` and have `size` bytes, 8 to `most`."""
+    eight = np.lib.stride_tricks.sliding_window_view(t, 8)
+    out = mix(np.full(len(at), seed, np.uint64) + np.asarray(size).astype(np.uint64) * _M)
+    for k in range(0, most, 8):  # the last eight bytes again where no more are left
+        word = np.ascontiguousarray(eight[at + np.minimum(k, size - 8)]).view(np.uint64).ravel()
+        out = mix(out * _M + word)
+    return out
 
 
-def units_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number of windows and anchor hash of the units of a text, in order."""
+def units_of(t: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number of windows and anchor's place of the units of texts that lie in t one after another."""
     got = []
-    for base in range(0, max(1, len(text) - LENGTH + 1), SEGMENT - LENGTH):
-        t = np.frombuffer(text[base : base + SEGMENT - 1], np.uint8)
-        if len(t) < LENGTH:
-            break
-        h = gram_hashes(t)
-        place = np.uint64(SEGMENT - 1)
-        key = (h & ~place) | np.arange(len(h), dtype=np.uint64)
-        least, span, width = key, 1, LENGTH - GRAM + 1
+    for base in range(0, len(t) - LENGTH + 1, SEGMENT):
+        part = t[base : base + SEGMENT + LENGTH - 1]
+        least = gram_keys(part).astype(np.uint64)
+        least = least << np.uint64(32) | np.arange(len(least), dtype=np.uint64)
+        span, width = 1, LENGTH - GRAM + 1
         while span * 2 <= width:
             least, span = np.minimum(least[:-span], least[span:]), span * 2
         if width > span:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        anchor = (least & place).astype(np.int64)
-        anchor = anchor[: SEGMENT - LENGTH]
-        first = np.concatenate([[0], np.nonzero(np.diff(anchor))[0] + 1])
-        got.append((first + base, np.diff(np.append(first, len(anchor))), h[anchor[first]]))
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+        anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        for e in ends[np.searchsorted(ends, base + 1) : np.searchsorted(ends, base + len(part))]:
+            anchor[max(0, e - base - LENGTH + 1) : e - base] = -1  # windows over the end of a text
+        first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
+        n, place = np.diff(np.append(first, len(anchor))), anchor[first]
+        some = place >= 0
+        got.append((first[some] + base, n[some], place[some] + base))
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
 
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -137,140 +151,255 @@ def earlier(texts: list[bytes], first: np.ndarray) -> list[np.ndarray]:
     return np.split(hit[place], np.cumsum(size - LENGTH + 1)[:-1])
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, hashes): the distinct anchors of each text."""
+def _pad(body: bytes) -> np.ndarray:
+    return np.frombuffer(body + b"\0" * 8, np.uint8)
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """(block, doc_ids, sizes, body): texts (doc_id, text), compressed, about BLOCK bytes together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            own = [np.unique(units_of(t or b"")[2]).view(np.int64) for t in utf8(batch.column("text"))]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], ["doc_id", "hashes"])
+        from pyspark import TaskContext
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>")
+        number = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text", BLOCK):
+            texts = [t or b"" for t in utf8(batch.column("text"))]
+            columns = [[number], [batch.column("doc_id").to_pylist()], [list(map(len, texts))], [pa.compress(b"".join(texts), "zstd", asbytes=True)]]
+            number += 1
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "doc_ids", "sizes", "body"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, doc_ids array<long>, sizes array<long>, body binary")
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, n, anchor, body) of the units of texts (doc_id, text, shared) with an anchor in shared."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            out: list[list] = [[] for _ in range(6)]
-            for d, t, shared in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("shared"), strict=True):
-                start, n, h = units_of(t)
-                known = np.sort(np.array(shared.values))
-                h = h.view(np.int64)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                keep = known[at] == h
-                start, n, h = start[keep].tolist(), n[keep].tolist(), h[keep].tolist()
-                key = hashlib.md5(t).digest()
-                for col, x in zip(out, ([d] * len(n), [key] * len(n), start, n, h, [t[a : a + k + LENGTH - 1] for a, k in zip(start, n, strict=True)]), strict=True):
-                    col.extend(x)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "text_key", "start", "n", "anchor", "body"])
-
-    return docs.select("doc_id", "text", "shared").mapInArrow(run, "doc_id long, text_key binary, start long, n int, anchor long, body binary")
+class Block:
+    """The texts of a row of blocks_of(), those with a doc_id being compared."""
 
+    def __init__(self, row: dict) -> None:
+        self.ids, self.sizes = row["doc_ids"], np.array(row["sizes"], np.int64)
+        self.body = pa.decompress(row["body"], int(self.sizes.sum()), "zstd", asbytes=True)
+        self.ends = np.cumsum(self.sizes)
 
-def _runs(hit: np.ndarray) -> list[list[int]]:
-    """[start, length] of the runs of True."""
-    edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-    a, b = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    return np.column_stack([a, b - a]).tolist()
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, numbers of windows, anchors' places, doc_ids and anchors' hashes (lowest bits 0) of all units."""
+        self.t = _pad(self.body)
+        start, n, place = units_of(self.t[:-8], self.ends)
+        text = np.searchsorted(self.ends, start, side="right")
+        known = np.array([d is not None for d in self.ids], bool)[text]
+        start, n, place = start[known], n[known], place[known]
+        ids = np.array([d or 0 for d in self.ids], np.int64)[text[known]]
+        return start, n, place, ids, string_hashes(self.t, place, GRAM, GRAM, 1) & ~_LOW
 
 
-def repeated_windows(units: DataFrame) -> DataFrame:
-    """(key, first, runs) for units (anchor, key, body, first): runs of windows that lie in a unit of smaller first; units without any are left out.
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
-    Rows come in order of anchor, the units of one anchor together.
-    """
+
+def _dealt(h: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """Buckets and the places of the hashes that fall into them."""
+    bucket = ((h >> np.uint64(6)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    return [(int(bucket[p[0]]), p) for p in np.split(order, cuts) if len(p)]
+
+
+def _by_bucket(rows: DataFrame, n: int, answer: Callable[[list[dict]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """answer() for the rows (bucket, ...) of each bucket; buckets are numbers below n, one for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
+        held: list[dict] = []
+        for r in [*_rows(batches), None]:
+            if held and (r is None or r["bucket"] != held[0]["bucket"]):
+                found = list(answer(held))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [()] * len(schema), schema, strict=True)], schema=schema)
+                held = []
+            held += [r] if r else []
+
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
 
-        def sort() -> pa.RecordBatch:
-            hits = earlier([r[2] for r in rows], np.array([r[3] for r in rows]))
-            found = [(r[1], r[3], _runs(h)) for r, h in zip(rows, hits, strict=True) if h.any()]
-            cols = list(zip(*found, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.list_(pa.int32())))], ["key", "first", "runs"])
 
-        for batch in batches:
-            for r in zip(batch.column("anchor").to_pylist(), utf8(batch.column("key")), utf8(batch.column("body")), batch.column("first").to_pylist(), strict=True):
-                if rows and held > PIECE // 4 and r[0] != rows[-1][0]:
-                    yield sort()
-                    rows, held = [], 0
-                rows.append(r)
-                held += len(r[2]) + 1
-        if rows:
-            yield sort()
+def anchors(blocks: DataFrame, n: int) -> DataFrame:
+    """(bucket, block, hashes): distinct anchors of each block, the lowest bits being the power of two that bounds their number."""
 
-    return units.mapInArrow(run, "key binary, first long, runs array<array<int>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            h, count = np.unique(Block(r).units()[4], return_counts=True)
+            h |= np.ceil(np.log2(count)).astype(np.uint64)
+            dealt = _dealt(h, n)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in dealt], pa.int32()), pa.array([r["block"]] * len(dealt), pa.int64()), pa.array([h[p].tobytes() for _, p in dealt], pa.binary())], ["bucket", "block", "hashes"])
+
+    return blocks.mapInArrow(run, "bucket int, block long, hashes binary")
+
+
+def _shared(rows: list[dict], crowd: int) -> Iterator[tuple]:
+    """(block, hashes) of anchors that occur more than once; the lowest bit marks those that occur more than `crowd` times."""
+    own = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+    every = np.concatenate(own)
+    h, at = np.unique(every & ~_LOW, return_inverse=True)
+    number = np.bincount(at, (1 << (every & _LOW).astype(np.int64)).astype(float), len(h))
+    keep = (number > 1)[at]
+    marked = (h | (number > crowd).astype(np.uint64))[at]
+    ends = np.cumsum([len(x) for x in own])
+    for r, a, k in zip(rows, np.split(marked, ends[:-1]), np.split(keep, ends[:-1]), strict=True):
+        if k.any():
+            yield r["block"], a[k].tobytes()
+
+
+def units(blocks: DataFrame, n: int) -> DataFrame:
+    """Units of blocks (block, doc_ids, sizes, body, shared) with a shared anchor: two kinds of rows.
+
+    With a bucket: `heads` has, for each distinct unit of the block, anchor, key, least doc_id, number in the
+    block, windows (0: the unit is one window of a crowded anchor), anchor's place in it and whether it is in
+    several rows; `bodies` has their bytes. Without: `heads` has number, start, windows and doc_id of each unit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            block = Block(r)
+            start, size, place, ids, h = block.units()
+            known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in r["shared"]]))
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            found = (known[at] & ~_LOW) == h
+            start, size, place, ids, h, crowd = (x[found] for x in (start, size, place, ids, h, (known[at] & np.uint64(1)) > 0))
+            times = np.where(crowd, size, 1)  # a window of a crowded anchor stands alone
+            begin = np.cumsum(times) - times
+            each = np.repeat(np.arange(len(start)), times)
+            start, place, ids, crowd = start[each] + np.arange(len(each)) - begin[each], place[each], ids[each], crowd[each]
+            size, h = np.where(crowd, 1, size[each]), h[each]
+            alone = np.flatnonzero(crowd)
+            h[alone] = string_hashes(block.t, start[alone], LENGTH, LENGTH, 3) & ~_LOW
+            key = string_hashes(block.t, start, size + LENGTH - 1, 2 * LENGTH - GRAM, 2)
+            order = np.lexsort((ids, key, h))
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])]) if len(h) else np.zeros(0, bool)
+            number = np.empty(len(h), np.int64)
+            number[order] = np.cumsum(new) - 1
+            one = order[new]  # of each distinct unit, the place of the least doc_id
+            last = order[np.append(new[1:], True)] if len(h) else one
+            heads = np.column_stack([h[one].view(np.int64), key[one].view(np.int64), ids[one], np.arange(len(one)), np.where(crowd[one], 0, size[one]), place[one] - start[one], ids[last] > ids[one]])
+            rows = [(b, heads[p].tobytes(), b"".join(block.body[a : a + k + LENGTH - 1] for a, k in zip(start[one[p]].tolist(), heads[p, 4].tolist(), strict=True) if k)) for b, p in _dealt(h[one], n)]
+            rows.append((None, np.column_stack([number, start, size, ids]).tobytes(), None))
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([r["block"]] * len(rows), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "block", "heads", "bodies"])
+
+    return blocks.mapInArrow(run, "bucket int, block long, heads binary, bodies binary")
+
+
+def _halves_met(t: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a unit shares, with another of its anchor, the bytes at one side of it that half of its windows need."""
+    half = (LENGTH - GRAM) // 2
+    met = np.zeros(len(at), bool)
+    for some, offset, n in ((place - size + 1 <= half, GRAM, half), (place > half, -half - 1, half + 1)):
+        k = np.flatnonzero(some)
+        _, inverse, count = np.unique(string_hashes(t, at[k] + place[k] + offset, n, n, 4) ^ h[k], return_inverse=True, return_counts=True)
+        met[k] |= (count > 1)[inverse]
+    return met
+
+
+def _compared(rows: list[dict]) -> Iterator[tuple]:
+    """(block, firsts, runs): of the block's units by number, the least doc_id of equal ones, and runs of windows that lie in a unit of smaller doc_id, for those that have that least doc_id."""
+    heads = [np.frombuffer(r["heads"], np.int64).reshape(-1, 7) for r in rows]
+    every = np.concatenate(heads)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in heads])
+    t = _pad(b"".join(r["bodies"] for r in rows))
+    size = np.where(every[:, 4] > 0, every[:, 4] + LENGTH - 1, 0)
+    begin = np.cumsum(size) - size
+    order = np.lexsort((every[:, 2], every[:, 1], every[:, 0]))
+    s = every[order]
+    new = np.concatenate([[True], (s[1:, :2] != s[:-1, :2]).any(axis=1)])
+    group = np.empty(len(every), np.int64)
+    group[order] = np.cumsum(new) - 1
+    one = order[new]
+    first, times = every[one, 2], np.bincount(group)
+    number = np.cumsum(np.concatenate([[True], np.diff(every[one, 0]) != 0])) - 1  # of the anchor
+    several = np.flatnonzero((np.bincount(number) > 1)[number] & (every[one, 4] > 0))
+    several = several[_halves_met(t, begin[one[several]], every[one[several], 4], every[one[several], 5], every[one[several], 0].view(np.uint64))]
+    runs: dict[int, list[list[int]]] = {}
+    upto = np.cumsum(size[one[several]] + 1)
+    cut = np.concatenate([[0], np.flatnonzero((np.diff(number[several]) != 0) & (np.diff(upto // PIECE) != 0)) + 1, [len(several)]]) if len(several) else []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        g = several[a:b]
+        k = one[g]
+        for x, hit in zip(g.tolist(), earlier([t[i : i + n].tobytes() for i, n in zip(begin[k].tolist(), size[k].tolist(), strict=True)], first[g]), strict=True):
+            if hit.any():
+                runs[x] = _runs(hit)
+    tell = (times[group] > 1) | (every[:, 6] > 0)
+    for k, r in enumerate(rows):
+        own = np.flatnonzero(row == k)
+        firsts = own[tell[own]]
+        hits = [(int(every[i, 3]), int(first[g]), *x) for i in own.tolist() if (g := int(group[i])) in runs and every[i, 2] == first[g] for x in runs[g]]
+        if len(firsts) or hits:
+            yield r["block"], np.column_stack([every[firsts, 3], first[group[firsts]]]).tobytes(), np.array(hits, np.int64).tobytes()
 
 
-def _windows_alone(units: DataFrame) -> DataFrame:
-    """repeated_windows() for anchors with very many units: each window is grouped by its bytes."""
-    each = units.select("key", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("body") - LENGTH + 1), lambda i: F.substring("body", i, F.lit(LENGTH)))).alias("at", "w"))
-    least = each.groupBy("w").agg(F.min("first").alias("least"))
-    hit = each.join(least, "w").where("least < first")
-    return hit.groupBy("key").agg(F.min("first").alias("first"), F.collect_list(F.array(F.col("at"), F.lit(1))).alias("runs"))
+def _runs(hit: np.ndarray) -> list[list[int]]:
+    """[start, length] of the runs of True."""
+    edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
+    a, b = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    return np.column_stack([a, b - a]).tolist()
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of texts (doc_id, text, spans); spans are [start, windows], or null."""
+def cut(blocks: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each text of blocks (block, doc_ids, sizes, body, own, answers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            out: list[list] = [[] for _ in range(4)]
-            for t, spans in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                t = t or b""
-                gone = np.zeros(len(t) + 1, np.int32)
-                for a, k in spans or ():
-                    gone[a] += 1
-                    gone[a + k + LENGTH - 1] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-                n = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
-                for col, x in zip(out, (len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest()), strict=True):
-                    col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return docs.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def removed_repeats(docs: DataFrame) -> DataFrame:
+        for r in _rows(batches):
+            block = Block(r)
+            edge = np.zeros(len(block.body) + 1, np.int32)
+            if r["answers"]:
+                number, start, size, ids = np.frombuffer(r["own"], np.int64).reshape(-1, 4).T
+                first = np.full(number.max(initial=0) + 1, np.iinfo(np.int64).max)
+                told = np.concatenate([np.frombuffer(x["firsts"], np.int64) for x in r["answers"]]).reshape(-1, 2)
+                first[told[:, 0]] = told[:, 1]
+                gone = first[number] < ids
+                spans = [(start[gone], size[gone])]
+                runs = np.concatenate([np.frombuffer(x["runs"], np.int64) for x in r["answers"]]).reshape(-1, 4)
+                order = np.argsort(number, kind="stable")  # the occurrences of each run's unit
+                a, b = (np.searchsorted(number[order], runs[:, 0], side=side) for side in ("left", "right"))
+                for of, low, high in zip(runs.tolist(), a.tolist(), b.tolist(), strict=True):
+                    k = order[low:high]
+                    k = k[ids[k] == of[1]]
+                    spans.append((start[k] + of[2], np.full(len(k), of[3])))
+                start, size = (np.concatenate(x) for x in zip(*spans, strict=True))
+                np.add.at(edge, start, 1)
+                np.subtract.at(edge, start + size + LENGTH - 1, 1)
+            removed = np.cumsum(edge)[:-1] > 0
+            t, out = np.frombuffer(block.body, np.uint8), []
+            for a, b in zip((block.ends - block.sizes).tolist(), block.ends.tolist(), strict=True):
+                gone = removed[a:b]
+                n = int(np.count_nonzero(gone))
+                kept = t[a:b][~gone] if n else t[a:b]
+                out.append((b - a, n, int(gone[:1].sum()) + int(np.count_nonzero(gone[1:] > gone[:-1])) if n else 0, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return blocks.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def removed_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """What is left of documents (doc_id, text; other columns are ignored) without strings of LENGTH bytes that start in a document of smaller doc_id.
 
     Null and empty texts have no bytes. Rows of one doc_id are not compared with each other, and a row without
-    doc_id with none: it stays whole. Repeated rows keep a row each.
+    doc_id with none: it stays whole. Repeated rows keep a row each. A text of any length is anchored a segment
+    at a time, but is held whole by one task. No documents give no rows.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", "text")
-    own = settle(anchors(base.where("doc_id is not null and text is not null")), "repeat-anchors")
-    each = own.select("doc_id", F.explode("hashes").alias("h"))
-    several = settle(each.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "repeat-shared")
-    release(spark)
-    shared = settle(each.join(several, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "repeat-docs")
-    release(spark)
-    found = settle(occurrences(base.join(shared, "doc_id")).withColumn("key", F.unhex(F.md5("body"))), "repeat-units")
-    release(spark)
-    units = settle(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("body").alias("body"), F.min("anchor").alias("anchor")), "repeat-distinct")
-    release(spark)
-    crowd = settle(units.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > TOGETHER).select("anchor"), "repeat-crowd")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    some = units.join(crowd, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor").select("anchor", "key", "body", "first")
-    parts = repeated_windows(some).unionByName(_windows_alone(units.join(crowd, "anchor", "left_semi")))
-    parts = settle(parts, "repeat-runs")
+    blocks = settle(blocks_of(docs), "repeat-blocks", "none")
+    answer = pa.schema([("block", pa.int64()), ("hashes", pa.binary())])
+    shared = settle(_by_bucket(anchors(blocks, n), n, partial(_shared, crowd=crowd), answer, "block long, hashes binary"), "repeat-shared")
+    release(spark)
+    known = shared.groupBy("block").agg(F.collect_list("hashes").alias("shared"))
+    found = settle(units(blocks.join(known, "block"), n), "repeat-units")
+    discard(shared)
     release(spark)
-    firsts = units.select("key", "first")
-    later = found.select("doc_id", "text_key", "start", "n", "key").join(firsts, "key")
-    whole = later.where("doc_id > first").select("doc_id", "text_key", "start", "n")
-    partly = later.where("doc_id = first").join(parts.drop("first"), "key").select("doc_id", "text_key", "start", F.explode("runs").alias("r"))
-    spans = whole.unionByName(partly.select("doc_id", "text_key", (F.col("start") + F.col("r")[0]).alias("start"), F.col("r")[1].alias("n")))
-    spans = settle(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.array(F.col("start").cast("int"), "n")).alias("spans")), "repeat-spans")
+    answer = pa.schema([("block", pa.int64()), ("firsts", pa.binary()), ("runs", pa.binary())])
+    told = settle(_by_bucket(found.where("bucket is not null"), n, _compared, answer, "block long, firsts binary, runs binary"), "repeat-told")
     release(spark)
-    keyed = base.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    return cut(keyed.join(spans, ["doc_id", "text_key"], "left"))
+    own = found.where("bucket is null").select("block", F.col("heads").alias("own"))
+    answers = told.groupBy("block").agg(F.collect_list(F.struct("firsts", "runs")).alias("answers"))
+    return cut(blocks.join(own, "block", "left").join(answers, "block", "left"))
 
 
 def op3_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
