@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,13 @@ LENGTH, GRAM = 50, 20
 #: Bytes that one suffix array is built of, and occurrences of an anchor whose units are still sorted together.
 PIECE, CROWD = 1 << 18, 12_000
 #: Bytes of text in a block, unless its one text is longer, and windows that are anchored at a time.
-BLOCK, SEGMENT = 4 << 20, 1 << 16
+BLOCK, SEGMENT = 2 << 20, 1 << 16
 _B, _M = np.uint32(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(63)
+#: A distinct unit of a block: anchor, key, least doc_id, number in the block, windows (0: one window of a crowded anchor),
+#: the anchor's place in it, whether it is in several rows. An occurrence: the unit's number, start and windows.
+HEAD = np.dtype([("h", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("number", "<u4"), ("n", "u1"), ("place", "u1"), ("several", "u1")])
+OWN = np.dtype([("number", "<u4"), ("start", "<u4"), ("n", "u1")])
 
 
 def gram_keys(t: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -197,6 +202,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+def _packed(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), kind)
+    for name, c in zip(kind.names, columns, strict=True):
+        out[name] = c
+    return out
+
+
 def _dealt(h: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     """Buckets and the places of the hashes that fall into them."""
     bucket = ((h >> np.uint64(6)) % np.uint64(n)).astype(np.int64)
@@ -210,7 +222,7 @@ def _by_bucket(rows: DataFrame, n: int, answer: Callable[[list[dict]], Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        for r in [*_rows(batches), None]:
+        for r in chain(_rows(batches), [None]):
             if held and (r is None or r["bucket"] != held[0]["bucket"]):
                 found = list(answer(held))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [()] * len(schema), schema, strict=True)], schema=schema)
@@ -250,9 +262,7 @@ def _shared(rows: list[dict], crowd: int) -> Iterator[tuple]:
 def units(blocks: DataFrame, n: int) -> DataFrame:
     """Units of blocks (block, doc_ids, sizes, body, shared) with a shared anchor: two kinds of rows.
 
-    With a bucket: `heads` has, for each distinct unit of the block, anchor, key, least doc_id, number in the
-    block, windows (0: the unit is one window of a crowded anchor), anchor's place in it and whether it is in
-    several rows; `bodies` has their bytes. Without: `heads` has number, start, windows and doc_id of each unit.
+    With a bucket: HEADs of distinct units, and their bytes, compressed. Without: OWNs of all units.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +287,12 @@ def units(blocks: DataFrame, n: int) -> DataFrame:
             number[order] = np.cumsum(new) - 1
             one = order[new]  # of each distinct unit, the place of the least doc_id
             last = order[np.append(new[1:], True)] if len(h) else one
-            heads = np.column_stack([h[one].view(np.int64), key[one].view(np.int64), ids[one], np.arange(len(one)), np.where(crowd[one], 0, size[one]), place[one] - start[one], ids[last] > ids[one]])
-            rows = [(b, heads[p].tobytes(), b"".join(block.body[a : a + k + LENGTH - 1] for a, k in zip(start[one[p]].tolist(), heads[p, 4].tolist(), strict=True) if k)) for b, p in _dealt(h[one], n)]
-            rows.append((None, np.column_stack([number, start, size, ids]).tobytes(), None))
+            heads = _packed(HEAD, h[one], key[one], ids[one], np.arange(len(one)), np.where(crowd[one], 0, size[one]), place[one] - start[one], ids[last] > ids[one])
+            rows = []
+            for b, p in _dealt(h[one], n):
+                body = b"".join(block.body[a : a + k + LENGTH - 1] for a, k in zip(start[one[p]].tolist(), heads["n"][p].tolist(), strict=True) if k)
+                rows.append((b, heads[p].tobytes(), pa.compress(body, "zstd", asbytes=True)))
+            rows.append((None, _packed(OWN, number, start, size).tobytes(), None))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([r["block"]] * len(rows), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "block", "heads", "bodies"])
 
@@ -299,38 +312,43 @@ def _halves_met(t: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarr
 
 def _compared(rows: list[dict]) -> Iterator[tuple]:
     """(block, firsts, runs): of the block's units by number, the least doc_id of equal ones, and runs of windows that lie in a unit of smaller doc_id, for those that have that least doc_id."""
-    heads = [np.frombuffer(r["heads"], np.int64).reshape(-1, 7) for r in rows]
-    every = np.concatenate(heads)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in heads])
-    t = _pad(b"".join(r["bodies"] for r in rows))
-    size = np.where(every[:, 4] > 0, every[:, 4] + LENGTH - 1, 0)
+    heads = [np.frombuffer(r["heads"], HEAD) for r in rows]
+    x = np.concatenate(heads)
+    bytes_of = lambda n: np.where(n > 0, n.astype(np.int64) + LENGTH - 1, 0)
+    t = _pad(b"".join(pa.decompress(r["bodies"], int(bytes_of(y["n"]).sum()), "zstd", asbytes=True) for r, y in zip(rows, heads, strict=True)))
+    size = bytes_of(x["n"])
     begin = np.cumsum(size) - size
-    order = np.lexsort((every[:, 2], every[:, 1], every[:, 0]))
-    s = every[order]
-    new = np.concatenate([[True], (s[1:, :2] != s[:-1, :2]).any(axis=1)])
-    group = np.empty(len(every), np.int64)
+    order = np.lexsort((x["doc"], x["key"], x["h"]))
+    h, key = x["h"][order], x["key"][order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
+    group = np.empty(len(x), np.int64)
     group[order] = np.cumsum(new) - 1
     one = order[new]
-    first, times = every[one, 2], np.bincount(group)
-    number = np.cumsum(np.concatenate([[True], np.diff(every[one, 0]) != 0])) - 1  # of the anchor
-    several = np.flatnonzero((np.bincount(number) > 1)[number] & (every[one, 4] > 0))
-    several = several[_halves_met(t, begin[one[several]], every[one[several], 4], every[one[several], 5], every[one[several], 0].view(np.uint64))]
+    first, times = x["doc"][one], np.bincount(group)
+    number = np.cumsum(np.concatenate([[True], np.diff(x["h"][one]) != 0])) - 1  # of the anchor
+    contested = np.flatnonzero((np.bincount(number) > 1)[number] & (size[one] > 0))
+    k = one[contested]
+    contested = contested[_halves_met(t, begin[k], x["n"][k].astype(np.int64), x["place"][k].astype(np.int64), x["h"][k])]
     runs: dict[int, list[list[int]]] = {}
-    upto = np.cumsum(size[one[several]] + 1)
-    cut = np.concatenate([[0], np.flatnonzero((np.diff(number[several]) != 0) & (np.diff(upto // PIECE) != 0)) + 1, [len(several)]]) if len(several) else []
+    upto = np.cumsum(size[one[contested]] + 1)
+    cut = np.concatenate([[0], np.flatnonzero((np.diff(number[contested]) != 0) & (np.diff(upto // PIECE) != 0)) + 1, [len(contested)]]) if len(contested) else []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        g = several[a:b]
+        g = contested[a:b]
         k = one[g]
-        for x, hit in zip(g.tolist(), earlier([t[i : i + n].tobytes() for i, n in zip(begin[k].tolist(), size[k].tolist(), strict=True)], first[g]), strict=True):
+        for u, hit in zip(g.tolist(), earlier([t[i : i + n].tobytes() for i, n in zip(begin[k].tolist(), size[k].tolist(), strict=True)], first[g]), strict=True):
             if hit.any():
-                runs[x] = _runs(hit)
-    tell = (times[group] > 1) | (every[:, 6] > 0)
-    for k, r in enumerate(rows):
-        own = np.flatnonzero(row == k)
-        firsts = own[tell[own]]
-        hits = [(int(every[i, 3]), int(first[g]), *x) for i in own.tolist() if (g := int(group[i])) in runs and every[i, 2] == first[g] for x in runs[g]]
+                runs[u] = _runs(hit)
+    tell = (times[group] > 1) | (x["several"] > 0)
+    found = np.zeros(len(one), bool)
+    found[list(runs)] = True
+    ends = np.cumsum([len(y) for y in heads])
+    for r, a, b in zip(rows, (ends - [len(y) for y in heads]).tolist(), ends.tolist(), strict=True):
+        own = np.arange(a, b)
+        firsts = own[tell[a:b]]
+        own = own[found[group[a:b]] & (x["doc"][a:b] == first[group[a:b]])]
+        hits = [(i, d, *run) for i, d, g in zip(x["number"][own].tolist(), x["doc"][own].tolist(), group[own].tolist(), strict=True) for run in runs[g]]
         if len(firsts) or hits:
-            yield r["block"], np.column_stack([every[firsts, 3], first[group[firsts]]]).tobytes(), np.array(hits, np.int64).tobytes()
+            yield r["block"], np.column_stack([x["number"][firsts].astype(np.int64), first[group[firsts]]]).tobytes(), np.array(hits, np.int64).tobytes()
 
 
 def _runs(hit: np.ndarray) -> list[list[int]]:
@@ -348,7 +366,9 @@ def cut(blocks: DataFrame) -> DataFrame:
             block = Block(r)
             edge = np.zeros(len(block.body) + 1, np.int32)
             if r["answers"]:
-                number, start, size, ids = np.frombuffer(r["own"], np.int64).reshape(-1, 4).T
+                own = np.frombuffer(r["own"], OWN)
+                number, start, size = (own[c].astype(np.int64) for c in OWN.names)
+                ids = np.array([d or 0 for d in block.ids], np.int64)[np.searchsorted(block.ends, start, side="right")]
                 first = np.full(number.max(initial=0) + 1, np.iinfo(np.int64).max)
                 told = np.concatenate([np.frombuffer(x["firsts"], np.int64) for x in r["answers"]]).reshape(-1, 2)
                 first[told[:, 0]] = told[:, 1]
