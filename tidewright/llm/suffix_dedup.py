@@ -262,7 +262,7 @@ def _shared(rows: list[dict], crowd: int) -> Iterator[tuple]:
 def units(blocks: DataFrame, n: int) -> DataFrame:
     """Units of blocks (block, doc_ids, sizes, body, shared) with a shared anchor: two kinds of rows.
 
-    With a bucket: HEADs of distinct units, and their bytes, compressed. Without: OWNs of all units.
+    HEADs of distinct units, and their bytes, compressed; or OWNs of all units, without bytes, in any bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ def units(blocks: DataFrame, n: int) -> DataFrame:
             for b, p in _dealt(h[one], n):
                 body = b"".join(block.body[a : a + k + LENGTH - 1] for a, k in zip(start[one[p]].tolist(), heads["n"][p].tolist(), strict=True) if k)
                 rows.append((b, heads[p].tobytes(), pa.compress(body, "zstd", asbytes=True)))
-            rows.append((None, _packed(OWN, number, start, size).tobytes(), None))
+            rows.append((r["block"] % n, _packed(OWN, number, start, size).tobytes(), None))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([r["block"]] * len(rows), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "block", "heads", "bodies"])
 
@@ -311,7 +311,11 @@ def _halves_met(t: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarr
 
 
 def _compared(rows: list[dict]) -> Iterator[tuple]:
-    """(block, firsts, runs): of the block's units by number, the least doc_id of equal ones, and runs of windows that lie in a unit of smaller doc_id, for those that have that least doc_id."""
+    """(block, firsts, runs, own): of the block's units by number, the least doc_id of equal ones, and runs of windows that lie in a unit of smaller doc_id, for those that have that least doc_id. OWNs are passed on."""
+    yield from ((r["block"], None, None, r["heads"]) for r in rows if r["bodies"] is None)
+    rows = [r for r in rows if r["bodies"] is not None]
+    if not rows:
+        return
     heads = [np.frombuffer(r["heads"], HEAD) for r in rows]
     x = np.concatenate(heads)
     bytes_of = lambda n: np.where(n > 0, n.astype(np.int64) + LENGTH - 1, 0)
@@ -348,7 +352,7 @@ def _compared(rows: list[dict]) -> Iterator[tuple]:
         own = own[found[group[a:b]] & (x["doc"][a:b] == first[group[a:b]])]
         hits = [(i, d, *run) for i, d, g in zip(x["number"][own].tolist(), x["doc"][own].tolist(), group[own].tolist(), strict=True) for run in runs[g]]
         if len(firsts) or hits:
-            yield r["block"], np.column_stack([x["number"][firsts].astype(np.int64), first[group[firsts]]]).tobytes(), np.array(hits, np.int64).tobytes()
+            yield r["block"], np.column_stack([x["number"][firsts].astype(np.int64), first[group[firsts]]]).tobytes(), np.array(hits, np.int64).tobytes(), None
 
 
 def _runs(hit: np.ndarray) -> list[list[int]]:
@@ -411,15 +415,13 @@ def removed_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     shared = settle(_by_bucket(anchors(blocks, n), n, partial(_shared, crowd=crowd), answer, "block long, hashes binary"), "repeat-shared")
     release(spark)
     known = shared.groupBy("block").agg(F.collect_list("hashes").alias("shared"))
-    found = settle(units(blocks.join(known, "block"), n), "repeat-units")
+    answer = pa.schema([("block", pa.int64()), ("firsts", pa.binary()), ("runs", pa.binary()), ("own", pa.binary())])
+    told = _by_bucket(units(blocks.join(known, "block"), n), n, _compared, answer, "block long, firsts binary, runs binary, own binary")
+    told = settle(told, "repeat-told")
     discard(shared)
     release(spark)
-    answer = pa.schema([("block", pa.int64()), ("firsts", pa.binary()), ("runs", pa.binary())])
-    told = settle(_by_bucket(found.where("bucket is not null"), n, _compared, answer, "block long, firsts binary, runs binary"), "repeat-told")
-    release(spark)
-    own = found.where("bucket is null").select("block", F.col("heads").alias("own"))
-    answers = told.groupBy("block").agg(F.collect_list(F.struct("firsts", "runs")).alias("answers"))
-    return cut(blocks.join(own, "block", "left").join(answers, "block", "left"))
+    answers = F.collect_list(F.when(F.col("firsts").isNotNull(), F.struct("firsts", "runs"))).alias("answers")
+    return cut(blocks.join(told.groupBy("block").agg(answers, F.max("own").alias("own")), "block", "left"))
 
 
 def op3_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
