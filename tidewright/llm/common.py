@@ -91,6 +91,14 @@ def ranked(df: DataFrame, key: str, bucket: Column, order: list, out: str = "ran
     return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_b", "_k", "_c", "_off", "_rn")
 
 
+def dealt_table(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
+    """settle() in n buckets by `key`, so that joins on it do not shuffle df again."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{scratch(spark)}/{name}").option("compression", "none").saveAsTable(name)
+    return spark.table(name)
+
+
 def settle_seen(df: DataFrame, label: str, **seen: Column) -> tuple[DataFrame, dict]:
     """settle() and aggregates of df (not distinct ones), taken while it is written."""
     watch = Observation(label)

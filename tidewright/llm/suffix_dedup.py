@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, settle, slices, table, utf8
+from .common import dealt_table, discard, release, settle, slices, table, utf8
 from .shingles import mix
 
 #: Bytes of a repeated string, and of the strings that anchor it.
@@ -34,9 +34,9 @@ BLOCK, SEGMENT = 2 << 20, 1 << 16
 _B, _M = np.uint32(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(63)
 #: A distinct unit of a block: anchor, key, least doc_id, number in the block, windows (0: one window of a crowded anchor),
-#: the anchor's place in it, whether it is in several rows. An occurrence: the unit's number, start and windows.
+#: the anchor's place in it, whether it is in several rows. An occurrence: the unit's number, bytes from the last start, windows.
 HEAD = np.dtype([("h", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("number", "<u4"), ("n", "u1"), ("place", "u1"), ("several", "u1")])
-OWN = np.dtype([("number", "<u4"), ("start", "<u4"), ("n", "u1")])
+OWN = np.dtype([("number", "<u4"), ("step", "<u4"), ("n", "u1")])
 
 
 def gram_keys(t: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -209,6 +209,21 @@ def _packed(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _columns(rows: np.ndarray) -> bytes:
+    """The rows column by column, compressed, after their number."""
+    return len(rows).to_bytes(8, "little") + pa.compress(b"".join(rows[c].tobytes() for c in rows.dtype.names), "zstd", asbytes=True)
+
+
+def _restored(data: bytes, kind: np.dtype) -> np.ndarray:
+    """The rows of _columns()."""
+    n, at = int.from_bytes(data[:8], "little"), 0
+    plain, out = pa.decompress(data[8:], n * kind.itemsize, "zstd", asbytes=True), np.empty(n, kind)
+    for c in kind.names:
+        out[c] = np.frombuffer(plain, kind[c], n, at)
+        at += n * kind[c].itemsize
+    return out
+
+
 def _dealt(h: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     """Buckets and the places of the hashes that fall into them."""
     bucket = ((h >> np.uint64(6)) % np.uint64(n)).astype(np.int64)
@@ -229,7 +244,7 @@ def _by_bucket(rows: DataFrame, n: int, answer: Callable[[list[dict]], Iterator[
                 held = []
             held += [r] if r else []
 
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
+    return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, ddl)
 
 
 def anchors(blocks: DataFrame, n: int) -> DataFrame:
@@ -262,7 +277,7 @@ def _shared(rows: list[dict], crowd: int) -> Iterator[tuple]:
 def units(blocks: DataFrame, n: int) -> DataFrame:
     """Units of blocks (block, doc_ids, sizes, body, shared) with a shared anchor: two kinds of rows.
 
-    HEADs of distinct units, and their bytes, compressed; or OWNs of all units, without bytes, in any bucket.
+    HEADs of distinct units, and their bytes without the anchors', compressed; or OWNs of all units, without bytes, in any bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,15 +305,21 @@ def units(blocks: DataFrame, n: int) -> DataFrame:
             heads = _packed(HEAD, h[one], key[one], ids[one], np.arange(len(one)), np.where(crowd[one], 0, size[one]), place[one] - start[one], ids[last] > ids[one])
             rows = []
             for b, p in _dealt(h[one], n):
-                body = b"".join(block.body[a : a + k + LENGTH - 1] for a, k in zip(start[one[p]].tolist(), heads["n"][p].tolist(), strict=True) if k)
-                rows.append((b, heads[p].tobytes(), pa.compress(body, "zstd", asbytes=True)))
-            rows.append((r["block"] % n, _packed(OWN, number, start, size).tobytes(), None))
+                some = p[heads["n"][p] > 0]
+                ends = zip(start[one[some]].tolist(), place[one[some]].tolist(), heads["n"][some].tolist(), strict=True)
+                body = b"".join(block.body[a:m] + block.body[m + GRAM : a + k + LENGTH - 1] for a, m, k in ends)
+                rows.append((b, _columns(heads[p]), pa.compress(body, "zstd", asbytes=True)))
+            rows.append((r["block"] % n, _columns(_packed(OWN, number, np.diff(start, prepend=0), size)), None))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([r["block"]] * len(rows), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bucket", "block", "heads", "bodies"])
 
     return blocks.mapInArrow(run, "bucket int, block long, heads binary, bodies binary")
 
 
+def _spread(start: np.ndarray, n: int) -> np.ndarray:
+    return (start[:, None] + np.arange(n)).ravel()
+
+
 def _halves_met(t: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether a unit shares, with another of its anchor, the bytes at one side of it that half of its windows need."""
     half = (LENGTH - GRAM) // 2
@@ -316,12 +337,16 @@ def _compared(rows: list[dict]) -> Iterator[tuple]:
     rows = [r for r in rows if r["bodies"] is not None]
     if not rows:
         return
-    heads = [np.frombuffer(r["heads"], HEAD) for r in rows]
+    heads = [_restored(r["heads"], HEAD) for r in rows]
     x = np.concatenate(heads)
     bytes_of = lambda n: np.where(n > 0, n.astype(np.int64) + LENGTH - 1, 0)
-    t = _pad(b"".join(pa.decompress(r["bodies"], int(bytes_of(y["n"]).sum()), "zstd", asbytes=True) for r, y in zip(rows, heads, strict=True)))
     size = bytes_of(x["n"])
     begin = np.cumsum(size) - size
+    with_body = np.flatnonzero(size)
+    t, anchor = np.zeros(int(size.sum()) + 8, np.uint8), np.zeros(int(size.sum()) + 8, bool)
+    anchor[_spread(begin[with_body] + x["place"][with_body], GRAM)] = True
+    t[anchor] = np.tile(x["h"][with_body].view(np.uint8).reshape(-1, 8), 3)[:, :GRAM].ravel()  # the anchor's hash stands for it
+    t[:-8][~anchor[:-8]] = np.frombuffer(b"".join(pa.decompress(r["bodies"], int((bytes_of(y["n"]) - GRAM * (y["n"] > 0)).sum()), "zstd", asbytes=True) for r, y in zip(rows, heads, strict=True)), np.uint8)
     order = np.lexsort((x["doc"], x["key"], x["h"]))
     h, key = x["h"][order], x["key"][order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
@@ -370,8 +395,9 @@ def cut(blocks: DataFrame) -> DataFrame:
             block = Block(r)
             edge = np.zeros(len(block.body) + 1, np.int32)
             if r["answers"]:
-                own = np.frombuffer(r["own"], OWN)
+                own = _restored(r["own"], OWN)
                 number, start, size = (own[c].astype(np.int64) for c in OWN.names)
+                start = np.cumsum(start)
                 ids = np.array([d or 0 for d in block.ids], np.int64)[np.searchsorted(block.ends, start, side="right")]
                 first = np.full(number.max(initial=0) + 1, np.iinfo(np.int64).max)
                 told = np.concatenate([np.frombuffer(x["firsts"], np.int64) for x in r["answers"]]).reshape(-1, 2)
@@ -410,7 +436,8 @@ def removed_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = settle(blocks_of(docs), "repeat-blocks", "none")
+    blocks = dealt_table(blocks_of(docs), "block", n, "repeat_blocks")
+    release(spark)
     answer = pa.schema([("block", pa.int64()), ("hashes", pa.binary())])
     shared = settle(_by_bucket(anchors(blocks, n), n, partial(_shared, crowd=crowd), answer, "block long, hashes binary"), "repeat-shared")
     release(spark)
