@@ -27,6 +27,8 @@ SHARE, CONSISTENCY = 0.75, 1.41
 CUT = 25.74
 #: Documents that a group needs to have estimates of its own; smaller ones take their language's, then those of all.
 OWN = 50
+#: Documents of a group that one part of it has: the group's estimates are repeated for each part, so that parts are joined apart.
+SPREAD = 1_000
 #: Concentration steps of both starts, and of the better one after that.
 STEPS, LAST = 3, 2
 #: Bins of the histograms: those of ln(1 + squared distance), and of a statistic.
@@ -70,15 +72,15 @@ def vector(d: DataFrame) -> DataFrame:
     })
 
 
-def groups(d: DataFrame) -> DataFrame:
-    """lang, source and grp, the group whose estimates hold for them."""
+def groups(d: DataFrame, least: int = OWN) -> DataFrame:
+    """lang, source, estimate ('source', 'language' or 'all'), grp, the group whose estimates hold for them, and the parts it has."""
     sizes = d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    rest = F.when(F.col("n") < OWN, F.col("n"))
-    wide = sizes.groupBy("lang").agg(F.sum(rest).alias("m"))
-    return sizes.join(wide, "lang").select(
-        "lang", "source",
-        F.when(F.col("n") >= OWN, F.concat(F.lit("2"), F.to_json(F.struct("lang", "source")))).when(F.col("m") >= OWN, F.concat(F.lit("1"), F.col("lang"))).otherwise("0").alias("grp"),
-    )
+    rest = F.when(F.col("n") < least, F.col("n"))
+    level = F.when(F.col("n") >= least, "source").when(F.sum(rest).over(Window.partitionBy("lang")) >= least, "language").otherwise("all")
+    name = F.struct("estimate", F.when(F.col("estimate") != "all", F.col("lang")).alias("lang"), F.when(F.col("estimate") == "source", F.col("source")).alias("source"))
+    named = sizes.withColumn("estimate", level).withColumn("grp", F.to_json(name))
+    sums = named.groupBy("grp").agg(F.ceil(F.sum("n") / SPREAD).cast("int").alias("parts"))
+    return named.join(sums, "grp").select("lang", "source", "estimate", "grp", "parts")
 
 
 def _factor(d: DataFrame, scale: float) -> DataFrame:
@@ -129,47 +131,62 @@ def _quartiles(x: DataFrame) -> DataFrame:
     return wide.select("grp", *[f"m{i}" for i in p], *[(F.col(f"s{i}{i}") if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in p for j in range(i + 1)])
 
 
-def _concentrate(x: DataFrame, now: DataFrame, label: str) -> DataFrame:
-    """One step: moments of the SHARE of each (grp, start) that is nearest by the estimates `now`."""
-    far = _distance(x.join(now, "grp")).select("grp", "start", *FLOORS, F.floor(F.log1p("d2") * D_BINS).cast("long").alias("bin"))
-    counts = far.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
+def _spread(estimates: DataFrame) -> DataFrame:
+    """A row for each part of each group."""
+    return estimates.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def _concentrate(x: DataFrame, now: DataFrame, parts: DataFrame, label: str) -> DataFrame:
+    """One step: moments of the SHARE of each (grp, start) that is nearest by the estimates `now`, from sums by bin of distance."""
+    p = range(len(FLOORS))
+    far = _distance(x.join(_spread(now), ["grp", "part"])).withColumn("bin", F.floor(F.log1p("d2") * D_BINS).cast("long"))
+    sums = [F.sum(f"x{i}").alias(f"a{i}") for i in p] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}{j}") for i in p for j in range(i + 1)]
+    bins = far.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
     w = Window.partitionBy("grp", "start")
-    counts = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    edge = counts.where(F.col("upto") >= F.col("all") * SHARE).groupBy("grp", "start").agg(F.min("bin").alias("edge"))
-    half = far.join(edge, ["grp", "start"]).where("bin <= edge").groupBy("grp", "start").agg(*_moments())
-    return settle(_factor(half, 1.0), label)
+    bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+    near = bins.where(F.col("upto") - F.col("n") < F.col("all") * SHARE).groupBy("grp", "start")
+    mean = lambda c: F.sum(c) / F.sum("n")
+    cov = {f"s{i}{j}": mean(f"b{i}{j}") - mean(f"a{i}") * mean(f"a{j}") for i in p for j in range(i + 1)}
+    half = near.agg(*[mean(f"a{i}").alias(f"m{i}") for i in p], *[(F.greatest(c, F.lit(0.0)) if k[1] == k[2] else c).alias(k) for k, c in cov.items()])
+    return settle(_factor(half, 1.0).join(parts, "grp"), label)
 
 
 def determinant_estimates(x: DataFrame) -> DataFrame:
-    """For each grp of x (grp, x0 ... x4): means m0 .. and the factor l00 .. of the covariance."""
+    """For each grp of x (grp, x0 ... x4; part and parts if groups are dealt in parts): means m0 .. and the factor l00 .. of the covariance, and parts."""
+    if "part" not in x.columns:
+        x = x.withColumns({"part": F.lit(0), "parts": F.lit(1)})
+    parts = settle(x.groupBy("grp").agg(F.max("parts").alias("parts")), "mcd-parts")
+    x = x.select("grp", "part", *FLOORS)
     first = x.groupBy("grp").agg(*_moments()).withColumn("start", F.lit(0)).unionByName(_quartiles(x).withColumn("start", F.lit(1)))
-    now = settle(_factor(first, 1.0), "mcd-start")
+    now = settle(_factor(first, 1.0).join(parts, "grp"), "mcd-start")
     for k in range(STEPS):
-        now = _concentrate(x, now, f"mcd-{k}")
+        now = _concentrate(x, now, parts, f"mcd-{k}")
     fields = [c for c in now.columns if c not in ("grp", "start")]
     best = now.groupBy("grp").agg(F.min_by(F.struct("start", *fields), F.struct("det", "start")).alias("b")).select("grp", "b.*")
     for k in range(LAST):
-        best = _concentrate(x, best, f"mcd-last{k}")
+        best = _concentrate(x, best, parts, f"mcd-last{k}")
     # the factor of scale * covariance + floors: from l l' less the floors
     p, floors = range(len(FLOORS)), list(FLOORS.values())
     cov = lambda i, j: sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(1, j + 1)), F.col(f"l{i}0") * F.col(f"l{j}0")) - (floors[i] ** 2 if i == j else 0.0)
-    return settle(_factor(best.select("grp", *[f"m{i}" for i in p], *[F.greatest(cov(i, j), F.lit(0.0)).alias(f"s{i}{j}") if i == j else cov(i, j).alias(f"s{i}{j}") for i in p for j in range(i + 1)]), CONSISTENCY), "mcd-end")
+    return settle(_factor(best.select("grp", *[f"m{i}" for i in p], *[F.greatest(cov(i, j), F.lit(0.0)).alias(f"s{i}{j}") if i == j else cov(i, j).alias(f"s{i}{j}") for i in p for j in range(i + 1)]), CONSISTENCY).join(parts, "grp"), "mcd-end")
 
 
-def outliers(docs: DataFrame) -> DataFrame:
+def outliers(docs: DataFrame, own: int = OWN) -> DataFrame:
     """Counts, base_failed, distance and kept for documents (doc_id, text, lang, source; other columns are ignored).
 
     Null languages and sources form groups of their own. Estimates rest on all documents that pass the base
-    rules; if none does, none is kept. Groups of fewer than OWN documents are judged with the small groups
-    of their language, then with all small groups. Repeated rows keep a row each.
+    rules; if none does, none is kept. Groups of fewer than `own` documents are judged with the small groups
+    of their language, then with all small groups; `estimate` tells which. Repeated rows keep a row each.
     """
     d = settle(statistics(docs), "quality")
-    own = vector(d.where("not base_failed"))
-    x = settle(own.join(groups(own), ["lang", "source"]).select("doc_id", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FLOORS), "quality-x")
-    far = _distance(x.join(determinant_estimates(x.select("grp", *FLOORS)), "grp"))
+    passed = vector(d.where("not base_failed"))
+    homes = settle(groups(passed, own), "quality-groups")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    good = far.select("doc_id", *counts, F.lit(False).alias("base_failed"), (F.col("d2") <= CUT).alias("kept"), F.round("d2", 4).alias("distance2"))
-    bad = d.where("base_failed").select("doc_id", *counts, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance2"))
+    part = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.col("parts")).cast("int").alias("part")
+    x = settle(passed.join(homes, ["lang", "source"]).select("doc_id", "grp", "estimate", "parts", part, *counts, *FLOORS), "quality-x")
+    far = _distance(x.drop("parts").join(_spread(determinant_estimates(x.select("grp", "part", "parts", *FLOORS))), ["grp", "part"]))
+    good = far.select("doc_id", *counts, F.lit(False).alias("base_failed"), (F.col("d2") <= CUT).alias("kept"), F.round("d2", 4).alias("distance2"), "estimate")
+    bad = d.where("base_failed").select("doc_id", *counts, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance2"), F.lit(None).cast("string").alias("estimate"))
     return good.unionByName(bad)
 
 

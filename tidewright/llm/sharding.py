@@ -8,10 +8,10 @@ larger than the room of a shard, and counts of any two shards differ by one at m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, ranked, settle, table
+from .common import BUCKET_ROWS, discard, ranked, settle, settle_seen, table
 
 
 def _at(values: list[int], index: str):
@@ -29,12 +29,13 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 40, rounds: in
 
     nodes: column node (long, unique, not null). links: columns node and grp (not null): rows of one grp are
     linked, each node in one grp at most. Empty nodes give an empty result. Every group, however large, is
-    only counted by (grp, shard), joined on a splittable key and admitted by a bucketed ranking.
+    only counted by (grp, shard), joined with written tables (so that Spark can split a large key) and admitted
+    by a bucketed ranking. Rounds end when no group asks to move, or after `rounds`; counts hold either way.
     """
     n = nodes.count()
     buckets = max(64, n // BUCKET_ROWS)
     mix = lambda c, m: F.pmod(F.xxhash64(*c), F.lit(m))
-    sizes = links.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sizes = settle(links.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shard-groups")
     linked = links.join(sizes, "grp").select("node", "grp")
     placed = ranked(nodes.select("node").withColumn("all", F.lit(0)), "all", mix(["node"], buckets), ["node"]).join(linked, "node", "left")
     placed = settle(placed.select("node", "grp", F.floor(F.col("rank") * n_shards / max(n, 1)).cast("int").alias("shard")), "shard-start")
@@ -44,19 +45,16 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 40, rounds: in
         votes = state.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
         room = [c - h for c, h in zip(caps, _counts(state, "shard", n_shards), strict=True)]
         weight = F.struct("n", F.xxhash64("grp", "shard").alias("h"), F.col("shard").alias("s"))
-        best = votes.groupBy("grp").agg(
-            F.max(F.when(_at(room, "shard") > 0, weight)).alias("to"),
-            F.map_from_entries(F.collect_list(F.struct("shard", F.struct("n", F.xxhash64("grp", "shard").alias("h"), F.col("shard").alias("s"))))).alias("held"),
-        )  # held: n_shards entries at most
-        want = state.join(best, "grp").select("node", "grp", "shard", F.when(F.col("to") > F.col("held")[F.col("shard")], F.col("to.s")).alias("to"))
-        want = settle(want, f"shard-wants{k}")
-        asks = want.where("to is not null")
-        order = mix(["grp"], 1 << 20) * buckets + mix(["node"], buckets)
-        asks = ranked(asks, "to", order, ["node"]).withColumn("shard", F.when(F.col("rank") < _at(room, "to"), F.col("to")).otherwise(F.col("shard")))
-        moved = settle(want.where("to is null").select("node", "grp", "shard").unionByName(asks.select("node", "grp", "shard")), f"shard-round{k}")
-        if not want.where("to is not null").limit(1).count():
+        to = F.max(F.when(_at(room, "shard") > 0, weight)).over(Window.partitionBy("grp"))  # n_shards rows of a group at most
+        wishes, seen = settle_seen(votes.withColumn("to", to).where(F.col("to") > weight).select("grp", "shard", F.col("to.s").alias("to")), f"shard-wishes{k}", n=F.count(F.lit(1)))
+        if not seen.get("n"):
             break
-        state = moved
+        want = settle(state.join(wishes, ["grp", "shard"], "left").select("node", "grp", "shard", "to"), f"shard-wants{k}")
+        order = mix(["grp"], 1 << 20) * buckets + mix(["node"], buckets)
+        asks = ranked(want.where("to is not null"), "to", order, ["node"])
+        asks = asks.withColumn("shard", F.when(F.col("rank") < _at(room, "to"), F.col("to")).otherwise(F.col("shard")))
+        was, state = state, settle(want.where("to is null").select("node", "grp", "shard").unionByName(asks.select("node", "grp", "shard")), f"shard-round{k}")
+        discard(want, wishes, *([was] if k else []))
     room = [c - h for c, h in zip(caps, _counts(state, "shard", n_shards), strict=True)]
     free = ranked(placed.where("grp is null").select("node", "shard"), "shard", mix(["node"], buckets), ["node"])
     free = settle(free.withColumn("stays", F.col("rank") < _at(room, "shard")).drop("rank"), "shard-fill")
@@ -67,7 +65,7 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 40, rounds: in
         ends.append(upto)
     over = ranked(free.where("not stays").select("node").withColumn("all", F.lit(0)), "all", mix(["node"], buckets), ["node"])
     over = over.select("node", F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("rank"))).alias("shard"))
-    cut = state.groupBy("grp").agg((F.min("shard") != F.max("shard")).alias("cut"))
+    cut = settle(state.groupBy("grp").agg((F.min("shard") != F.max("shard")).alias("cut")), "shard-cuts")
     rest = free.where("stays").select("node", "shard").unionByName(over)
     return settle(state.join(cut, "grp").select("node", "shard", "cut").unionByName(rest.withColumn("cut", F.lit(False))), "shard-end")
 
