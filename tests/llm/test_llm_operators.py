@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -385,3 +386,66 @@ def test_components_and_ranking(spark):
 
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_op2_matches_the_tokenizer_on_all_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in df.collect())
+    got, at = by_id(tokens.tokenized(df, path, 1)), 0
+    for (i, _), e in zip(rows, Tokenizer.from_file(path).encode_batch_fast([t for _, t in rows], add_special_tokens=False), strict=True):
+        ids = [*e.ids, 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_op6_rules_find_the_text_without_article_elements(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    whole, found, extra = 0, 0, 0
+    for r in pages:
+        want = Counter(html_text.main_text(r.html).split("\n"))
+        got = Counter(html_text.main_text(re.sub(r"<(/?)article\b", r"<\1div", r.html)).split("\n"))
+        whole += sum(len(k) * v for k, v in want.items())
+        found += sum(len(k) * v for k, v in (want & got).items())
+        extra += sum(len(k) * v for k, v in (got - want).items())
+    assert found > 0.99 * whole and extra < 0.01 * whole
+
+
+def test_op6_rules_drop_link_blocks_of_an_article():
+    text = "The fox is in the house and it was not for the faint of heart, as they say in the old books that were read to us. " * 2
+    page = f"<article><h1>Head</h1><p>{text}</p><p><a href=x>All of this long paragraph is nothing but a link to some other page of the site</a></p><p>See <a href=y>this</a> too.</p></article>"
+    assert html_text.main_text(page) == f"Head\n{text.strip()}\nSee this too."
+
+
+@pytest.mark.parametrize("page", ["<p>x</p>" * 100_000, "<a b " * 50_000, '<a b="' * 50_000, '<a ">" ' * 50_000 + "'", "<div>" * 50_000 + "</span>" * 50_000, "<h2>x</h2>" * 50_000, "<script>" + "</script" * 50_000])
+def test_op6_time_is_linear(page):
+    began = time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 10
+
+
+def test_repeated_rows_null_ids_long_texts_and_clashing_columns(spark):
+    """Each operator over rows that repeat, lack doc_ids, are very long, or have columns named like inner ones."""
+    long = " ".join(f"w{k * 7919 % 1_000_003}" for k in range(200_000))
+    rows = [(1, "same text here and some more words"), (1, "same text here and some more words"), (None, "no id " * 30), (None, None), (2, ""), (3, long), (4, long + " end"), (5, long)]
+    wide = ["lang", "source", "n_chars", "rank", "block", "grp", "shard", "score", "kept", "band", "at", "w", "n"]
+    df = spark.createDataFrame([(*r, *["x"] * len(wide)) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in wide))
+    ids = sorted((r[0] for r in rows), key=str)
+    same = lambda got: sorted((r.doc_id for r in got), key=str) == ids
+    assert same(sharding.shard_documents(df, 3).collect())
+    import public_tokenizers
+
+    assert same(tokens.tokenized(df, public_tokenizers.path("word_bpe_49k.json"), 1).collect())
+    got = suffix_dedup.removed_repeats(df).collect()
+    assert same(got) and {r.doc_id: r.n_removed for r in got} == {1: 0, None: 0, 2: 0, 3: 0, 4: len(long), 5: len(long)}
+    items = spark.createDataFrame([(7, long[:300], "y")], "item_id long, text string, doc_id string")
+    assert {r.doc_id for r in decontamination.leaks(df, items).collect()} == {3, 4, 5}
+    assert same(quality.outliers(df).collect()) and same(mixing.mixed(df).collect())
+    assert same(toxicity.scored(df, spark.createDataFrame([(1, 0, 0.5), (3, 1, 0.5)], "doc_id long, toxic int, score double")).collect())
+    near = near_dup.near_duplicates(df).collect()
+    assert same(near) and {r.doc_id: r.component_id for r in near} == {1: 1, None: None, 2: 2, 3: 3, 4: 3, 5: 3}
+    pages = spark.createDataFrame([(1, "u", "<p>" + long, "z"), (1, "u", "<p>" + long, "z"), (None, None, "<p>a", "z")], "page_id long, url string, html string, text string")
+    assert sorted(r.n_chars for r in html_text.extracted(pages).collect())[1:] == [len(long)] * 2

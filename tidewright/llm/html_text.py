@@ -1,16 +1,18 @@
 """Main text of web pages by two passes of block rules.
 
-First each block is judged by itself: its share of links, its length and its share of stop words make it good,
-bad or, if it is short or middling, undecided. Then undecided blocks take the label of their nearest decided
-neighbours; between a good and a bad one, the good side wins only for blocks that were nearly good. Elements
-that cannot hold an article (menus, forms, scripts, adverts, comments and so on) give no blocks. Inside an
-article element, blocks are good unless they are menus of links, and neighbours outside of it do not count.
+First each block is judged by itself: its share of links, its length, its share of stop words and the element it is
+in make it good, bad or, if it is short or middling, undecided. Being inside an article element speaks for a block
+as many stop words do, being outside of the page's article against it; links speak against it anywhere. Then
+undecided blocks take the label of their nearest decided neighbours; between a good and a bad one, the good side
+wins for blocks that were nearly good. The edge of a page counts as bad, that of an article as good. Elements that
+cannot hold an article (menus, forms, scripts, adverts, comments and so on) give no blocks. Time is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,10 +46,12 @@ STOP_WORDS = (
 
 #: Share of characters in links that makes a block bad, lengths below which it is short and from which it is long, shares of stop words.
 LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.2, 70, 200, 0.15, 0.25
-#: Share of links and number of neighbouring list items that make a menu inside an article.
-MENU_LINKS, MENU_ITEMS = 0.8, 3
+#: Share of characters in links that makes a block of an article bad, and one next to which MENU_ITEMS blocks like it make a menu.
+ARTICLE_LINKS, MENU_LINKS, MENU_ITEMS = 0.5, 0.8, 3
 
-TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE = re.compile(r"""[>"']""")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RAW, _NEVER, _VOID, _BLOCK, _BAD, _ROLES, _STOP = map(frozenset, (RAW, NEVER, VOID, BLOCK, BAD_WORDS, BAD_ROLES, STOP_WORDS))
 
@@ -77,14 +81,46 @@ def _refused(tag: str, attributes: str) -> bool:
     return False
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name ('' for comments and declarations) and attributes of each tag.
+
+    A quote that is never closed is plain text, and so are all quotes after it. What starts like a tag and never ends is text.
+    The receiver may send the place to go on from.
+    """
+    at, loose = 0, False
+    while (at := page.find("<", at)) >= 0:
+        name = NAME.match(page, at)
+        if page.startswith("<!--", at):
+            m = COMMENT_END.search(page, at + 4)
+            end = m.end() if m else len(page)
+        elif name or page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            if not end:
+                return
+            if name and not loose:
+                m = QUOTE.search(page, name.end())
+                while m and m[0] != ">":
+                    close = page.find(m[0], m.end())
+                    m = QUOTE.search(page, close + 1) if close >= 0 else None
+                loose = not m
+                end = m.end() if m else end
+        else:
+            at += 1
+            continue
+        sent = yield at, end, bool(name and name[1]), name[2].lower() if name else "", page[name.end() : end - 1] if name else ""
+        at = end if sent is None else sent
+        if sent is not None:
+            yield at, at, False, "", ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page that lie in no refused element, in page order."""
     out: list[Block] = []
     now = Block("body", False)
     opened: list[tuple[str, bool, bool]] = []  # tag, refused, article
-    refused = article = links = breaks = 0
+    refused = article = links = breaks = headers = 0
     seen = False
-    at, size = 0, len(page)
+    at, size, many = 0, len(page), Counter()
 
     def cut(tag: str) -> None:
         nonlocal now
@@ -105,19 +141,14 @@ def blocks_of(page: str) -> list[Block]:
 
     def titled() -> bool:
         """Inside an article's own header, and nothing else that is refused."""
-        return article > 0 and all(t == "header" or not r for t, r, _ in opened)
-
-    while at < size:
-        m = TAG.search(page, at)
-        if not m:
-            put(page[at:])
-            break
-        put(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        return article > 0 and refused == headers
+
+    found = tags(page)
+    for start, end, closing, tag, attributes in found:
+        put(page[at:start])
+        at = end
         if not tag:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag == "br":
             breaks += 1
             if breaks > 1:
@@ -127,8 +158,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in _RAW:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+                m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                at = (page.find(">", m.end()) + 1 or size) if m else size
+                found.send(at)
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -136,11 +168,11 @@ def blocks_of(page: str) -> list[Block]:
             breaks = 0
             cut("body" if closing else tag)
         if closing:
-            for k in range(len(opened) - 1, -1, -1):
-                if opened[k][0] == tag:
-                    for _, r, a in opened[k:]:
-                        refused, article = refused - r, article - a
-                    del opened[k:]
+            while many[tag]:
+                t, r, a = opened.pop()
+                many[t] -= 1
+                refused, article, headers = refused - r, article - a, headers - (r and t == "header")
+                if t == tag:
                     if tag in _BLOCK:
                         now.article = article > 0
                     break
@@ -148,29 +180,35 @@ def blocks_of(page: str) -> list[Block]:
             inner = tag in ("article", "main")
             bad = (tag in _NEVER or tag not in ("html", "body", "main", "article")) and _refused(tag, attributes)
             if inner and not seen and refused and not any(r and t in _NEVER for t, r, _ in opened):
-                opened, refused = [(t, False, a) for t, _, a in opened], 0  # an advert or notice that was never closed
+                opened, refused, headers = [(t, False, a) for t, _, a in opened], 0, 0  # an advert or notice that was never closed
             seen |= inner
             if not attributes.endswith("/"):
                 opened.append((tag, bad, inner))
-                refused, article = refused + bad, article + inner
+                many[tag] += 1
+                refused, article, headers = refused + bad, article + inner, headers + (bad and tag == "header")
             if tag in _BLOCK:
                 now.article = article > 0
+    put(page[at:])
     cut("body")
     return out
 
 
-def judge(b: Block) -> str:
-    """First pass: good, bad, near (nearly good) or short."""
+def judge(b: Block, outside: bool = False) -> str:
+    """First pass: good, bad, near (nearly good) or short. outside: the page has an article, and the block is not in it."""
     words = [re.sub(r"[\W_]+", "", w) for w in b.text.lower().split()]
     stop = sum(w in _STOP for w in words) / len(words)
     n = len(b.text)
-    if b.linked > LINKS * n or "©" in b.text and n < LONG:
+    if outside or b.linked > (ARTICLE_LINKS if b.article else LINKS) * n:
+        return "bad"
+    if b.article:
+        return "short" if n < SHORT else "good" if stop >= STOP_LOW or n >= LONG else "near"
+    if "©" in b.text and n < LONG:
         return "bad"
     if n < SHORT:
-        return "bad" if b.linked else "short"
+        return "bad" if b.linked else "near" if b.tag == "p" else "short"
     if stop >= STOP_HIGH:
         return "good" if n >= LONG else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    return "near" if stop >= STOP_LOW or b.tag == "p" and not b.linked else "bad"
 
 
 def _menus(found: list[Block]) -> set[int]:
@@ -186,31 +224,36 @@ def _menus(found: list[Block]) -> set[int]:
 
 
 def label_blocks(found: list[Block]) -> None:
-    """Both passes: sets each label to good or bad. If the page names its article, only that is judged, and in its favour."""
-    inside = any(b.article for b in found)
-    for b in found:
-        b.label = "bad"
-    judged = [b for b in found if b.article == inside]
-    if inside:
-        menus = _menus(judged)
-        first = ["bad" if k in menus else "near" if (j := judge(b)) == "bad" else j for k, b in enumerate(judged)]
-    else:
-        first = [judge(b) for b in judged]
-        if "good" not in first:  # a page of middling blocks only
-            first = ["good" if f == "near" else f for f in first]
-    edge = "good" if inside else "bad"
-    decided = lambda span: next((first[j] for j in span if first[j] in ("good", "bad")), edge)
-    for k, b in enumerate(judged):
-        if first[k] in ("good", "bad"):
-            b.label = first[k]
-            continue
-        sides = {decided(range(k - 1, -1, -1)), decided(range(k + 1, len(first)))}
-        b.label = sides.pop() if len(sides) == 1 else "good" if inside or first[k] == "near" else "bad"
-        if inside and b.label == "bad":  # text between two menus
-            b.label = "good"
-    for k in range(len(judged) - 1, -1, -1):  # a heading belongs to what follows it
-        if not inside and judged[k].tag in HEADINGS and first[k] != "bad":
-            judged[k].label = next((b.label for b in judged[k + 1 :] if b.tag not in HEADINGS), "bad")
+    """Both passes: sets each label to good or bad."""
+    named = any(b.article for b in found)
+    menus = _menus(found)
+    first = ["bad" if k in menus else judge(b, named and not b.article) for k, b in enumerate(found)]
+    for k, b in enumerate(found):  # links of an article that are no menu
+        if b.article and first[k] == "bad" and k not in menus and len(b.text) < SHORT:
+            first[k] = "short"
+    if not named and "good" not in first:  # a page of middling blocks only
+        first = ["good" if f == "near" and len(b.text) >= SHORT else f for f, b in zip(first, found, strict=True)]
+    sides: list[list[str]] = []
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last, inside, side = "bad", False, [""] * len(found)
+        for k in order:
+            if found[k].article != inside:
+                inside = found[k].article
+                last = "good" if inside else "bad"
+            side[k] = last
+            last = first[k] if first[k] in ("good", "bad") else last
+        sides.append(side)
+    for k, b in enumerate(found):
+        left, right = sides[0][k], sides[1][k]
+        one = "good" if b.article or first[k] == "near" else "bad"
+        b.label = first[k] if first[k] in ("good", "bad") else left if left == right else one
+    after = "bad"
+    for k in range(len(found) - 1, -1, -1):  # a heading belongs to what follows it
+        b = found[k]
+        if b.tag not in HEADINGS:
+            after = b.label
+        elif not b.article and first[k] != "bad":
+            b.label = after
 
 
 def main_text(page: str) -> str:
