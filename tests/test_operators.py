@@ -196,3 +196,42 @@ def test_x09_state_machine(spark):
         seen.append(state)
     assert seen == ["weak", "emerging", "emerging", "trending", "trending", "mainstream"]
     assert stateful.advance("mainstream", 0, 8, 5)[0] == "fading" and stateful.advance("fading", 0, 30, 1)[0] == "dead"
+
+
+def test_j02_either_key_keeps_each_left_row_once(spark):
+    left = spark.createDataFrame([(1,), (2,), (9,)], "k int")
+    right = spark.createDataFrame([(1, 5, "b"), (1, 6, "a"), (7, 2, "d"), (8, 2, "c")], "first int, second int, v string")
+    assert values(joins.either_key(left, right, "k", "first", "second", "v"), "k") == [(1, "a"), (2, "c"), (9, None)]
+
+
+def test_j11_first_after_at_any_time_of_day(spark):
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    left = spark.createDataFrame([(1, at(1, 8)), (1, at(4, 0)), (2, at(1, 8)), (3, at(1, 8))], "k int, t timestamp")
+    right = spark.createDataFrame([(1, at(1, 20), 5.0), (1, at(3, 9), 6.0), (1, at(3, 9), 5.5), (2, at(4, 8), 7.0), (3, at(4, 9), 8.0)], "k int, t timestamp, v double")
+    got = [(r.k, r.v, r.lag_days) for r in joins.first_after(left, right, "k", "t", "v", 3).orderBy("k", "t").collect()]
+    assert got == [(1, 5.0, 0), (1, None, None), (2, 7.0, 3), (3, None, None)]
+
+
+def test_d14_edit_ratio_pairs_match_brute_force(spark):
+    rnd = random.Random(3)
+    words = ["red", "reed", "rod", "steel", "steal", "brass", "bras", "bolt", "bolts"]
+    rows = [(i, "b", " ".join(rnd.choices(words, k=3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, brand string, name string")
+    got = {(r.a, r.b) for r in dedup.near_in_block(df, "k", ["brand"], "name", 0.85).collect()}
+    key = {i: " ".join(sorted(n.split())) for i, _, n in rows}
+    rep = {}
+    for i in sorted(key):
+        rep.setdefault(key[i], i)
+    want = {(rep[key[i]], i) for i in key if rep[key[i]] != i}
+    for (s, a), (t, b) in itertools.combinations(rep.items(), 2):
+        if 2 * dedup.common_length(s, t) >= 0.85 * (len(s) + len(t)):
+            want.add((min(a, b), max(a, b)))
+    assert got == want
+
+
+def test_s23_ledgers_in_many_batches(spark):
+    rows = [(k % 3, k, f"v{k}") for k in range(200)]
+    got = sinks.hash_chain(spark.createDataFrame(rows, "l int, i int, v string").repartition(7), "l", "i").collect()
+    for ledger in range(3):
+        own = sorted((r for r in got if r.l == ledger), key=lambda r: r.i)
+        assert own[0].prev_hash == "0" * 64 and all(b.prev_hash == a.entry_hash for a, b in itertools.pairwise(own))

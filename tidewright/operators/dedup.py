@@ -106,8 +106,9 @@ def edit_ratio(a: Column, b: Column, sort_words: bool = False) -> Column:
 def near_in_block(df: DataFrame, key: str, block: list[str], text: str, least: float, sort_words: bool = True) -> DataFrame:
     """Pairs (a, b, ratio) of one block whose texts have an edit ratio of at least `least`.
 
-    Within a block texts meet only if their lengths allow the ratio (spans of log length) and the first
-    letters of the sorted words agree with neither's more than the ratio allows; equal texts count as one.
+    Within a block texts meet only if their lengths allow the ratio (spans of log length). The JVM's edit
+    distance, which is at most the insertions and deletions that the ratio counts, leaves few for the
+    ratio itself; equal texts count as one.
     """
     t = F.array_join(F.array_sort(F.split(F.lower(text), r"\s+")), " ") if sort_words else F.col(text)
     own = df.select(key, *block, t.alias("t")).where("t is not null")
@@ -118,6 +119,7 @@ def near_in_block(df: DataFrame, key: str, block: list[str], text: str, least: f
     r = groups.select(*block, F.col("t").alias("t2"), F.col("rep").alias("b"), F.col("n").alias("n2")).withColumn("s", F.floor(F.log(F.col("n2") + 1.0) / step).cast("int"))
     r = r.withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1)))
     both = l.join(r, [*block, "s"]).where((F.col("rep") < F.col("b")) & (2 * F.least("n", "n2") >= least * (F.col("n") + F.col("n2")))).select(F.col("rep").alias("a"), "b", "t", "t2").distinct()
+    both = both.where(F.levenshtein("t", "t2") <= (1 - least) * (F.length("t") + F.length("t2")))
     pairs = both.withColumn("ratio", edit_ratio(F.col("t"), F.col("t2"))).where(F.col("ratio") >= least).select("a", "b", "ratio")
     same = own.join(groups.select(*block, "t", "rep"), [*block, "t"]).where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("ratio"))
     return pairs.unionByName(same)

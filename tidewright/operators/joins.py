@@ -20,9 +20,12 @@ def latest(df: DataFrame, keys: list[str], at: str, ties: bool = True) -> DataFr
 
 
 def either_key(left: DataFrame, right: DataFrame, key: str, first: str, second: str, value: str) -> DataFrame:
-    """value of right where key equals first, else where it equals second: two equi-joins instead of one with an or."""
-    a = right.select(F.col(first).alias("_a"), F.col(value).alias("_va"))
-    b = right.select(F.col(second).alias("_b"), F.col(value).alias("_vb")).dropDuplicates(["_b"])
+    """value of right where key equals first, else where it equals second: two equi-joins instead of one with an or.
+
+    Of several rows of right with one key, the least value counts; each row of left stays one row.
+    """
+    a = right.groupBy(F.col(first).alias("_a")).agg(F.min(value).alias("_va"))
+    b = right.groupBy(F.col(second).alias("_b")).agg(F.min(value).alias("_vb"))
     out = left.join(a, left[key] == F.col("_a"), "left").join(b, left[key] == F.col("_b"), "left")
     return out.withColumn(value, F.coalesce("_va", "_vb")).drop("_a", "_va", "_b", "_vb")
 
@@ -42,13 +45,17 @@ def pairs_within(left: DataFrame, right: DataFrame, key: str, at: str, days: int
 
 
 def first_after(left: DataFrame, right: DataFrame, key: str, at: str, value: str, days: int) -> DataFrame:
-    """Each left row with the first value of right at its own time or up to `days` later, null if none; right has one row a key and time."""
-    rows = left.withColumn("_n", F.xxhash64(key, at))
-    spread = rows.select(key, at, F.explode(F.sequence(F.lit(0), F.lit(days))).alias("_d")).distinct()
-    spread = spread.withColumn("_at", F.col(at) + F.make_interval(days=F.col("_d")))
-    r = right.select(F.col(key).alias("_k"), F.col(at).alias("_r"), F.col(value).alias(value))
-    found = spread.join(r, (spread[key] == r._k) & (spread._at == r._r)).groupBy(key, at).agg(F.min_by(value, "_d").alias(value), F.min("_d").alias("lag_days"))
-    return rows.drop("_n").join(found, [key, at], "left")
+    """Each left row with the first value of right at its own time or up to `days` later, and the days between, null if none.
+
+    Times are cut into spans of `days`: a time meets the rows of its own span and the next, whatever the time of
+    day. Of several rows of right at one time, the least value counts.
+    """
+    span = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(days * 86_400_000_000)).cast("long")
+    spread = left.select(key, at).distinct().withColumn("_s", F.explode(F.array(span(F.col(at)), span(F.col(at)) + 1)))
+    r = right.select(F.col(key).alias("_k"), F.col(at).alias("_r"), F.col(value).alias("_v")).withColumn("_t", span(F.col("_r")))
+    met = spread.join(r, (spread[key] == r._k) & (F.col("_s") == F.col("_t"))).where((F.col("_r") >= F.col(at)) & (F.col("_r") <= F.col(at) + F.expr(f"interval {days} days")))
+    found = met.groupBy(key, at).agg(F.min_by("_v", F.struct("_r", "_v")).alias(value), F.datediff(F.min("_r"), F.col(at)).alias("lag_days"))
+    return left.join(found, [key, at], "left")
 
 
 def value_before(df: DataFrame, keys: list[str], at: str, value: str, cutoff: Column, name: str) -> DataFrame:

@@ -12,14 +12,6 @@ from pyspark.sql import functions as F
 from .joins import numbered
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution by the error function's five-term approximation (absolute error 1.5e-7)."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    erf = 1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-x * x)
-    return F.when(z >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
-
-
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson's interval of a share; null for n = 0."""
     m = F.when(n > 0, n.cast("double"))
@@ -118,12 +110,12 @@ def fisher_interval(r: Column, n: Column, z: float = 1.96) -> tuple[Column, Colu
     return F.tanh(f - half), F.tanh(f + half)
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 200, bins: int = 4096, seed: int = 7) -> DataFrame:
-    """2.5 and 97.5 percentiles of the mean under Poisson bootstrap: each row enters each draw by weights that a hash decides, so draws are sums that combine on the map side."""
-    u = F.pmod(F.xxhash64(*keys, value, F.monotonically_increasing_id(), F.col("draw"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+def bootstrap_mean(df: DataFrame, keys: list[str], value: str, row: str, draws: int = 200, seed: int = 7) -> DataFrame:
+    """2.5 and 97.5 percentiles of the mean under Poisson bootstrap: each row enters each draw by weights that a hash of its identifier `row` decides, so draws are sums that combine on the map side and intervals do not depend on the partitions."""
+    u = F.pmod(F.xxhash64(row, F.col("draw"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     edges = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(7)]
     weight = sum(((F.col("_u") >= e).cast("int") for e in edges[1:]), (F.col("_u") >= edges[0]).cast("int"))
-    each = df.select(*keys, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_u", u).withColumn("_w", weight)
+    each = df.select(*keys, value, row, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_u", u).withColumn("_w", weight)
     means = each.groupBy(*keys, "draw").agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("m"))
     return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 

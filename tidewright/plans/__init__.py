@@ -1,7 +1,7 @@
 """Registered queries over the given tables, each with DuckDB SQL where SQL can express it."""
 
-from . import aggregates, content, reads, scoring, series, streams, validation
+from . import aggregates, content, reads, scoring, series, stories, streams, validation
 from .registry import ORACLE_SQL, QUERIES
 from .reads import flagship
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "content", "flagship", "reads", "scoring", "series", "streams", "validation"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "content", "flagship", "reads", "scoring", "series", "stories", "streams", "validation"]

@@ -38,7 +38,7 @@ def divergences(t):
 CASE WHEN technical >= 60 AND media - financial > 0 THEN 'scaling' WHEN technical >= 60 THEN 'mature' WHEN media - financial > 0 THEN 'emerging' WHEN media - financial < 0 THEN 'declining' ELSE 'steady' END AS lifecycle,
 CASE WHEN technical >= 50 AND media >= 50 THEN 'leaders' WHEN technical >= 50 THEN 'builders' WHEN media >= 50 THEN 'talkers' ELSE 'quiet' END AS quadrant FROM p""")
 def ladders(t):
-    """Ordered rules."""
+    """Ordered rules."""
     te, m, f = F.col("technical"), F.col("media"), F.col("financial")
     return profiles(t).select("user_id", scores.hype_phase(te, m, f).alias("phase"), scores.lifecycle(te, m - f).alias("lifecycle"), scores.quadrant(te, m).alias("quadrant"))
 
@@ -68,7 +68,7 @@ def emergence(t):
 @query("""WITH e AS (SELECT user_id, value, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3.6e9 AS h, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.8 ELSE 0.5 END AS w FROM events), f AS (SELECT user_id, value, w * CASE WHEN h > 336 THEN 0.0 WHEN h <= 0 THEN 1.0 ELSE pow(0.5, h / 48.0) END AS k FROM e)
 SELECT user_id, round(sum(value * k) / nullif(sum(k), 0), 4) AS signal, count(*) FILTER (k > 0) AS fresh FROM f GROUP BY 1""")
 def calibrated_signals(t):
-    """Means weighted by freshness and trust."""
+    """Means weighted by freshness and trust."""
     hours = (F.unix_micros(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9
     w = F.when(F.col("event_type") == "purchase", 1.0).when(F.col("event_type") == "signup", 0.8).otherwise(0.5)
     f = t("events").select("user_id", "value", (w * scores.freshness(hours, 48.0)).alias("k"))

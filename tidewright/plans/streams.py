@@ -58,7 +58,7 @@ def s_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stream()
 def s_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state machine of signals, a day at a time; held against a plain fold in the tests."""
+    """The state machine of signals, a day at a time; held against a plain fold in the tests."""
     folder = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("level"))
     from ..sources.tables import shared_folder
     import uuid

@@ -138,7 +138,7 @@ def correlation_tests(t):
 @query()
 def bootstrap_intervals(t):
     """Bootstrap intervals of means."""
-    return st.bootstrap_mean(t("events").select("event_type", "value"), ["event_type"], "value")
+    return st.bootstrap_mean(t("events"), ["event_type"], "value", "event_id")
 
 
 @query()

@@ -71,16 +71,23 @@ def canonical_json(x: object) -> str:
 
 
 def hash_chain(df: DataFrame, ledger: str, order: str) -> DataFrame:
-    """Entries of each ledger with the hash of the entry before and their own, which covers it. A ledger is one sequence by nature."""
+    """Entries of each ledger with the hash of the entry before and their own, which covers it.
+
+    A ledger is one sequence by nature: one task reads it in order, a batch at a time, and carries only the last hash.
+    """
     fields = [c for c in df.columns if c != ledger]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + ["prev_hash string", "entry_hash string"])
 
-    def fold(pdf):
-        pdf, last, prev, own = pdf.sort_values(order), "0" * 64, [], []
-        for r in pdf[fields].to_dict("records"):
-            prev.append(last)
-            last = hashlib.sha256((last + canonical_json(r)).encode()).hexdigest()
-            own.append(last)
-        return pdf.assign(prev_hash=prev, entry_hash=own)
-
-    return df.groupBy(ledger).applyInPandas(fold, schema)
+    def fold(batches):
+        now, last = None, ""
+        for pdf in batches:
+            prev, own = [], []
+            for key, r in zip(pdf[ledger].tolist(), pdf[fields].to_dict("records"), strict=True):
+                if key != now or not last:
+                    now, last = key, "0" * 64
+                prev.append(last)
+                last = hashlib.sha256((last + canonical_json(r)).encode()).hexdigest()
+                own.append(last)
+            yield pdf.assign(prev_hash=prev, entry_hash=own)
+
+    return df.repartition(ledger).sortWithinPartitions(ledger, order).mapInPandas(fold, schema)
