@@ -231,4 +231,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, items_a_scan: int = ITEMS_A_SCA
 
 
 def op4_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that all documents hold; see leaks() for nulls and repeated rows."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

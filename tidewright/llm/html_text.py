@@ -278,4 +278,5 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op6_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages; see extracted() for nulls and empty pages."""
     return extracted(table(spark, sf_dir, "pages"))

@@ -106,6 +106,7 @@ def margin_report(mix: DataFrame, margins: tuple[str, ...] = ("source", "lang",
 
 
 def op9_iterative_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling of all documents to target weights; see mixed() for nulls and texts without words."""
     return mixed(table(spark, sf_dir, "documents"))
 
 

@@ -221,4 +221,5 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents; see near_duplicates() for nulls, empty texts and repeated doc_ids."""
     return near_duplicates(table(spark, sf_dir, "documents"))

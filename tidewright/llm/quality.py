@@ -191,4 +191,5 @@ def outliers(docs: DataFrame, own: int = OWN) -> DataFrame:
 
 
 def op5_covariance_determinant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents; see outliers() for nulls and small groups."""
     return outliers(table(spark, sf_dir, "documents"))

@@ -89,4 +89,5 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
 
 
 def op1_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 by the law `rows`; see shard_documents() for nulls, empty texts and repeated rows."""
     return shard_documents(table(spark, sf_dir, "documents"), 40)

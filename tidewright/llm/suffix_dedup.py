@@ -452,4 +452,5 @@ def removed_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def op3_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings that start in an earlier one; see removed_repeats() for nulls and repeated rows."""
     return removed_repeats(table(spark, sf_dir, "documents"))

@@ -274,6 +274,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
 
 
 def op2_ranked_byte_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all whole texts, written and read back; see tokenized() for nulls, ties and empty texts."""
     import public_tokenizers
 
     return tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)

@@ -206,4 +206,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see scored() for nulls and empty texts."""
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
