@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Suffixes of company names, query parameters that only track, words without content.
@@ -44,6 +46,20 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(k == 0, F.array().cast("array<string>")).otherwise(many)
 
 
+def word_triples(docs: DataFrame) -> DataFrame:
+    """(doc_id, g): the word triples of each text that has words of three letters or digits."""
+    ws = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), lambda w: F.length(w) >= 3)
+    return docs.select("doc_id", ws.alias("ws")).where(F.size("ws") > 0).select("doc_id", ngrams(F.col("ws"), 3).alias("g"))
+
+
+def kind_of(name: Column, kinds: dict[str, tuple[str, ...]], default: str) -> Column:
+    """The first kind that has a part of the name, whatever its case; the default for names of none and for null."""
+    out = F.lit(default)
+    for kind, parts in reversed(list(kinds.items())):
+        out = F.when(reduce(Column.__or__, [F.contains(F.lower(name), F.lit(p)) for p in parts]), kind).otherwise(out)
+    return out
+
+
 def content_hash(title: Column, body: Column) -> Column:
     return F.sha2(F.concat_ws("\n", title, body), 256)
 

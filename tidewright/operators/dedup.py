@@ -125,6 +125,24 @@ def near_in_block(df: DataFrame, key: str, block: list[str], text: str, least: f
     return pairs.unionByName(same)
 
 
+def near_in_time(df: DataFrame, key: str, block: list[str], at: str, text: str, days: int, least: float) -> DataFrame:
+    """Pairs (a, b, similarity) of one block, b up to `days` after a, whose texts are alike by 1 - edits / longer length.
+
+    Of rows at one time the smaller key is a. Times are cut into spans of `days`; a row meets its own span and
+    the next, so a block of many rows is dealt over its spans. Rows without a text or a time pair with nothing.
+    """
+    span = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(days * 86_400_000_000)).cast("long")
+    own = df.select(key, *block, at, text).where(F.col(at).isNotNull() & F.col(text).isNotNull())
+    l = own.select(*block, F.col(key).alias("a"), F.col(at).alias("_at"), F.col(text).alias("_ta"), F.explode(F.array(span, span + 1)).alias("_s"))
+    r = own.select(*block, F.col(key).alias("b"), F.col(at).alias("_bt"), F.col(text).alias("_tb"), span.alias("_s"))
+    later = (F.col("_bt") > F.col("_at")) | ((F.col("_bt") == F.col("_at")) & (F.col("a") < F.col("b")))
+    p = l.join(r, [*block, "_s"]).where(later & (F.col("_bt") <= F.col("_at") + F.expr(f"interval {days} days")))
+    longer, shorter = F.greatest(F.length("_ta"), F.length("_tb")), F.least(F.length("_ta"), F.length("_tb"))
+    p = p.where(shorter >= least * longer)
+    alike = F.coalesce(F.try_divide(F.levenshtein("_ta", "_tb"), longer), F.lit(0.0))
+    return p.select("a", "b", (1 - alike).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def merged(df: DataFrame, group: str, score: str, key: str) -> DataFrame:
     """One row for each group: the best-scored row, the group's size, its keys' number and the sum of scores."""
     rest = [c for c in df.columns if c != group]

@@ -51,6 +51,17 @@ def spread(edges: DataFrame, starts: DataFrame, depth: int = 3, decay: float = 0
     return seen
 
 
+def warnings_of(changes: DataFrame, leads: DataFrame, least: float) -> DataFrame:
+    """Changes (leader, c) joined with those that follow (leader, target, lag, r, n): a negative correlation turns the expected direction round; correlations up to `least` warn of nothing."""
+    sign = lambda c: F.when(c, "positive").otherwise("negative")
+    up = F.col("c") >= 0
+    d = leads.where(F.abs("r") > least).join(changes, "leader")
+    return d.select(
+        "leader", "target", "lag", "r", sign(up).alias("direction"), F.abs("c").alias("magnitude"), sign(up == (F.col("r") > 0)).alias("expected"),
+        F.when(F.col("n") >= 24, "high").otherwise("medium").alias("confidence"),
+    )
+
+
 def dot(a: Column, b: Column) -> Column:
     """Scalar product of two arrays of equal length; 0 for other lengths."""
     s = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + x)

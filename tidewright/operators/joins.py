@@ -81,6 +81,53 @@ def ladder(left: DataFrame, key: str, steps: list[tuple[str, DataFrame]]) -> Dat
     return out.withColumn("target", F.coalesce(*[F.col(f"_t{k}") for k in range(len(steps))])).withColumn("matched_by", by).drop(*[f"_{c}{k}" for k in range(len(steps)) for c in "kt"])
 
 
+def tiers(df: DataFrame, name: str, steps: list[tuple[str, str, DataFrame, float]], entities: DataFrame, deny: list[str], least: float, cap: float) -> DataFrame:
+    """Adds target, tier and confidence: the first step (tier, column, DataFrame of column and target, confidence) that knows a row, then edit distance.
+
+    Only the distinct names that no step knows meet the entities (name, target), in spans of log length, whatever
+    their case. The best score from `least` on counts, `cap` at most; of several entities with it the name is
+    ambiguous. Names in `deny` match nothing. A null name matches nothing.
+    """
+    out = df
+    for k, (_, column, known, _) in enumerate(steps):
+        out = out.join(known.groupBy(F.col(column).alias(f"_k{k}")).agg(F.min("target").alias(f"_t{k}")), F.col(column) == F.col(f"_k{k}"), "left")
+    hit = [F.col(f"_t{k}").isNotNull() for k in range(len(steps))]
+    none = reduce(lambda a, b: a & b, [~h for h in hit])
+    denied = F.coalesce(F.col(name).isin(*deny), F.lit(False))
+    step = F.log(F.lit(1 / least))
+    span = F.floor(F.log(F.length("_q").cast("double")) / step).cast("int")
+    rest = out.where(none & ~denied & (F.length(name) > 0)).select(F.col(name).alias("_q")).distinct().withColumn("_s", F.explode(F.array(span - 1, span, span + 1)))
+    e = entities.select(F.col("name").alias("_q"), F.col("target").alias("_e")).where(F.length("_q") > 0).select(F.col("_q").alias("_n"), "_e", span.alias("_s"))
+    score = 1 - F.levenshtein(F.lower("_q"), F.lower("_n")) / F.greatest(F.length("_q"), F.length("_n"))
+    near = rest.join(e, "_s").select("_q", "_e", F.round(score, 6).alias("_score")).where(F.col("_score") >= least)
+    best = near.groupBy("_q", "_score").agg(F.count_distinct("_e").alias("_c"), F.min("_e").alias("_e")).groupBy("_q").agg(F.max_by(F.struct("_score", "_c", "_e"), "_score").alias("_b"))
+    out = out.join(best, F.col(name) == F.col("_q"), "left")
+    one, many = F.col("_b._c") == 1, F.col("_b._c") > 1
+    tier, sure = F.when(denied, "denied"), F.when(denied, 0.0)
+    for k, (label, _, _, c) in enumerate(steps):
+        tier, sure = tier.when(hit[k], label), sure.when(hit[k], c)
+    known = F.coalesce(*[F.col(f"_t{k}") for k in range(len(steps))])
+    target = F.when(~denied, F.coalesce(known, F.when(one, F.col("_b._e"))))
+    tier = tier.when(one, "fuzzy").when(many, "ambiguous").otherwise("none")
+    sure = sure.when(one, F.least(F.col("_b._score"), F.lit(cap))).otherwise(0.0)
+    return out.withColumn("target", target).withColumn("tier", tier).withColumn("confidence", sure).drop(*[f"_{c}{k}" for k in range(len(steps)) for c in "kt"], "_q", "_b")
+
+
+def replay(feeds: DataFrame, key: str, day: str, signals: str, back: int) -> DataFrame:
+    """Each day from the first feed to the last: keys with a feed of the day (fresh), with one of up to `back` days before (fallback) or with none (skipped), and the signals that came in.
+
+    A feed (one row for a key and day) serves the days up to `back` after its own, of which each key takes the newest; no key is sorted.
+    """
+    ends = feeds.agg(F.min(day).alias("_a"), F.max(day).alias("_b"))  # one row
+    served = feeds.select(key, signals, F.col(day).alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(back))).alias("_d")).withColumn(day, F.date_add("_own", F.col("_d")))
+    used = served.groupBy(key, day).agg(F.min("_d").alias("_d"), F.min_by(signals, "_d").alias("_n"))
+    per = used.groupBy(day).agg(F.count_if(F.col("_d") == 0).alias("fresh"), F.count_if(F.col("_d") > 0).alias("fallback"), F.sum("_n").alias("_n"))
+    days = ends.select(F.explode(F.sequence("_a", "_b")).alias(day))
+    keys = feeds.agg(F.count_distinct(key).alias("_keys"))  # one row
+    out = days.join(per, day, "left").join(F.broadcast(keys)).fillna(0, ["fresh", "fallback", "_n"])
+    return out.select(day, "fresh", "fallback", (F.col("_keys") - F.col("fresh") - F.col("fallback")).alias("skipped"), F.col("_n").cast("long").alias("signals"))
+
+
 def islands(df: DataFrame, keys: list[str], order: str, good: Column, name: str) -> DataFrame:
     """Adds the number of rows in a row, up to this one, for which `good` holds; it starts anew after each that fails."""
     w = Window.partitionBy(*keys).orderBy(order)

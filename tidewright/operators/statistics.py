@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -132,7 +132,37 @@ def belief(df: DataFrame, key: str, strength: str, weight: str, prior: float, ra
     return df.groupBy(key).agg(F.least(F.greatest(prior + rate * shift, F.lit(0.05)), F.lit(0.95)).alias("belief"), F.count(F.lit(1)).alias("n"))
 
 
-def by_statistic(df: DataFrame, key: str, value: str, fn: Callable[[pd.Series], float]) -> DataFrame:
-    """A statistic of one's own for each group, as a grouped pandas function."""
-    f = F.pandas_udf(fn, "double", F.PandasUDFType.GROUPED_AGG) if not hasattr(fn, "returnType") else fn
-    return df.groupBy(key).agg(f(F.col(value)).alias("statistic"))
+def normal_below(z: Column, terms: int = 100) -> Column:
+    """The share of a normal distribution below z, by the series of odd powers over odd factorials; z counts up to 6 either way."""
+    x = F.least(F.greatest(F.abs(z), F.lit(0.0)), F.lit(6.0))
+    start = F.struct(x.alias("term"), x.alias("total"))
+    grow = lambda s, k: F.struct((s["term"] * x * x / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * x * x / (2 * k + 1)).alias("total"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, grow, lambda s: s["total"])
+    return 0.5 + F.signum(z) * total * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+
+
+def by_parts(df: DataFrame, keys: list[str], value: str, part: Callable[[pd.Series], list[float]], width: int) -> DataFrame:
+    """A statistic of one's own for each key: `part` turns any piece of a key's values into `width` numbers s0, s1, .., which are added up.
+
+    Pieces are batches of tasks, so a key of any size is dealt over all of them and only sums are shuffled.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [f"s{k}" for k in range(width)]
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{n} double" for n in names])
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [[*(k if isinstance(k, tuple) else (k,)), *map(float, part(g[value]))] for k, g in pdf.groupby(keys, dropna=False, sort=False)]
+            yield pd.DataFrame(got, columns=[*keys, *names])
+
+    return df.select(*keys, value).mapInPandas(pieces, schema).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+
+
+def called_forward(folds: DataFrame, summary: list[Column], predict: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """The test rows of each fold (fold, part, ..) with a prediction of one's own.
+
+    `summary` are aggregates of the fold's training rows; predict gets Arrow batches of test rows that carry them.
+    """
+    train = folds.where("part = 'train'").groupBy("fold").agg(*summary)  # a row for each fold
+    test = folds.where("part = 'test'").join(train, "fold")
+    return test.withColumn("prediction", F.pandas_udf(predict, "double")(F.struct(*[F.col(c) for c in test.columns])))

@@ -212,13 +212,13 @@ def buckets_many_to_many(t):
     return j.agg(F.count(F.lit(1)).alias("members"), F.count("q").alias("covered"), F.round(F.count("q") / F.count(F.lit(1)), 6).alias("coverage"), F.sum("q").alias("quantity"))
 
 
-@query("""WITH a AS (SELECT user_id AS id, min(ts) AS first_seen, max(value) AS score FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id AS id, min(ts) AS first_seen, CASE WHEN min(value) > 5 THEN NULL ELSE min(value) END AS score FROM events WHERE event_type = 'error' AND user_id % 3 <> 0 GROUP BY 1)
+@query("""WITH a AS (SELECT user_id AS id, min(ts) AS first_seen, max(value) AS score FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id AS id, min(ts) AS first_seen, CASE WHEN min(value) > 65 THEN NULL ELSE min(value) END AS score FROM events WHERE event_type = 'error' AND value >= 60 GROUP BY 1)
 SELECT coalesce(a.id, b.id) AS id, coalesce(a.first_seen, b.first_seen) AS first_seen, coalesce(b.score, a.score) AS score FROM a FULL JOIN b ON a.id = b.id""")
 def upserted(t):
     """Two stores merged, a null never replacing a value."""
     e = t("events")
     a = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("first_seen"), F.max("value").alias("score"))
-    b = e.where("event_type = 'error' and user_id % 3 <> 0").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("first_seen"), F.when(F.min("value") <= 5, F.min("value")).alias("score"))
+    b = e.where("event_type = 'error' and value >= 60").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("first_seen"), F.when(F.min("value") <= 65, F.min("value")).alias("score"))
     return sinks.upsert(a, b, "id", keep_old=("first_seen",))
 
 
@@ -226,7 +226,7 @@ def upserted(t):
 SELECT event_id, coalesce(n.n_nationkey, r.r_regionkey + 100)::BIGINT AS target, CASE WHEN n.n_nationkey IS NOT NULL THEN 'name' WHEN r.r_regionkey IS NOT NULL THEN 'alias' END AS matched_by
 FROM w LEFT JOIN nation n ON w.name = n.n_name LEFT JOIN region r ON w.name = 'R' || r.r_regionkey""")
 def resolution_ladder(t):
-    """Staged lookups; the first that knows a name decides."""
+    """Staged lookups; the first that knows a name decides."""
     user = F.col("user_id")
     name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("NATION_"), user % 30)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("R"), user % 8)).otherwise(F.concat(F.lit("x"), user))
     steps = [("name", t("nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("target"))), ("alias", t("region").select(F.concat(F.lit("R"), "r_regionkey").alias("name"), (F.col("r_regionkey") + 100).cast("long").alias("target")))]

@@ -114,27 +114,56 @@ def reprint_ratios(t):
     return out.select("vec_id", "alike", "kinds", F.round(ratio, 6).alias("reprint_ratio"), F.round(1 - 0.5 * ratio * (1 - F.least(F.lit(1.0), F.col("kinds") / 5.0)), 6).alias("weight"))
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{{8,}}'))) AS ws, list_distinct(regexp_extract_all(text, '{CAPITAL}', 1)) AS en FROM documents),
+INSIGHTS = f"""w AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{{8,}}'))) AS ws, list_distinct(regexp_extract_all(text, '{CAPITAL}', 1)) AS en FROM documents),
 u AS (SELECT ws, min(doc_id) AS rep FROM w WHERE len(ws) > 0 GROUP BY 1), x AS (SELECT rep, len(ws) AS n, unnest(ws) AS x FROM u),
 c AS (SELECT l.rep AS a, r.rep AS b, count(*) AS k, min(l.n) AS n, min(r.n) AS m FROM x l JOIN x r ON l.x = r.x AND l.rep < r.rep AND least(l.n, r.n) >= greatest(l.n, r.n) * 0.44 GROUP BY ALL),
 j AS (SELECT a, b, k / (n + m - k)::DOUBLE AS s FROM c WHERE k / (n + m - k)::DOUBLE >= 0.44 UNION ALL SELECT rep, doc_id, 1.0 FROM w JOIN u USING (ws) WHERE doc_id <> rep),
 p AS MATERIALIZED (SELECT j.a, j.b FROM j JOIN w l ON l.doc_id = j.a JOIN w r ON r.doc_id = j.b WHERE 0.5 * s + 0.5 * coalesce(len(list_intersect(l.en, r.en)) / nullif(len(list_distinct(list_concat(l.en, r.en))), 0)::DOUBLE, 0) >= 0.72),
 m AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS id, a AS c FROM m UNION SELECT m.b, r.c FROM r JOIN m ON m.a = r.id), g AS (SELECT id, min(c) AS c FROM r GROUP BY 1),
-k AS (SELECT c, unnest(en) AS x FROM g LEFT JOIN w ON w.doc_id = g.id)
-SELECT cluster_id, size, coalesce(entities, 0) AS entities, coalesce(entities, 0) >= 2 AS diverse FROM (SELECT c AS cluster_id, count(*) AS size FROM g GROUP BY 1) LEFT JOIN (SELECT c AS cluster_id, count(DISTINCT x) AS entities FROM k GROUP BY 1) USING (cluster_id)""")
-def insight_clusters(t):
-    """Documents alike half by their long words and half by their capitalised ones, as components, and whether each has two entities. A score of 0.72 needs long words that overlap by 0.44."""
+k AS (SELECT c, unnest(en) AS x FROM g LEFT JOIN w ON w.doc_id = g.id)"""
+
+
+def insight_members(t):
+    """(cluster_id, doc_id, en) of documents alike half by their long words and half by their capitalised ones, as components. A score of 0.72 needs long words that overlap by 0.44."""
     d = t("documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0).alias("ws"), F.array_distinct(F.regexp_extract_all("text", F.lit(CAPITAL), 1)).alias("en"))
     side = lambda k: d.select(F.col("doc_id").alias(k), F.col("en").alias(f"en_{k}"))
     j = settled(dedup.jaccard_pairs(d, "doc_id", "ws", 0.44), "insight-pairs")
     p = j.join(side("a"), "a").join(side("b"), "b").where(0.5 * F.col("similarity") + 0.5 * dedup.overlap(F.col("en_a"), F.col("en_b")) >= 0.72)
-    c = graphs.components(p.select("a", "b"))
-    each = c.join(d.select("doc_id", "en"), c.id == F.col("doc_id"))
-    sizes = c.groupBy(F.col("component").alias("cluster_id")).agg(F.count(F.lit(1)).alias("size"))
-    kinds = each.select(F.col("component").alias("cluster_id"), F.explode("en").alias("x")).groupBy("cluster_id").agg(F.count_distinct("x").alias("entities"))
+    c = graphs.components(p.select("a", "b")).select(F.col("component").alias("cluster_id"), F.col("id").alias("doc_id"))
+    return c.join(d.select("doc_id", "en"), "doc_id")
+
+
+@query(f"""WITH RECURSIVE {INSIGHTS}
+SELECT cluster_id, size, coalesce(entities, 0) AS entities, coalesce(entities, 0) >= 2 AS diverse FROM (SELECT c AS cluster_id, count(*) AS size FROM g GROUP BY 1) LEFT JOIN (SELECT c AS cluster_id, count(DISTINCT x) AS entities FROM k GROUP BY 1) USING (cluster_id)""")
+def insight_clusters(t):
+    """Clusters of documents, and whether each has two entities."""
+    m = insight_members(t)
+    sizes = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    kinds = m.select("cluster_id", F.explode("en").alias("x")).groupBy("cluster_id").agg(F.count_distinct("x").alias("entities"))
     return sizes.join(kinds, "cluster_id", "left").select("cluster_id", "size", F.coalesce("entities", F.lit(0)).alias("entities"), (F.coalesce("entities", F.lit(0)) >= 2).alias("diverse"))
 
 
+@query(f"""WITH RECURSIVE {INSIGHTS}, o AS (SELECT c, x, count(*) AS n FROM k WHERE x IS NOT NULL GROUP BY ALL), z AS (SELECT c, count(*) AS size FROM g GROUP BY 1),
+s AS (SELECT o.c, min(size) AS size, list(x) AS xs, max_by(x, (n, x)) AS name FROM o JOIN z ON z.c = o.c GROUP BY o.c HAVING count(*) >= 2),
+h AS (SELECT a.c AS child, b.c AS parent, len(list_intersect(a.xs, b.xs)) / len(list_distinct(list_concat(a.xs, b.xs)))::DOUBLE AS j, b.size AS bs FROM s a JOIN s b ON b.size > a.size OR (b.size = a.size AND b.c < a.c)),
+q AS (SELECT child, max_by(parent, (round(j, 6), bs, -parent)) AS parent FROM h WHERE j >= 0.25 AND j < 0.72 GROUP BY 1)
+SELECT c AS cluster_id, name, size, len(xs) AS entities, round(least(CASE WHEN size < 3 THEN 0.6 ELSE 0.95 END, 0.3 + 0.1 * size + 0.05 * len(xs)), 5) AS confidence, q.parent FROM s LEFT JOIN q ON q.child = s.c""")
+def meta_signals(t):
+    """Clusters with two entities or more, named by the commonest of them, with a confidence that is capped by size; a larger cluster whose entities overlap by 0.25 to 0.72 is the parent."""
+    m = settled(insight_members(t), "insights")
+    o = m.select("cluster_id", F.explode("en").alias("x")).groupBy("cluster_id", "x").agg(F.count(F.lit(1)).alias("n"))
+    sizes = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    s = o.groupBy("cluster_id").agg(F.max_by("x", F.struct("n", "x")).alias("name"), F.count(F.lit(1)).alias("entities")).where("entities >= 2").join(sizes, "cluster_id")
+    xs = o.join(s.select("cluster_id"), "cluster_id", "left_semi").groupBy("cluster_id").agg(F.collect_list("x").alias("xs"))  # distinct names, so no more than the vocabulary has
+    j = dedup.jaccard_pairs(xs, "cluster_id", "xs", 0.25).where("similarity < 0.72").select("a", "b", F.round("similarity", 6).alias("j"))
+    both = j.unionByName(j.select(F.col("b").alias("a"), F.col("a").alias("b"), "j"))
+    size = lambda k: sizes.select(F.col("cluster_id").alias(k), F.col("size").alias(f"size_{k}"))
+    up = both.join(size("a"), "a").join(size("b"), "b").where("size_b > size_a or (size_b = size_a and b < a)")
+    parents = up.groupBy(F.col("a").alias("cluster_id")).agg(F.max_by("b", F.struct("j", "size_b", -F.col("b"))).alias("parent"))
+    sure = F.least(F.when(F.col("size") < 3, 0.6).otherwise(0.95), 0.3 + 0.1 * F.col("size") + 0.05 * F.col("entities"))
+    return s.join(parents, "cluster_id", "left").select("cluster_id", "name", "size", "entities", F.round(sure, 5).alias("confidence"), "parent")
+
+
 @query("""WITH m AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 500)) AS kept FROM customer)
 SELECT kept, count(DISTINCT c_custkey) AS n_merged, count(o_orderkey) AS n_orders, coalesce(sum(round(o_totalprice, 2)::DECIMAL(28, 2)), 0)::DOUBLE AS total FROM m LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def entity_merge(t):

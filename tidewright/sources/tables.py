@@ -38,9 +38,9 @@ def no_nan(df: DataFrame) -> DataFrame:
 
 
 def day_files(spark: SparkSession, pattern: str, schema: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """JSON or JSON-lines files whose names carry a date (YYYY-MM-DD), with `day`; malformed rows keep their text in _corrupt_record."""
+    """JSON or JSON-lines files whose names or folders carry a date (YYYY-MM-DD; the last counts), with `day`; malformed rows keep their text in _corrupt_record."""
     df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(pattern)
-    df = df.withColumn("day", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1)))
+    df = df.withColumn("day", F.to_date(F.regexp_extract(F.col("_metadata.file_path"), r".*(\d{4}-\d{2}-\d{2})", 1)))
     if first:
         df = df.where(F.col("day") >= F.lit(first).cast("date"))
     return df.where(F.col("day") <= F.lit(last).cast("date")) if last else df
