@@ -29,8 +29,8 @@ def week_anomalies(t):
     p = Window.partitionBy("seg").orderBy("wk").rowsBetween(-26, -1)
     b = series.weekly(t).select("seg", "wk", "n", F.avg("n").over(p).alias("mean"), F.stddev_samp("n").over(p).alias("sd"), F.count(F.lit(1)).over(p).alias("k")).where("k >= 4")
     z = F.coalesce(F.when(F.col("sd") > 1e-9, (F.col("n") - F.col("mean")) / F.col("sd")), F.lit(0.0))
-    d = b.select("seg", F.col("wk").cast("string").alias("wk"), z.alias("z"))
-    return d.select("seg", "wk", F.round("z", 5).alias("z"), (F.abs("z") > 2.5).alias("anomaly"), F.round(100 * st.normal_below(F.col("z")), 4).alias("percentile"))
+    d = b.select("seg", F.col("wk").cast("string").alias("wk"), z.alias("exact"))
+    return d.select("seg", "wk", F.round("exact", 5).alias("z"), (F.abs("exact") > 2.5).alias("anomaly"), F.round(100 * st.normal_below(F.col("exact")), 4).alias("percentile"))
 
 
 #: Kinds of entities and the words in names that tell them, in order of precedence.
