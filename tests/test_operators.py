@@ -235,3 +235,92 @@ def test_s23_ledgers_in_many_batches(spark):
     for ledger in range(3):
         own = sorted((r for r in got if r.l == ledger), key=lambda r: r.i)
         assert own[0].prev_hash == "0" * 64 and all(b.prev_hash == a.entry_hash for a, b in itertools.pairwise(own))
+
+
+def test_d06_near_in_time_equals_brute_force(spark):
+    r, at = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(k, r.choice("uv"), at + dt.timedelta(hours=r.randrange(0, 240, 6)), r.choice(["alpha one", "alpha two", "alpha on", "beta", "", None])) for k in range(120)]
+    rows.append((200, "u", None, "beta"))
+    df = spark.createDataFrame(rows, "k int, who string, at timestamp_ntz, name string")
+    got = {(r.a, r.b): round(r.similarity, 6) for r in dedup.near_in_time(df, "k", ["who"], "at", "name", 1, 0.7).collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for a, b in itertools.permutations([x for x in rows if x[2] is not None and x[3] is not None], 2):
+        if a[1] == b[1] and (a[2], a[0]) < (b[2], b[0]) and b[2] - a[2] <= dt.timedelta(days=1):
+            longer = max(len(a[3]), len(b[3]))
+            s = 1 - edits(a[3], b[3]) / longer if longer else 1.0
+            if s >= 0.7:
+                want[a[0], b[0]] = round(s, 6)
+    assert got == want and len(want) > 50
+
+
+def test_g20_tiers_deny_ambiguity_and_nulls(spark):
+    names = spark.createDataFrame([("Northwind", 1), ("Southwind", 2), ("Acme 1", 3), ("Acme 2", 4)], "name string, target long")
+    m = spark.createDataFrame([(1, "Northwind"), (2, "northwnd"), (3, "Acme x"), (4, "spam"), (5, None), (6, ""), (7, "nothing like it")], "k int, name string")
+    out = joins.tiers(m, "name", [("name", "name", names, 1.0)], names, ["spam"], 0.8, 0.9)
+    got = {r.k: (r.target, r.tier, round(r.confidence, 3)) for r in out.collect()}
+    assert got == {1: (1, "name", 1.0), 2: (1, "fuzzy", 0.889), 3: (None, "ambiguous", 0.0), 4: (None, "denied", 0.0), 5: (None, "none", 0.0), 6: (None, "none", 0.0), 7: (None, "none", 0.0)}
+    assert joins.tiers(m.limit(0), "name", [("name", "name", names, 1.0)], names, [], 0.8, 0.9).count() == 0
+
+
+def test_g13_warnings_turn_round_with_the_correlation(spark):
+    changes = spark.createDataFrame([("a", 2.0), ("b", -1.0), ("c", 0.0)], "leader string, c double")
+    leads = spark.createDataFrame([("a", "x", 3, 0.5, 30), ("a", "y", 1, -0.5, 10), ("b", "x", 2, 0.9, 30), ("b", "z", 2, 0.2, 30)], "leader string, target string, lag int, r double, n int")
+    got = values(graphs.warnings_of(changes, leads, 0.3).select("leader", "target", "direction", "expected", "confidence"), "leader", "target")
+    assert got == [("a", "x", "positive", "positive", "high"), ("a", "y", "positive", "negative", "medium"), ("b", "x", "negative", "negative", "high")]
+
+
+def test_w25_normal_share(spark):
+    zs = [-7.0, -2.5, -1.0, 0.0, 0.3, 1.96, 5.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", statistics.normal_below(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p - 0.5 * math.erfc(-max(r.z, -6.0) / math.sqrt(2))) < 1e-12 for r in got)
+
+
+def test_u04_parts_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(k % 3 if k % 7 else None, float(k)) for k in range(300)], "k int, v double")
+    sums = lambda n: {r.k: (r.s0, r.s1) for r in statistics.by_parts(df.repartition(n), ["k"], "v", lambda v: [v.sum(), len(v)], 2).collect()}
+    assert sums(1) == sums(13) and sums(1)[None][1] == 43
+    assert statistics.by_parts(df.limit(0), ["k"], "v", lambda v: [v.sum(), len(v)], 2).count() == 0
+
+
+def test_u03_predictions_see_only_training_sums(spark):
+    y = statistics.walk_forward(spark.createDataFrame([(k, float(k)) for k in range(20)], "k int, v double"), ["k"], 20, folds=2)
+    got = statistics.called_forward(y, [F.max("v").alias("top")], lambda rows: rows.v - rows.top).collect()
+    assert all(r.prediction == r.v - r.top > 0 for r in got) and {r.fold for r in got} == {0, 1}
+
+
+def test_f03_kinds_and_x11_replay(spark):
+    d = spark.createDataFrame([("Big GEAR works",), ("bolt gear",), ("plain",), (None,)], "n string")
+    kinds = {"machine": ("gear",), "fastener": ("bolt",)}
+    assert [r[0] for r in d.select(text.kind_of(F.col("n"), kinds, "company")).collect()] == ["machine", "machine", "company", "company"]
+    feeds = spark.createDataFrame([("a", dt.date(2024, 1, 1), 5), ("a", dt.date(2024, 1, 6), 1), ("b", dt.date(2024, 1, 2), 2)], "k string, day date, n long")
+    got = [tuple(r)[1:] for r in joins.replay(feeds, "k", "day", "n", 3).orderBy("day").collect()]
+    assert got == [(1, 0, 1, 5), (1, 1, 0, 7), (0, 2, 0, 7), (0, 2, 0, 7), (0, 1, 1, 2), (1, 0, 1, 1)]
+    assert joins.replay(feeds.limit(0), "k", "day", "n", 3).count() == 0
+
+
+def test_s06_day_files_by_folder(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01", 1), ("2024-01-03", 2), ("2024-01-09", 3)], "day string, v int").write.partitionBy("day").json(str(tmp_path / "in"))
+    got = values(tables.day_files(spark, str(tmp_path / "in" / "*"), "v int", "2024-01-02", "2024-01-05").select("v", F.col("day").cast("string")), "v")
+    assert got == [(2, "2024-01-03")]
+
+
+def test_d10_a_text_finds_its_nearest_earlier_one(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(62) for _ in range(6)]
+    prints = [(k, base[k % 6] ^ (1 << r.randrange(62) if k % 4 else 0)) for k in range(40)]
+    pairs = dedup.near_fingerprints(spark.createDataFrame(prints, "doc_id long, fingerprint long"), "doc_id")
+    got = {r.b: (r.d, r.a) for r in pairs.groupBy("b").agg(F.min("distance").alias("d"), F.min_by("a", F.struct("distance", "a")).alias("a")).collect()}
+    want = {}
+    for (a, x), (b, y) in itertools.combinations(prints, 2):
+        if (d := (x ^ y).bit_count()) <= 3:
+            want[b] = min(want.get(b, (9, 0)), (d, a))
+    assert got == want
