@@ -43,10 +43,12 @@ def spread(edges: DataFrame, starts: DataFrame, depth: int = 3, decay: float = 0
     front = starts.select("origin", "node", F.lit(0).alias("hop"), F.col("impact").cast("double"), F.lit(0).cast("long").alias("lag"), F.array("node").alias("path"))
     seen = front
     for k in range(1, depth + 1):
-        step = front.join(edges, front.node == edges.src).select("origin", F.col("dst").alias("node"), F.lit(k).alias("hop"), (F.col("impact") * F.col("strength") * decay).alias("impact"), (front["lag"] + edges["lag"]).alias("lag"), F.concat("path", F.array("dst")).alias("path"))
-        new = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
-        best = F.max_by(F.struct("hop", "impact", "lag", "path"), F.struct(F.round(F.abs("impact"), 9), (-F.element_at("path", -2)).alias("p")))
-        front = settled(new.groupBy("origin", "node").agg(best.alias("r")).select("origin", "node", "r.*"), f"hop{k}")
+        step = front.join(edges, front.node == edges.src).select("origin", F.col("dst").alias("node"), "src", (F.col("impact") * F.col("strength") * decay).alias("impact"), (front["lag"] + edges["lag"]).alias("lag"))
+        best = F.max_by(F.struct("src", "impact", "lag"), F.struct(F.round(F.abs("impact"), 9), -F.col("src")))
+        new = step.groupBy("origin", "node").agg(best.alias("r")).join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
+        came = front.select("origin", F.col("node").alias("src"), F.col("path").alias("before"))
+        reached = new.select("origin", "node", F.lit(k).alias("hop"), "r.*").join(came, ["origin", "src"])
+        front = settled(reached.select("origin", "node", "hop", "impact", "lag", F.concat("before", F.array("node")).alias("path")), f"hop{k}")
         seen = seen.unionByName(front)
     return seen
 
