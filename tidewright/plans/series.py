@@ -95,7 +95,12 @@ def smoothed_series(t):
     return a.select("event_type", F.size("vs").alias("n"), F.round(ts.folded(F.col("vs"), 0.3), 5).alias("ewma"), F.round(clipped, 5).alias("clipped_mean"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WEEKLY}, x AS (SELECT seg, total, row_number() OVER (PARTITION BY seg ORDER BY wk) AS i, avg(total) OVER (PARTITION BY seg ORDER BY wk ROWS 11 PRECEDING) AS m12, avg(total) OVER (PARTITION BY seg ORDER BY wk ROWS 25 PRECEDING) AS m26 FROM w),
+e AS (SELECT seg, i, m12 AS fast, NULL::DOUBLE AS slow FROM x WHERE i = 12 UNION ALL
+  SELECT x.seg, x.i, e.fast + 2 / 13.0::DOUBLE * (x.total - e.fast), CASE WHEN x.i = 26 THEN x.m26 ELSE e.slow + 2 / 27.0::DOUBLE * (x.total - e.slow) END FROM e JOIN x ON x.seg = e.seg AND x.i = e.i + 1),
+l AS (SELECT seg, i, fast - slow AS v, avg(fast - slow) OVER (PARTITION BY seg ORDER BY i ROWS 8 PRECEDING) AS m9 FROM e WHERE i >= 26),
+g AS (SELECT seg, i, m9 AS s FROM l WHERE i = 34 UNION ALL SELECT l.seg, l.i, g.s + 0.2::DOUBLE * (l.v - g.s) FROM g JOIN l ON l.seg = g.seg AND l.i = g.i + 1)
+SELECT l.seg, round(max_by(l.v, l.i), 3) AS macd, round(max_by(g.s, l.i), 3) AS signal FROM l LEFT JOIN g ON g.seg = l.seg AND g.i = l.i GROUP BY 1""")
 def macd(t):
     """Difference of two EMAs seeded with means, by week."""
     a = weekly(t).groupBy("seg").agg(ts.in_order("wk", "total").alias("vs")).where(F.size("vs") >= 26)
