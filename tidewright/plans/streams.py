@@ -56,9 +56,13 @@ def s_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max_by("ewma", "ts"), 5).alias("ewma"))
 
 
-@stream()
+@stream("""WITH RECURSIVE d AS (SELECT user_id, ts::DATE AS day, count(*) AS x FROM events GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k, day - lag(day) OVER (PARTITION BY user_id ORDER BY day) - 1 AS quiet FROM d),
+r AS (SELECT user_id, day, k, 0 AS st, (x >= 2)::INT AS strong FROM l WHERE k = 1 UNION ALL SELECT l.user_id, l.day, l.k,
+  CASE WHEN quiet >= 21 THEN 5 WHEN quiet >= 7 THEN 4 WHEN st >= 4 THEN 0 WHEN st < 3 AND strong >= 1 AND x >= pow(2, st + 1) THEN st + 1 ELSE st END,
+  CASE WHEN quiet >= 7 OR st >= 4 OR x < pow(2, st + 1) THEN 0 WHEN st < 3 AND strong >= 1 THEN 0 ELSE strong + 1 END FROM r JOIN l ON l.user_id = r.user_id AND l.k = r.k + 1)
+SELECT user_id, day::VARCHAR AS day, ['weak', 'emerging', 'trending', 'mainstream', 'fading', 'dead'][st + 1] AS status FROM r""")
 def s_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state machine of signals, a day at a time; held against a plain fold in the tests."""
+    """The state machine of signals, a day at a time."""
     folder = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("level"))
     from ..sources.tables import shared_folder
     import uuid
