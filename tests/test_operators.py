@@ -188,16 +188,6 @@ def test_s06_day_files(spark, tmp_path):
     assert len(got) == 2 and sum(r._corrupt_record is not None for r in got) == 1
 
 
-def test_x09_state_machine(spark):
-    state, strong = "weak", 0
-    seen = []
-    for level in (2, 2, 4, 4, 8, 8):
-        state, strong = stateful.advance(state, strong, 0, level)
-        seen.append(state)
-    assert seen == ["weak", "emerging", "emerging", "trending", "trending", "mainstream"]
-    assert stateful.advance("mainstream", 0, 8, 5)[0] == "fading" and stateful.advance("fading", 0, 30, 1)[0] == "dead"
-
-
 def test_j02_either_key_keeps_each_left_row_once(spark):
     left = spark.createDataFrame([(1,), (2,), (9,)], "k int")
     right = spark.createDataFrame([(1, 5, "b"), (1, 6, "a"), (7, 2, "d"), (8, 2, "c")], "first int, second int, v string")

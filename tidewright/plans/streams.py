@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from ..streaming import stateful
+from ..streaming import keyed, stateful
 from .registry import ORACLE_SQL, QUERIES
 
 
+def days_from(at: str, n: int):
+    """The first day of a row's run of n days."""
+    return F.date_from_unix_date((F.floor(F.unix_date(F.to_date(at)) / n) * n).cast("int"))
+
+
 def stream(sql: str | None = None):
     def add(run):
         QUERIES[run.__name__] = run
@@ -37,15 +42,74 @@ def s_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(F.col("start") < F.lit(newest)).select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
 
 
-@stream("""WITH RECURSIVE a AS (SELECT user_id, event_id, epoch_us(ts) AS t, CASE WHEN value > 150 THEN 168 WHEN value > 100 THEN 72 ELSE 24 END * 3600000000::BIGINT AS hold, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE event_type = 'error' AND value > 60),
-r AS (SELECT user_id, event_id, k, t + hold AS until, true AS sent FROM a WHERE k = 1 UNION ALL SELECT a.user_id, a.event_id, a.k, CASE WHEN a.t >= r.until THEN a.t + a.hold ELSE r.until END, a.t >= r.until FROM r JOIN a ON a.user_id = r.user_id AND a.k = r.k + 1)
+@stream("""
+WITH RECURSIVE a AS (
+  SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k,
+    CASE WHEN value > 150 THEN 168 WHEN value > 100 THEN 72 ELSE 24 END * 3600000000::BIGINT AS hold
+  FROM events WHERE event_type = 'error' AND value > 60),
+r AS (
+  SELECT user_id, event_id, k, t + hold AS until, true AS sent FROM a WHERE k = 1
+  UNION ALL SELECT a.user_id, a.event_id, a.k, CASE WHEN a.t >= r.until THEN a.t + a.hold ELSE r.until END, a.t >= r.until
+  FROM r JOIN a ON a.user_id = r.user_id AND a.k = r.k + 1)
 SELECT user_id, event_id FROM r WHERE sent""")
 def s_alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts that no earlier alert of their entity silences."""
+    """Alerts that no earlier alert of their entity silences, six days at a time; a key's state ends with its silence."""
     v = F.col("value")
-    severity = F.when(v > 150, "critical").when(v > 100, "high").otherwise("low")
-    e = stateful.stream_of(spark, sf_dir, "events").where((F.col("event_type") == "error") & (v > 60)).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), severity.alias("severity"))
-    return stateful.drained(stateful.cooled(e, ["user_id"], "t", "severity"), "cooled").select("user_id", "event_id")
+    hours = F.element_at(F.create_map(*[F.lit(x) for kv in stateful.COOLDOWN_HOURS.items() for x in kv]), F.when(v > 150, "critical").when(v > 100, "high").otherwise("low"))
+    e = table(spark, sf_dir, "events").where((F.col("event_type") == "error") & (v > 60)).select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("at"), hours.alias("hours"))
+    got, _ = keyed.run(keyed.keyed(keyed.dated(e, days_from("at", 6)), ["user_id"], "at", keyed.Silence(["user_id"]), "user_id long, id long"), "cooled")
+    return got.withColumnRenamed("id", "event_id")
+
+
+@stream("""
+WITH RECURSIVE a AS (
+  SELECT md5(event_type || ':' || CAST(floor(value) AS BIGINT)) AS content, event_id, epoch_us(ts) AS t FROM events WHERE value > 60),
+b AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY t, event_id) AS k FROM a),
+r AS (
+  SELECT content, event_id, k, t AS sent_at, true AS sent FROM b WHERE k = 1
+  UNION ALL SELECT b.content, b.event_id, b.k, CASE WHEN b.t >= r.sent_at + 86400000000 THEN b.t ELSE r.sent_at END, b.t >= r.sent_at + 86400000000
+  FROM r JOIN b ON b.content = r.content AND b.k = r.k + 1)
+SELECT content, event_id FROM r WHERE sent""")
+def s_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts whose content hash was not sent within the last 24 hours; a hash is forgotten after that."""
+    content = F.md5(F.concat(F.col("event_type"), F.lit(":"), F.floor("value").cast("string")).cast("binary"))
+    e = table(spark, sf_dir, "events").where("value > 60").select(content.alias("content"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.lit(24).alias("hours"))
+    got, _ = keyed.run(keyed.keyed(keyed.dated(e, days_from("at", 6)), ["content"], "at", keyed.Silence(["content"]), "content string, id long"), "repeats")
+    return got.withColumnRenamed("id", "event_id")
+
+
+@stream("""
+WITH w AS (
+  SELECT user_id, event_id, list(value) OVER k AS v, count(*) OVER k AS n FROM events
+  WINDOW k AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, list_sort(v) AS s FROM w),
+x AS (SELECT *, list_transform(v, lambda y: least(greatest(y, s[CAST(floor(n * 0.05) AS INT) + 1]), s[least(CAST(floor(n * 0.95) AS INT), n - 1) + 1])) AS z FROM c),
+e AS (SELECT *, list_transform(range(1, n + 1), lambda k: list_reduce(z[1:k], lambda p, y: 0.3 * y + 0.7 * p)) AS m FROM x)
+SELECT user_id, event_id, n AS n_history, round(CASE WHEN n < 3 THEN v[n] ELSE m[n] END, 5) AS smoothed,
+  round(CASE WHEN n < 3 OR list_aggregate(v, 'stddev_samp') = 0 THEN 0 ELSE 1 - list_aggregate(m, 'stddev_samp') / list_aggregate(v, 'stddev_samp') END, 4) AS noise_reduction
+FROM e""")
+def s_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value smoothed over its entity's last 52 values, clipped, six days at a time; idle entities lose their history."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("at"), "value")
+    schema = "user_id long, id long, n_history int, smoothed double, noise_reduction double"
+    got, _ = keyed.run(keyed.keyed(keyed.dated(e, days_from("at", 6)), ["user_id"], "at", keyed.History(["user_id"], 0.3), schema), "history")
+    rounded = [F.round("smoothed", 5).alias("smoothed"), F.round("noise_reduction", 4).alias("noise_reduction")]
+    return got.select("user_id", F.col("id").alias("event_id"), F.col("n_history").cast("long").alias("n_history"), *rounded)
+
+
+@stream("""
+WITH d AS (SELECT o_custkey, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY ALL),
+w AS (SELECT o_custkey, day, sum(n) OVER k AS n_kept, count(*) OVER k AS n_days, lead(day) OVER (PARTITION BY o_custkey ORDER BY day) AS next FROM d
+  WINDOW k AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN INTERVAL 59 DAYS PRECEDING AND CURRENT ROW))
+SELECT o_custkey, day::VARCHAR AS day, n_kept::BIGINT AS n_kept, n_days::BIGINT AS n_days FROM w
+UNION ALL SELECT o_custkey, (day + 60)::VARCHAR, 0, 0 FROM w WHERE next - day > 60 OR (next IS NULL AND day + 60 <= (SELECT max(day) FROM d))""")
+def s_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each customer in the last 60 days, a half-year at a time; after 60 days without one, a timer says so and the state is gone."""
+    d = table(spark, sf_dir, "orders").groupBy("o_custkey", F.date_trunc("day", "o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    half = F.concat(F.year("day"), F.when(F.month("day") < 7, "a").otherwise("b"))
+    schema = "o_custkey long, day_number long, n_kept long, n_days long"
+    got, _ = keyed.run(keyed.keyed(keyed.dated(d, half), ["o_custkey"], "day", keyed.Retention(["o_custkey"]), schema), "retained")
+    return got.select("o_custkey", F.date_from_unix_date(F.col("day_number").cast("int")).cast("string").alias("day"), "n_kept", "n_days")
 
 
 @stream("""WITH a AS (SELECT user_id, list(value ORDER BY ts) AS v FROM events WHERE event_type = 'click' GROUP BY 1) SELECT user_id, len(v) AS n, round(list_reduce(v, lambda p, x: 0.3 * x + 0.7 * p), 5) AS ewma FROM a""")
@@ -56,21 +120,26 @@ def s_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max_by("ewma", "ts"), 5).alias("ewma"))
 
 
-@stream("""WITH RECURSIVE d AS (SELECT user_id, ts::DATE AS day, count(*) AS x FROM events GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k, day - lag(day) OVER (PARTITION BY user_id ORDER BY day) - 1 AS quiet FROM d),
-r AS (SELECT user_id, day, k, 0 AS st, (x >= 2)::INT AS strong FROM l WHERE k = 1 UNION ALL SELECT l.user_id, l.day, l.k,
-  CASE WHEN quiet >= 21 THEN 5 WHEN quiet >= 7 THEN 4 WHEN st >= 4 THEN 0 WHEN st < 3 AND strong >= 1 AND x >= pow(2, st + 1) THEN st + 1 ELSE st END,
-  CASE WHEN quiet >= 7 OR st >= 4 OR x < pow(2, st + 1) THEN 0 WHEN st < 3 AND strong >= 1 THEN 0 ELSE strong + 1 END FROM r JOIN l ON l.user_id = r.user_id AND l.k = r.k + 1)
-SELECT user_id, day::VARCHAR AS day, ['weak', 'emerging', 'trending', 'mainstream', 'fading', 'dead'][st + 1] AS status FROM r""")
+@stream("""
+WITH RECURSIVE d AS (SELECT user_id, ts::DATE AS day, count(*) AS x FROM events WHERE event_type IN ('error', 'purchase') AND value > 20 GROUP BY ALL),
+l AS (SELECT *, row_number() OVER w AS k, day - lag(day) OVER w AS gap, lead(day) OVER w - day AS ahead FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+r AS (
+  SELECT user_id, day, k, 0 AS st, (x >= 2)::INT AS strong FROM l WHERE k = 1
+  UNION ALL SELECT l.user_id, l.day, l.k,
+    CASE WHEN gap > 7 THEN 0 WHEN st < 3 AND strong >= 1 AND x >= pow(2, st + 1) THEN st + 1 ELSE st END,
+    CASE WHEN gap > 30 THEN (x >= 2)::INT WHEN gap > 7 OR x < pow(2, st + 1) OR (st < 3 AND strong >= 1) THEN 0 ELSE strong + 1 END
+  FROM r JOIN l ON l.user_id = r.user_id AND l.k = r.k + 1),
+q AS (SELECT user_id, day, coalesce(ahead - 1, (SELECT max(day) FROM d) - day) AS quiet FROM l)
+SELECT user_id, day::VARCHAR AS day, ['weak', 'emerging', 'trending', 'mainstream'][st + 1] AS status FROM r
+UNION ALL SELECT user_id, (day + 7)::VARCHAR, 'fading' FROM q WHERE quiet >= 7
+UNION ALL SELECT user_id, (day + 30)::VARCHAR, 'dead' FROM q WHERE quiet >= 30""")
 def s_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state machine of signals, a day at a time."""
-    folder = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("level"))
-    from ..sources.tables import shared_folder
-    import uuid
-
-    path = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
-    folder.write.parquet(path)
-    got = stateful.lifecycles(spark.readStream.schema(folder.schema).option("maxFilesPerTrigger", 100_000).parquet(path), "user_id", "day", "level")
-    return stateful.drained(got, "lifecycles").withColumn("day", F.col("day").cast("string"))
+    """The state machine of signals, a day at a time; timers let signals without news fade and die, and then forget them."""
+    news = table(spark, sf_dir, "events").where("event_type IN ('error', 'purchase') AND value > 20")
+    levels = news.groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("level"))
+    schema = "user_id long, day_number long, status string"
+    got, _ = keyed.run(keyed.keyed(keyed.dated(levels, F.to_date("day")), ["user_id"], "day", keyed.Lifecycle(["user_id"]), schema), "lifecycles")
+    return got.select("user_id", F.date_from_unix_date(F.col("day_number").cast("int")).cast("string").alias("day"), "status")
 
 
 @stream("""WITH m AS (SELECT event_id AS message_id, user_id::VARCHAR AS entity, event_type AS category, CASE WHEN value > 150 THEN 3 WHEN value > 100 THEN 2 WHEN value > 60 THEN 1 ELSE 0 END AS lv FROM events WHERE value > 60),

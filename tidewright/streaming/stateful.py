@@ -55,25 +55,6 @@ def least(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandasWithState(step, out, "least long", "append", "NoTimeout")
 
 
-def cooled(df: DataFrame, keys: list[str], at: str, severity: str) -> DataFrame:
-    """Alerts that are not silenced by an earlier one of their key; `at` is in microseconds. State is one number for each key."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    out = ", ".join(f"{c} {kinds[c]}" for c in df.columns)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(batches)).sort_values(at)
-        keep = []
-        for t, s in zip(pdf[at], pdf[severity], strict=True):
-            keep.append(t >= until)
-            if keep[-1]:
-                until = t + COOLDOWN_HOURS.get(s, 24) * 3_600_000_000
-        state.update((int(until),))
-        yield pdf[keep]
-
-    return df.groupBy(*keys).applyInPandasWithState(step, out, "until long", "append", "NoTimeout")
-
-
 def smoothed(df: DataFrame, keys: list[str], at: str, value: str, alpha: float) -> DataFrame:
     """Exponentially weighted mean after each row of a key; state is the mean so far. Rows of a micro-batch are taken in order of time."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -92,42 +73,6 @@ def smoothed(df: DataFrame, keys: list[str], at: str, value: str, alpha: float)
     return df.groupBy(*keys).applyInPandasWithState(step, out, "mean double", "append", "NoTimeout")
 
 
-#: States of a signal, and days without mention after which it fades and dies.
-STATES = ("weak", "emerging", "trending", "mainstream", "fading", "dead")
-FADE_DAYS, DEAD_DAYS = 7, 21
-
-
-def advance(state: str, strong: int, quiet: int, level: float) -> tuple[str, int]:
-    """The next state and the run of strong days: two strong days in a row lift a signal one step, quiet days lower it."""
-    if quiet >= DEAD_DAYS:
-        return "dead", 0
-    if quiet >= FADE_DAYS:
-        return "fading", 0
-    if state in ("fading", "dead") and level > 0:
-        return "weak", 0
-    k = STATES.index(state)
-    strong = strong + 1 if level >= 2 ** (k + 1) else 0
-    return (STATES[k + 1], 0) if strong >= 2 and k < 3 else (state, strong)
-
-
-def lifecycles(df: DataFrame, key: str, day: str, level: str) -> DataFrame:
-    """(key, day, status) for a stream of (key, day, level), one row a key and day in order: a state machine with hysteresis."""
-    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, strong, last = state.get if state.exists else ("weak", 0, None)
-        pdf, got = pd.concat(list(batches)).sort_values(day), []
-        for d, x in zip(pd.to_datetime(pdf[day]), pdf[level], strict=True):
-            number = d.toordinal()
-            status, strong = advance(status, strong, 0 if last is None else number - last - 1, x)
-            last = number
-            got.append(status)
-        state.update((status, strong, last))
-        yield pdf[[key, day]].assign(status=got)
-
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, {day} {kind[day]}, status string", "status string, strong int, last int", "append", "NoTimeout")
-
-
 def fan_out(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(message_id, subscriber) of messages (message_id, entity, category, severity): by entity, by category or all, at the subscription's least severity. Each kind is an equi-join."""
     order = F.create_map(*[x for k, s in enumerate(COOLDOWN_HOURS) for x in (F.lit(s), F.lit(k))])
