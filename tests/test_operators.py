@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidewright.functions import scores, text
 from tidewright.operators import dedup, filters, graphs, joins, statistics, timeseries
 from tidewright.sources import sinks, tables
-from tidewright.streaming import stateful
 
 
 def values(df, *order):
@@ -74,11 +73,56 @@ def test_w04_constant_series_has_no_correlation(spark):
     assert all(r.r is None for r in df.select(timeseries.pearson("x", "y", timeseries.last_rows(["k"], "i", 5), 3).alias("r")).collect())
 
 
-def test_w11_w12_folds(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],), ([],)], "v array<double>")
-    got = df.select(timeseries.folded(F.col("v"), 0.5).alias("e"), timeseries.ema_series(F.col("v"), 2).alias("s")).collect()
-    assert got[0].e == 3.125 and got[1].e is None
-    assert got[0].s[0] is None and got[0].s[1] == 1.5 and got[0].s[2] == pytest.approx(2.5)
+@pytest.mark.parametrize(("alpha", "seed"), [(0.5, 1), (0.3, 4), (0.999, 3), (0.02, 12), (1.0, 1)])
+def test_w11_w12_scans_equal_folds(spark, alpha, seed):
+    rnd = random.Random(seed)
+    series = {"a": [rnd.uniform(-1e6, 1e6) for _ in range(900)], "b": [rnd.random() for _ in range(seed)], "c": [1.0] * max(1, seed - 1), "d": [10.0 ** (k % 9) for k in range(300)]}
+    df = spark.createDataFrame([(k, i * 3, v) for k, vs in series.items() for i, v in enumerate(vs)], "k string, t int, v double").repartition(7)
+    got = {(r.k, r.t // 3): r.e for r in timeseries.ema(timeseries.placed(df, ["k"], "t"), ["k"], "v", alpha, "e", seed).collect()}
+    assert len(got) == sum(map(len, series.values()))
+    for k, vs in series.items():
+        now = None
+        for i, v in enumerate(vs):
+            if i >= seed:
+                now = alpha * v + (1 - alpha) * now
+            elif i == seed - 1:
+                now = sum(vs[:seed]) / seed
+            assert got[k, i] is None if now is None else got[k, i] == pytest.approx(now, rel=1e-9, abs=1e-6)
+
+
+def test_w13_clipped_at_sorted_places(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (9, 1, 5, 3, 7, 100, -50, 4, 4, 6)] + [("b", 2.0)], "k string, v double")
+    got = [r.c for r in timeseries.clipped(df, ["k"], "v", 0.1, 0.9, "c").orderBy("k", "v").collect()]
+    assert got == [1.0, 1.0, 3.0, 4.0, 4.0, 5.0, 6.0, 7.0, 9.0, 100.0, 2.0]
+
+
+@pytest.mark.parametrize(("n", "share"), [(40, 0.1), (60, 0.03), (30, 0.6)])
+def test_d18_leaders_equal_the_fold(spark, n, share):
+    rnd = random.Random(n)
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if rnd.random() < share] + [(k, k + 1) for k in range(n, n + 30)]
+    rows = spark.createDataFrame([(k,) for k in range(n + 40)], "k int")
+    leader = {}
+    for k in range(n + 40):
+        leader[k] = min((a for a, b in pairs if b == k and leader[a] == a), default=k)
+    got, rounds = graphs.greedy_leaders(rows, "k", spark.createDataFrame(pairs, "a int, b int"))
+    assert {r.id: r.leader for r in got.collect()} == leader and 0 < rounds <= 17
+    none, rounds = graphs.greedy_leaders(rows, "k", spark.createDataFrame([], "a int, b int"))
+    assert rounds == 0 and none.where("id <> leader").count() == 0
+
+
+@pytest.mark.parametrize("least", [0.28, 0.55, 0.7, 1.0])
+def test_d15_overlap_at_thresholds_that_doubles_miss(spark, least):
+    rnd = random.Random(8)
+    sets = [frozenset(rnd.sample(range(30), 25)) for _ in range(12)] + [frozenset(range(25)), frozenset(range(7)), frozenset(range(25, 50)), frozenset(range(14, 25))]
+    sets += [frozenset(range(100, 200)), frozenset(range(100, 128)), frozenset(range(100, 155)), frozenset(range(300, 350)), frozenset(range(300, 314)), frozenset(range(25))]
+    df = spark.createDataFrame([(k, sorted(map(str, s))) for k, s in enumerate(sets)], "k int, s array<string>")
+    got = {(r.a, r.b) for r in dedup.jaccard_pairs(df, "k", "s", least).collect()}
+    rep = {}
+    for k, s in enumerate(sets):
+        rep.setdefault(s, k)
+    want = {(rep[s], k) for k, s in enumerate(sets) if rep[s] != k}
+    want |= {(j, k) for (s, j), (t, k) in itertools.combinations(sorted(rep.items(), key=lambda x: x[1]), 2) if round(100 * least) * len(s | t) <= 100 * len(s & t)}
+    assert got == want
 
 
 def test_v01_student_t(spark):

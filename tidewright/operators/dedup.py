@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What a product of a size and a threshold may be off by.
+SLACK = 1e-9
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row of each key, the least by order; sums and minima combine before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -57,9 +61,9 @@ def jaccard_pairs(df: DataFrame, key: str, items: str, least: float) -> DataFram
     each = groups.select("rep", F.size("s").alias("n"), F.explode("s").alias("item"))
     freq = each.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(freq, "item").withColumn("p", F.row_number().over(Window.partitionBy("rep").orderBy("df", "item")))
-    prefix = ranked.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1").select("rep", "n", "item")
+    prefix = ranked.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least - SLACK) + 1).where("df > 1").select("rep", "n", "item")
     other = prefix.select(F.col("rep").alias("b"), F.col("n").alias("m"), "item")
-    cand = prefix.join(other, "item").where((F.col("rep") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least)).select(F.col("rep").alias("a"), "b").distinct()
+    cand = prefix.join(other, "item").where((F.col("rep") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least - SLACK)).select(F.col("rep").alias("a"), "b").distinct()
     g = groups.select("rep", "s")
     both = cand.join(g.toDF("a", "sa"), "a").join(g.toDF("b", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     sim = F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))

@@ -30,6 +30,34 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def greedy_leaders(rows: DataFrame, key: str, pairs: DataFrame, rounds: int = 200) -> tuple[DataFrame, int]:
+    """(id, leader) of rows taken in ascending order of `key`: one follows the first leader it is paired with, or else leads. Also the number of rounds.
+
+    The same as going through the rows one by one, which components are not: a follower's pairs count for nothing. pairs
+    (a, b), a < b. A row whose earlier partners are all settled as followers leads; all of a leader's later partners
+    follow. Each round settles every row that can be, so the number of rounds is that of alternations along a chain.
+    """
+    open_ = settled(pairs.select("a", "b").distinct(), "open")
+    followers, used = [], 0
+    while open_.limit(1).count():
+        if used == rounds:
+            raise RuntimeError(f"leaders did not settle in {rounds} rounds")
+        used += 1
+        ends = open_.select(F.col("a").alias("id"), F.lit(0).alias("later")).unionByName(open_.select(F.col("b").alias("id"), F.lit(1).alias("later")))
+        heads = settled(ends.groupBy("id").agg(F.max("later").alias("later")).where("later = 0").select(F.col("id").alias("a")), "heads")
+        follow = settled(open_.join(heads, "a", "left_semi").select("b").distinct(), "followers")
+        followers.append(follow)
+        rest = open_.join(heads, "a", "left_anti").join(follow, "b", "left_anti")
+        open_ = settled(rest.join(follow.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"), "open")
+    follow = followers[0] if followers else open_.select("b")
+    for more in followers[1:]:
+        follow = follow.unionByName(more)
+    leads = pairs.select("a", "b").join(follow.withColumnRenamed("b", "a"), "a", "left_anti").join(follow, "b", "left_semi")
+    first = leads.groupBy("b").agg(F.min("a").alias("_leader"))
+    out = rows.select(F.col(key).alias("id")).join(first, F.col("id") == F.col("b"), "left")
+    return out.select("id", F.coalesce("_leader", "id").alias("leader")), used
+
+
 def dependency_edges(correlations: DataFrame, leads: DataFrame) -> DataFrame:
     """(src, dst, strength, lag): correlations both ways and directed leads; of several edges the strongest stays."""
     c = correlations.select(F.col("a").alias("src"), F.col("b").alias("dst"), "strength", F.lit(0).alias("lag"))

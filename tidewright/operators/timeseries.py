@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+from .joins import numbered
+
 
 def by(keys: list[str], at: str):
     return Window.partitionBy(*keys).orderBy(at)
@@ -94,30 +99,45 @@ def bollinger(df: DataFrame, value: str, keys: list[str], at: str, n: int = 20,
     return d.withColumn("place", F.try_divide(F.col(value) - F.col("lower"), F.when(F.col("_s") > 1e-9, F.col("upper") - F.col("lower")))).drop("_s")
 
 
-def folded(values: Column, alpha: float) -> Column:
-    """Exponentially weighted mean of an array in order, its first value being the seed; null if empty."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(alpha * x + (1 - alpha) * a))
-
-
-def in_order(at: str, value: str) -> Column:
-    """A group's values as an array in order of time."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda s: s[value])
-
-
-def winsorised(values: Column, low: float, high: float) -> Column:
-    """Values of an array clipped to its sorted values at int(n * low) and int(n * high)."""
-    s, n = F.array_sort(values), F.size(values)
-    a, b = F.get(s, F.floor(n * low).cast("int")), F.get(s, F.least(F.floor(n * high).cast("int"), n - 1))
-    return F.transform(values, lambda x: F.least(F.greatest(x, a), b))
-
-
-def ema_series(values: Column, n: int) -> Column:
-    """EMA of an array seeded with the mean of the first n: an array with nulls before the seed."""
-    k = 2.0 / (n + 1)
-    seed = F.aggregate(F.slice(values, 1, n), F.lit(0.0), lambda a, x: a + x) / n
-    step = lambda a, x: F.concat(a, F.array(k * x + (1 - k) * F.element_at(a, -1)))
-    run = F.aggregate(F.slice(values, n + 1, F.greatest(F.size(values) - n, F.lit(0))), F.array(seed), step)
-    return F.when(F.size(values) >= n, F.concat(F.array_repeat(F.lit(None).cast("double"), n - 1), run))
+def placed(df: DataFrame, keys: list[str], order: str, out: str = "_i") -> DataFrame:
+    """Adds the place of each row among its key's, from 0. Ranges of (keys, order) are numbered apart, so a key of any length is dealt over tasks."""
+    all_ = numbered(df, [*keys, order], "_all")
+    first = all_.groupBy(*keys).agg(F.min("_all").alias("_first"))
+    return settled(all_.join(first, keys).withColumn(out, F.col("_all") - F.col("_first")).drop("_all", "_first"), "placed")
+
+
+def ema(df: DataFrame, keys: list[str], value: str, alpha: float, out: str, seed: int = 1, place: str = "_i") -> DataFrame:
+    """Adds `out` to placed() rows: alpha * value + (1 - alpha) * the one before, from the mean of the first `seed` values on; null before that.
+
+    Each step is an affine map, and so is a block of steps. Blocks are so long that a block's factor is below 1e-20: what
+    comes into a block is then the sum of the few blocks before it, each with its power of the factor. Inside a block a
+    running sum of scaled values does the rest. No key's series is held by a task.
+    """
+    d = 1 - alpha
+    size = max(1, math.ceil(46 / -math.log(d))) if 0 < d < 1 else 1 << 40
+    start = df.where(F.col(place) < seed).groupBy(*keys).agg(F.avg(value).alias("_seed"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == seed).drop("_n")
+    j = F.col(place) - (seed - 1)
+    y = F.when(j == 0, F.col("_seed")).otherwise(alpha * F.col(value))
+    run = df.join(start, keys).where(j >= 0).withColumn("_b", F.floor(j / size)).withColumn("_r", (j % size).cast("double"))
+    inside = F.sum(y * F.pow(F.lit(1 / d if d > 0 else 0.0), F.col("_r"))).over(Window.partitionBy(*keys, "_b").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
+    run = settled(run.withColumn("_in", (inside * F.pow(F.lit(d), F.col("_r"))) if d > 0 else y), "scan")
+    blocks = run.groupBy(*keys, "_b").agg(F.max_by("_in", "_r").alias("_s"))
+    w = Window.partitionBy(*keys).orderBy("_b")
+    came = sum((F.coalesce(F.lag("_s", k).over(w), F.lit(0.0)) * (d ** (size * (k - 1))) for k in range(2, 5)), F.coalesce(F.lag("_s", 1).over(w), F.lit(0.0)))
+    blocks = blocks.select(*keys, "_b", came.alias("_c"))
+    done = run.join(blocks, [*keys, "_b"]).withColumn(out, F.col("_in") + F.pow(F.lit(d), F.col("_r") + 1) * F.col("_c"))
+    early = df.join(start, keys, "left_anti").unionByName(df.join(start.select(*keys), keys, "left_semi").where(j < 0)).withColumn(out, F.lit(None).cast("double"))
+    return settled(done.select(*df.columns, out).unionByName(early.select(*df.columns, out)), "ema")
+
+
+def clipped(df: DataFrame, keys: list[str], value: str, low: float, high: float, out: str) -> DataFrame:
+    """Adds `out`: the value held between its key's sorted values at int(n * low) and int(n * high)."""
+    r = placed(df, keys, value, "_rank")
+    n = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    r = r.join(n, keys)
+    at = lambda share: F.max(F.when(F.col("_rank") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1), F.col(value)))
+    edges = r.groupBy(*keys).agg(at(low).alias("_lo"), at(high).alias("_hi"))
+    return r.join(edges, keys).withColumn(out, F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))).drop("_rank", "_n", "_lo", "_hi")
 
 
 def baseline(df: DataFrame, keys: list[str], at: str, value: str, n: int) -> DataFrame:

@@ -89,10 +89,12 @@ def technicals(t):
 c AS (SELECT event_type, n, list_transform(vs, lambda x: least(greatest(x, so[floor(n * 0.1)::INT + 1]), so[least(floor(n * 0.9)::INT, n - 1) + 1])) AS cl, vs FROM s)
 SELECT event_type, n::INT AS n, round(list_reduce(vs, lambda p, x: 0.3 * x + 0.7 * p), 5) AS ewma, round(list_avg(cl), 5) AS clipped_mean FROM c""")
 def smoothed_series(t):
-    """Exponentially weighted mean and mean of clipped values."""
-    a = daily(t).groupBy("event_type").agg(ts.in_order("day", "v").alias("vs"))
-    clipped = F.aggregate(ts.winsorised(F.col("vs"), 0.1, 0.9), F.lit(0.0), lambda p, x: p + x) / F.size("vs")
-    return a.select("event_type", F.size("vs").alias("n"), F.round(ts.folded(F.col("vs"), 0.3), 5).alias("ewma"), F.round(clipped, 5).alias("clipped_mean"))
+    """Exponentially weighted mean and mean of clipped values."""
+    d = daily(t)
+    line = ts.ema(ts.placed(d, ["event_type"], "day"), ["event_type"], "v", 0.3, "ewma")
+    last = line.groupBy("event_type").agg(F.count(F.lit(1)).cast("int").alias("n"), F.round(F.max_by("ewma", "_i"), 5).alias("ewma"))
+    means = ts.clipped(d, ["event_type"], "v", 0.1, 0.9, "c").groupBy("event_type").agg(F.round(F.avg("c"), 5).alias("clipped_mean"))
+    return last.join(means, "event_type")
 
 
 @query(f"""WITH RECURSIVE {WEEKLY}, x AS (SELECT seg, total, row_number() OVER (PARTITION BY seg ORDER BY wk) AS i, avg(total) OVER (PARTITION BY seg ORDER BY wk ROWS 11 PRECEDING) AS m12, avg(total) OVER (PARTITION BY seg ORDER BY wk ROWS 25 PRECEDING) AS m26 FROM w),
@@ -103,10 +105,11 @@ g AS (SELECT seg, i, m9 AS s FROM l WHERE i = 34 UNION ALL SELECT l.seg, l.i, g.
 SELECT l.seg, round(max_by(l.v, l.i), 3) AS macd, round(max_by(g.s, l.i), 3) AS signal FROM l LEFT JOIN g ON g.seg = l.seg AND g.i = l.i GROUP BY 1""")
 def macd(t):
     """Difference of two EMAs seeded with means, by week."""
-    a = weekly(t).groupBy("seg").agg(ts.in_order("wk", "total").alias("vs")).where(F.size("vs") >= 26)
-    d = a.withColumn("fast", ts.ema_series(F.col("vs"), 12)).withColumn("slow", ts.ema_series(F.col("vs"), 26))
-    line = F.filter(F.zip_with("fast", "slow", lambda x, y: x - y), lambda x: x.isNotNull())
-    return d.withColumn("line", line).select("seg", F.round(F.element_at("line", -1), 3).alias("macd"), F.round(F.element_at(ts.ema_series(F.col("line"), 9), -1), 3).alias("signal"))
+    w = ts.placed(weekly(t), ["seg"], "wk")
+    both = ts.ema(ts.ema(w, ["seg"], "total", 2 / 13, "fast", 12), ["seg"], "total", 2 / 27, "slow", 26)
+    line = both.where("slow is not null").withColumn("_i", F.col("_i") - 25).withColumn("line", F.col("fast") - F.col("slow"))
+    signal = ts.ema(line, ["seg"], "line", 0.2, "signal", 9)
+    return signal.groupBy("seg").agg(F.round(F.max_by("line", "_i"), 3).alias("macd"), F.round(F.max_by("signal", "_i"), 3).alias("signal"))
 
 
 @query("""SELECT o_custkey, round(sum(o_totalprice) FILTER (d < 180) / 180, 4) AS per_day, round(sum(o_totalprice) FILTER (d >= 180) / 180, 4) AS before, CASE WHEN coalesce(sum(o_totalprice) FILTER (d < 180), 0) > 1.2 * coalesce(sum(o_totalprice) FILTER (d >= 180), 0) THEN 'rising' WHEN coalesce(sum(o_totalprice) FILTER (d < 180), 0) < 0.8 * coalesce(sum(o_totalprice) FILTER (d >= 180), 0) THEN 'falling' ELSE 'steady' END AS trend

@@ -133,6 +133,30 @@ def insight_members(t):
     return c.join(d.select("doc_id", "en"), "doc_id")
 
 
+@query(f"""
+WITH RECURSIVE w AS (SELECT doc_id, n_chars, list_sort(list_distinct(regexp_extract_all(text, '{CAPITAL}', 1))) AS en FROM documents),
+u AS (SELECT en, min(doc_id) AS rep FROM w WHERE len(en) > 0 GROUP BY 1),
+p AS MATERIALIZED (
+  SELECT l.rep AS a, r.rep AS b FROM u l JOIN u r ON l.rep < r.rep AND least(len(l.en), len(r.en)) >= 0.6 * greatest(len(l.en), len(r.en)) - 1e-9
+  WHERE len(list_intersect(l.en, r.en)) / len(list_distinct(list_concat(l.en, r.en)))::DOUBLE >= 0.6),
+n AS (SELECT rep AS id, row_number() OVER (ORDER BY rep) AS k, coalesce((SELECT list(a ORDER BY a) FROM p WHERE b = rep), []) AS near FROM u),
+f AS (
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS leader, []::BIGINT[] AS leads
+  UNION ALL SELECT n.k, n.id, coalesce(list_intersect(near, leads).list_min(), n.id), CASE WHEN len(list_intersect(near, leads)) = 0 THEN list_append(leads, n.id) ELSE leads END
+  FROM f JOIN n ON n.k = f.k + 1),
+m AS (SELECT w.doc_id, w.n_chars, coalesce(f.leader, w.doc_id) AS leader FROM w LEFT JOIN u USING (en) LEFT JOIN f ON f.id = u.rep)
+SELECT leader, count(*) AS members, max_by(doc_id, (n_chars, -doc_id)) AS kept FROM m GROUP BY 1""")
+def leader_clusters(t):
+    """Documents in order of their ids, each following the first leader that shares 60 in a hundred of its entities; the longest of a cluster stays."""
+    d = t("documents").select("doc_id", "n_chars", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(CAPITAL), 1))).alias("en"))
+    d = settled(d, "entities")
+    pairs = settled(dedup.jaccard_pairs(d, "doc_id", "en", 0.6), "entity-pairs")
+    equal = pairs.where("similarity = 1").select(F.col("a").alias("rep"), F.col("b").alias("doc_id"))  # of equal sets the first stands for all
+    lead, _ = graphs.greedy_leaders(d.join(equal, "doc_id", "left_anti"), "doc_id", pairs.where("similarity < 1"))
+    own = d.join(equal, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("rep", "doc_id").alias("id"))
+    return own.join(lead, "id").groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("kept"))
+
+
 @query(f"""WITH RECURSIVE {INSIGHTS}
 SELECT cluster_id, size, coalesce(entities, 0) AS entities, coalesce(entities, 0) >= 2 AS diverse FROM (SELECT c AS cluster_id, count(*) AS size FROM g GROUP BY 1) LEFT JOIN (SELECT c AS cluster_id, count(DISTINCT x) AS entities FROM k GROUP BY 1) USING (cluster_id)""")
 def insight_clusters(t):
