@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
-from ..streaming import keyed, stateful
+from ..sources.tables import shared_folder, table
+from ..streaming import alerts, keyed, stateful
 from .registry import ORACLE_SQL, QUERIES
 
 
@@ -158,3 +160,39 @@ def s_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = stateful.drained(m, "messages")
     return stateful.fan_out(got, subs).groupBy("subscriber").agg(F.count_distinct("message_id").alias("messages"))
+
+
+@stream("""
+WITH RECURSIVE a AS (
+  SELECT o_custkey::VARCHAR AS bucket, substr(o_orderpriority, 1, 1) AS kind, year(o_orderdate) || CASE WHEN month(o_orderdate) < 7 THEN 'a' ELSE 'b' END AS half, o_orderdate AS hit,
+    CASE WHEN o_totalprice > 300000 THEN 3 WHEN o_totalprice > 200000 THEN 2 WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS level
+  FROM orders WHERE o_orderpriority < '3'),
+h AS (SELECT half, max(hit) AS now FROM a GROUP BY 1),
+d AS (SELECT bucket, kind, half, max(hit) AS hit, max(level) AS level FROM a GROUP BY ALL),
+s AS (
+  SELECT d.*, h.now, (SELECT min(g.now) FROM h g WHERE g.half > d.half AND g.now > d.hit + INTERVAL 200 DAYS) AS ends, row_number() OVER (PARTITION BY bucket, kind ORDER BY half) AS k
+  FROM d JOIN h USING (half)),
+r AS (
+  SELECT bucket, kind, k, 1 AS number, hit AS first_detected, hit AS last_updated, level, 1 AS weeks, 1 AS sent, 0 AS raised, hit + INTERVAL 300 DAYS AS until, ends FROM s WHERE k = 1
+  UNION ALL SELECT s.bucket, s.kind, s.k, CASE WHEN r.ends <= s.now THEN number + 1 ELSE number END, CASE WHEN r.ends <= s.now THEN s.hit ELSE first_detected END, s.hit, s.level,
+    CASE WHEN r.ends <= s.now THEN 1 ELSE weeks + 1 END,
+    CASE WHEN r.ends <= s.now THEN 1 WHEN s.level > r.level OR s.hit >= until THEN sent + 1 ELSE sent END,
+    CASE WHEN r.ends <= s.now THEN 0 WHEN s.level > r.level THEN raised + 1 ELSE raised END,
+    CASE WHEN r.ends <= s.now OR s.level > r.level OR s.hit >= until THEN s.hit + INTERVAL 300 DAYS ELSE until END, s.ends
+  FROM r JOIN s ON s.bucket = r.bucket AND s.kind = r.kind AND s.k = r.k + 1),
+l AS (SELECT bucket, kind, number, max_by((first_detected, last_updated, level, weeks, sent, raised, ends), k) AS x FROM r GROUP BY ALL)
+SELECT bucket, kind, x[1]::VARCHAR AS first_detected, x[2]::VARCHAR AS last_updated, x[3] AS level, x[4] AS weeks_persistent, x[5] AS n_sent, x[6] AS n_escalated, x[7]::VARCHAR AS expired_at FROM l""")
+def s_alert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts on large urgent orders of each customer, merged into a store by half-years: created, renewed, escalated, silent for 300 days, expired after 200."""
+    price = F.col("o_totalprice")
+    level = F.when(price > 300_000, 3).when(price > 200_000, 2).when(price > 100_000, 1).otherwise(0)
+    a = table(spark, sf_dir, "orders").where("o_orderpriority < '3'").select(
+        F.col("o_custkey").cast("string").alias("bucket"), F.substring("o_orderpriority", 1, 1).alias("kind"), level.alias("level"), F.col("o_orderdate").alias("at")
+    )
+    half = F.concat(F.year("at"), F.when(F.month("at") < 7, "a").otherwise("b"))
+    store = alerts.AlertStore(spark, f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}", stale_days=200, hold_days=300)
+    alerts.drain_into(store, keyed.dated(a, half))
+    up = store.history().where("event = 'severity_escalated'").groupBy("alert_id").agg(F.count(F.lit(1)).cast("int").alias("n_escalated"))
+    every = store.open().withColumn("expired_at", F.lit(None).cast("timestamp_ntz")).unionByName(store.closed()).join(up, "alert_id", "left")
+    text = [F.col(c).cast("string").alias(c) for c in ("first_detected", "last_updated", "expired_at")]
+    return every.select("bucket", "kind", "level", "weeks_persistent", "n_sent", F.coalesce("n_escalated", F.lit(0)).alias("n_escalated"), *text)
