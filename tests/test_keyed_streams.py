@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidewright.streaming import keyed
+from tidewright.streaming import keyed, stateful
 
 LIFE = "key string, day_number long, status string"
 KEPT = "key string, day_number long, n_kept long, n_days long"
@@ -59,3 +59,27 @@ def test_history_keeps_the_last_points_and_ends(spark):
     assert by["a", 7].smoothed == processor.smoothed([4.0, 0.0, 1.0, 2.0])[-1]
     assert by["b", 70].n_history == 1 and by["b", 70].smoothed == 3.0
     assert {r.key.key for r in keyed.held(spark, path, "points").select("key").collect()} == {"b", "z"}
+
+
+def test_late_rows_inside_the_bound_count_and_others_are_dropped(spark):
+    rows = [("a", 0, 1), ("a", 3, 1), ("a", 6, 1), ("a", 9, 1)]
+    late = [("a", 2, 100, 3), ("a", 0, 1000, 6)]  # one day before the newest row, and six
+    on_time = levels(spark, rows).withColumn("arrival", F.datediff("day", F.lit(DAY0)))
+    df = on_time.unionByName(levels(spark, [r[:3] for r in late]).withColumn("arrival", F.when(F.col("level") == 100, 4).otherwise(7)))
+    source = keyed.dated(df.withColumnRenamed("level", "value"), F.format_string("%02d", "arrival"))
+    w = stateful.tumbling(source, "day", ["key"], "1 day", "2 days")
+    got = stateful.drained(w.select("key", F.col("window.start").alias("start"), "total"), "late").collect()
+    assert sorted((r.start.day - 1, r.total) for r in got) == [(0, 1.0), (2, 100.0), (3, 1.0), (6, 1.0)]
+
+
+def test_fan_out_packs_do_not_lose_subscribers(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "PACK", 3)
+    subs = [(k, ("all", "entity", "category")[k % 3], ("", "7", "x")[k % 3], ("low", "high")[k % 2]) for k in range(60)]
+    packs = stateful.packed(spark.createDataFrame(subs, "subscriber int, kind string, target string, min_severity string"))
+    assert packs.count() > 9
+    messages = spark.createDataFrame([(1, 7, "x", "low"), (2, 7, None, "high"), (3, None, "y", None)], "message_id int, entity int, category string, severity string")
+    got = {(r.message_id, r.subscriber) for r in stateful.fan_out(messages, packs).collect()}
+    rank = {"low": 0, "high": 2, None: 0}
+    want = {(m, s) for m, e, c, v in [(1, "7", "x", "low"), (2, "7", None, "high"), (3, None, "y", None)] for s, k, t, least in subs
+            if rank[v] >= rank[least] and (k == "all" or (k == "entity" and t == e) or (k == "category" and t == c))}
+    assert got == want

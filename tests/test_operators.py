@@ -232,6 +232,24 @@ def test_s06_day_files(spark, tmp_path):
     assert len(got) == 2 and sum(r._corrupt_record is not None for r in got) == 1
 
 
+def test_f23_funding_details(spark):
+    rows = ["Acme raises $1,250.5 million Series B led by Blue Sky Capital today", "pre-seed of $3bn", "$40K, growth", "nothing", None]
+    got = [r.f for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").orderBy("k").select(text.funding(F.col("t")).alias("f")).collect()]
+    assert [(f.amount_usd, f.stage, f.lead_investor) for f in got] == [
+        (1_250_500_000.0, "series_b", "Blue Sky Capital"), (3e9, "pre_seed", None), (40_000.0, "growth", None), (None, "unknown", None), (None, "unknown", None),
+    ]
+
+
+def test_g18_relationships_by_direction_kind_and_day(spark):
+    day = lambda d: dt.date(2024, 1, d) if d else None
+    rows = [("a", "b", "owns", day(1), day(9)), ("b", "c", "owns", day(5), None), ("a", "c", "buys", None, day(3)), ("a", "a", "owns", None, None)]
+    e = spark.createDataFrame(rows, "source string, target string, kind string, since date, until date")
+    take = lambda *a, **k: sorted((r.id, r.other, r.kind, r.direction) for r in graphs.relationships(e, *a, **k).collect())
+    assert take("outgoing", "owns", "2024-01-04") == [("a", "a", "owns", "outgoing"), ("a", "b", "owns", "outgoing")]
+    assert take("incoming", day="2024-01-20") == [("a", "a", "owns", "incoming"), ("c", "b", "owns", "incoming")]
+    assert len(take()) == 8
+
+
 def test_j02_either_key_keeps_each_left_row_once(spark):
     left = spark.createDataFrame([(1,), (2,), (9,)], "k int")
     right = spark.createDataFrame([(1, 5, "b"), (1, 6, "a"), (7, 2, "d"), (8, 2, "c")], "first int, second int, v string")

@@ -71,12 +71,20 @@ def fingerprint(*parts: Column) -> Column:
 
 def amount(text: Column) -> Column:
     """The first dollar amount with its unit, as a number; null if there is none."""
-    pattern = r"(?i)\$\s*([0-9]+(?:\.[0-9]+)?)\s*(billion|million|thousand|bn|m|b|k)?\b"
-    number, unit = F.regexp_extract(text, pattern, 1), F.lower(F.regexp_extract(text, pattern, 2))
+    pattern = r"(?i)\$\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(billion|million|thousand|bn|m|b|k)?\b"
+    number, unit = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", ""), F.lower(F.regexp_extract(text, pattern, 2))
     scale = F.when(unit.isin("billion", "bn", "b"), 1e9).when(unit.isin("million", "m"), 1e6).when(unit.isin("thousand", "k"), 1e3).otherwise(1.0)
     return F.when(number != "", number.try_cast("double") * scale)
 
 
+def funding(text: Column) -> Column:
+    """A struct of amount_usd, stage (the first that is named, else unknown) and lead_investor (capitalised words after `led by`, else null)."""
+    stage = F.regexp_extract(F.lower(text), "pre-seed|seed|series [a-e]|growth", 0)
+    lead = F.regexp_extract(text, r"(?i:led by)\s+((?:[A-Z][A-Za-z]*)(?:\s+[A-Z][A-Za-z]*)*)", 1)
+    stage = F.when(F.coalesce(stage, F.lit("")) == "", "unknown").otherwise(F.regexp_replace(stage, "[ -]", "_"))
+    return F.struct(amount(text).alias("amount_usd"), stage.alias("stage"), F.when(lead != "", lead).alias("lead_investor"))
+
+
 def first_date(*texts: Column) -> Column:
     """The first text that is a date: ISO, year/month/day or day.month.year."""
     formats = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy")

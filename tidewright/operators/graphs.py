@@ -58,6 +58,21 @@ def greedy_leaders(rows: DataFrame, key: str, pairs: DataFrame, rounds: int = 20
     return out.select("id", F.coalesce("_leader", "id").alias("leader")), used
 
 
+def relationships(edges: DataFrame, direction: str = "both", kind: str | None = None, day: str | None = None) -> DataFrame:
+    """(id, other, kind, direction) of edges (source, target, kind, since, until) as seen from their ends: outgoing, incoming or both.
+
+    With `day`, only edges that hold then: an open end (null) holds for ever.
+    """
+    e = edges if kind is None else edges.where(F.col("kind") == kind)
+    if day is not None:
+        at = F.lit(day).cast(edges.schema["since"].dataType)
+        e = e.where((F.col("since").isNull() | (F.col("since") <= at)) & (F.col("until").isNull() | (F.col("until") >= at)))
+    side = lambda a, b, name: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(name).alias("direction"))
+    ways = {"outgoing": [side("source", "target", "outgoing")], "incoming": [side("target", "source", "incoming")]}
+    some = ways["outgoing"] + ways["incoming"] if direction == "both" else ways[direction]
+    return e.select("kind", F.explode(F.array(*some)).alias("e")).select("e.id", "e.other", "kind", "e.direction")
+
+
 def dependency_edges(correlations: DataFrame, leads: DataFrame) -> DataFrame:
     """(src, dst, strength, lag): correlations both ways and directed leads; of several edges the strongest stays."""
     c = correlations.select(F.col("a").alias("src"), F.col("b").alias("dst"), "strength", F.lit(0).alias("lag"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import dedup, graphs, joins
 from ..sources.tables import settled
 from .registry import query
@@ -188,6 +189,84 @@ def meta_signals(t):
     return s.join(parents, "cluster_id", "left").select("cluster_id", "name", "size", "entities", F.round(sure, 5).alias("confidence"), "parent")
 
 
+@query(f"""
+WITH RECURSIVE {INSIGHTS}, o AS (SELECT c, x, count(*) AS n FROM k WHERE x IS NOT NULL GROUP BY ALL), z AS (SELECT c, count(*) AS size FROM g GROUP BY 1),
+s AS (SELECT o.c, min(size) AS size, count(*) AS ents, sqrt(sum(n * n)) AS norm FROM o JOIN z ON z.c = o.c GROUP BY o.c HAVING count(*) >= 2),
+v AS (SELECT *, round(least(CASE WHEN size < 3 THEN 0.6 ELSE 0.95 END, 0.3 + 0.1 * size + 0.05 * ents), 6) AS confidence FROM s),
+placed AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, c) AS place FROM v),
+alike AS MATERIALIZED (
+  SELECT least(a.place, b.place) AS a, greatest(a.place, b.place) AS b FROM placed a JOIN placed b ON a.c < b.c JOIN o l ON l.c = a.c JOIN o r ON r.c = b.c AND r.x = l.x
+  GROUP BY a.place, b.place, a.ents, b.ents, a.norm, b.norm
+  HAVING count(*) / (a.ents + b.ents - count(*))::DOUBLE >= 0.4 AND round(sum(l.n * r.n) / (a.norm * b.norm), 9) >= 0.8),
+nearby AS (SELECT placed.*, coalesce((SELECT list(a ORDER BY a) FROM alike WHERE b = placed.place), []) AS near FROM placed),
+f AS (
+  SELECT 0::BIGINT AS place, NULL::BIGINT AS c, NULL::BIGINT AS leader, []::BIGINT[] AS leads, NULL::BIGINT AS size, NULL::DOUBLE AS confidence
+  UNION ALL SELECT nearby.place, nearby.c, coalesce(list_intersect(near, leads).list_min(), nearby.place), CASE WHEN len(list_intersect(near, leads)) = 0 THEN list_append(leads, nearby.place) ELSE leads END, nearby.size, nearby.confidence
+  FROM f JOIN nearby ON nearby.place = f.place + 1)
+SELECT min(c) FILTER (place = leader) AS cluster_id, count(*) AS merged, sum(size)::BIGINT AS size, max(confidence) AS confidence FROM f WHERE place > 0 GROUP BY leader""")
+def merged_meta_signals(t):
+    """Meta-signals in order of confidence; one whose entities overlap with an earlier one's by 0.4 and whose counts have a cosine of 0.8 is merged into it."""
+    m = settled(insight_members(t), "insights")
+    o = settled(m.select("cluster_id", F.explode("en").alias("x")).groupBy("cluster_id", "x").agg(F.count(F.lit(1)).alias("n")), "entity-counts")
+    sizes = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    v = o.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("ents"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")).where("ents >= 2").join(sizes, "cluster_id")
+    confidence = F.round(F.least(F.when(F.col("size") < 3, 0.6).otherwise(0.95), 0.3 + 0.1 * F.col("size") + 0.05 * F.col("ents")), 6)
+    v = settled(joins.numbered(v.withColumn("confidence", confidence).withColumn("_c", -F.col("confidence")), ["_c", "cluster_id"], "place"), "by-confidence")
+    xs = o.join(v.select("cluster_id", "place"), "cluster_id").groupBy("place").agg(F.collect_list("x").alias("xs"))  # distinct names, so no more than the vocabulary has
+    near = settled(dedup.jaccard_pairs(xs, "place", "xs", 0.4).select("a", "b"), "overlaps")
+    side = lambda k: o.join(v, "cluster_id").select(F.col("place").alias(k), "x", F.col("n").alias(f"n_{k}"), F.col("norm").alias(f"norm_{k}"))
+    dots = near.join(side("a"), "a").join(side("b"), ["b", "x"])
+    cosine = F.sum(F.col("n_a") * F.col("n_b")) / (F.first("norm_a") * F.first("norm_b"))
+    pairs = settled(dots.groupBy("a", "b").agg(F.round(cosine, 9).alias("cosine")).where("cosine >= 0.8").select("a", "b"), "alike")
+    lead, _ = graphs.greedy_leaders(v, "place", pairs)
+    home = v.select(F.col("place").alias("leader"), F.col("cluster_id").alias("home"))
+    got = v.join(lead, F.col("place") == F.col("id")).join(home, "leader")
+    return got.groupBy(F.col("home").alias("cluster_id")).agg(F.count(F.lit(1)).alias("merged"), F.sum("size").alias("size"), F.max("confidence").alias("confidence"))
+
+
+@query("""
+WITH e AS (
+  SELECT 'supplies' AS kind, 's' || l_suppkey AS source, 'p' || l_partkey AS target, min(l_shipdate) AS since, max(l_shipdate) AS until FROM lineitem GROUP BY ALL
+  UNION ALL SELECT 'buys_from', 'c' || o_custkey, 's' || l_suppkey, min(l_shipdate), max(l_shipdate) FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+v AS (SELECT * FROM e WHERE since <= TIMESTAMP '1998-01-01' AND until >= TIMESTAMP '1998-01-01'),
+b AS (SELECT source AS id, kind, 'outgoing' AS direction FROM v UNION ALL SELECT target, kind, 'incoming' FROM v)
+SELECT id, kind, count(*) FILTER (direction = 'outgoing') AS outgoing, count(*) FILTER (direction = 'incoming') AS incoming, count(*) AS both_ways FROM b WHERE id LIKE 's%' GROUP BY ALL""")
+def relationships(t):
+    """Edges of suppliers by kind and direction that hold on a day: a supplier's parts, and the customers that buy from it."""
+    l = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_shipdate")
+    edge = lambda df, kind, source, target: df.groupBy(F.lit(kind).alias("kind"), source.alias("source"), target.alias("target")).agg(F.min("l_shipdate").alias("since"), F.max("l_shipdate").alias("until"))
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    supplies = edge(l, "supplies", name("s", "l_suppkey"), name("p", "l_partkey"))
+    bought = l.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = supplies.unionByName(edge(bought, "buys_from", name("c", "o_custkey"), name("s", "l_suppkey")))
+    both = graphs.relationships(edges, "both", day="1998-01-01").where(F.col("id").startswith("s"))
+    n = lambda d: F.count(F.when(F.col("direction") == d, 1)).alias(d)
+    return both.groupBy("id", "kind").agg(n("outgoing"), n("incoming"), F.count(F.lit(1)).alias("both_ways"))
+
+
+@query(r"""
+WITH h AS (
+  SELECT o_orderkey, c_name || ' raises $' || CASE WHEN o_totalprice >= 100000 THEN round(o_totalprice / 100000, 2)::DECIMAL(18, 2) || ' million' ELSE floor(o_totalprice / 100)::BIGINT || 'K' END
+    || CASE o_orderkey % 5 WHEN 0 THEN ' in a seed round' WHEN 1 THEN ' Series A' WHEN 2 THEN ' in Series B funding' WHEN 3 THEN ' growth round' ELSE '' END
+    || CASE WHEN o_orderkey % 3 = 0 THEN ' led by ' || n_name || ' Capital' ELSE '' END || '.' AS headline
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+x AS (SELECT *, regexp_extract(headline, '(?i)\$\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(billion|million|thousand|bn|m|b|k)?\b', ['a', 'u']) AS r, regexp_extract(lower(headline), 'pre-seed|seed|series [a-e]|growth') AS st,
+  regexp_extract(headline, '(?i:led by)\s+((?:[A-Z][A-Za-z]*)(?:\s+[A-Z][A-Za-z]*)*)', 1) AS lead FROM h)
+SELECT o_orderkey, round(replace(r.a, ',', '')::DOUBLE * CASE WHEN lower(r.u) IN ('billion', 'bn', 'b') THEN 1e9 WHEN lower(r.u) IN ('million', 'm') THEN 1e6 WHEN lower(r.u) IN ('thousand', 'k') THEN 1e3 ELSE 1 END, 2) AS amount_usd,
+  CASE WHEN st = '' THEN 'unknown' ELSE replace(replace(st, ' ', '_'), '-', '_') END AS stage, nullif(lead, '') AS lead_investor FROM x""")
+def funding_details(t):
+    """amount with its unit, stage and lead investor of funding headlines, which are put together from orders, customers and nations."""
+    o, key = t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), F.col("o_orderkey") % 5
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
+    price = F.col("o_totalprice")
+    million = F.concat(F.round(price / 100_000, 2).cast("decimal(18,2)").cast("string"), F.lit(" million"))
+    amount = F.when(price >= 100_000, million).otherwise(F.concat(F.floor(price / 100).cast("string"), F.lit("K")))
+    stage = F.when(key == 0, " in a seed round").when(key == 1, " Series A").when(key == 2, " in Series B funding").when(key == 3, " growth round").otherwise("")
+    lead = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" led by "), "n_name", F.lit(" Capital"))).otherwise("")
+    d = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat("c_name", F.lit(" raises $"), amount, stage, lead, F.lit(".")).alias("headline"))
+    return d.select("o_orderkey", text.funding(F.col("headline")).alias("f")).select("o_orderkey", F.round("f.amount_usd", 2).alias("amount_usd"), "f.stage", "f.lead_investor")
+
+
 @query("""WITH m AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 500)) AS kept FROM customer)
 SELECT kept, count(DISTINCT c_custkey) AS n_merged, count(o_orderkey) AS n_orders, coalesce(sum(round(o_totalprice, 2)::DECIMAL(28, 2)), 0)::DOUBLE AS total FROM m LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def entity_merge(t):

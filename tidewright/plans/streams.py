@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder, table
+from ..sources.tables import settled, shared_folder, table
 from ..streaming import alerts, keyed, stateful
 from .registry import ORACLE_SQL, QUERIES
 
@@ -144,22 +144,60 @@ def s_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("user_id", F.date_from_unix_date(F.col("day_number").cast("int")).cast("string").alias("day"), "status")
 
 
-@stream("""WITH m AS (SELECT event_id AS message_id, user_id::VARCHAR AS entity, event_type AS category, CASE WHEN value > 150 THEN 3 WHEN value > 100 THEN 2 WHEN value > 60 THEN 1 ELSE 0 END AS lv FROM events WHERE value > 60),
-s AS (SELECT c_custkey AS subscriber, CASE c_custkey % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'category' ELSE 'all' END AS kind, CASE c_custkey % 3 WHEN 0 THEN (c_custkey % 150)::VARCHAR WHEN 1 THEN CASE c_custkey % 2 WHEN 0 THEN 'error' ELSE 'purchase' END ELSE '' END AS target, CASE WHEN c_custkey % 3 = 2 THEN 3 ELSE c_custkey % 4 END AS least FROM customer WHERE c_acctbal > 9000)
-SELECT DISTINCT subscriber, count(DISTINCT message_id) AS messages FROM m JOIN s ON lv >= least AND (kind = 'all' OR (kind = 'entity' AND target = entity) OR (kind = 'category' AND target = category)) GROUP BY 1""")
+@stream("""
+WITH m AS (
+  SELECT event_id AS message_id, user_id::VARCHAR AS entity, event_type AS category, CASE WHEN value > 150 THEN 3 WHEN value > 100 THEN 2 WHEN value > 60 THEN 1 ELSE 0 END AS lv
+  FROM events WHERE value > 60),
+s AS (
+  SELECT c_custkey AS subscriber, CASE c_custkey % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'category' ELSE 'all' END AS kind,
+    CASE c_custkey % 3 WHEN 0 THEN (c_custkey % 150)::VARCHAR WHEN 1 THEN CASE c_custkey % 2 WHEN 0 THEN 'error' ELSE 'purchase' END ELSE '' END AS target,
+    CASE WHEN c_custkey % 3 = 2 THEN 3 ELSE c_custkey % 4 END AS least
+  FROM customer)
+SELECT subscriber, count(DISTINCT message_id) AS messages
+FROM m JOIN s ON lv >= least AND (kind = 'all' OR (kind = 'entity' AND target = entity) OR (kind = 'category' AND target = category)) GROUP BY 1""")
 def s_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages to subscribers by entity, category or all, from a least severity on."""
+    """Messages to subscribers by entity, category or all, from a least severity on: a stream joined with packed subscriptions."""
     names = F.array(*[F.lit(s) for s in stateful.COOLDOWN_HOURS])
     k = F.col("c_custkey")
     kind = F.when(k % 3 == 0, "entity").when(k % 3 == 1, "category").otherwise("all")
     target = F.when(k % 3 == 0, (k % 150).cast("string")).when((k % 3 == 1) & (k % 2 == 0), "error").when(k % 3 == 1, "purchase").otherwise("")
-    subs = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(k.alias("subscriber"), kind.alias("kind"), target.alias("target"), F.when(k % 3 == 2, "critical").otherwise(F.element_at(names, (k % 4 + 1).cast("int"))).alias("min_severity"))
+    least = F.when(k % 3 == 2, "critical").otherwise(F.element_at(names, (k % 4 + 1).cast("int")))
+    subs = table(spark, sf_dir, "customer").select(k.alias("subscriber"), kind.alias("kind"), target.alias("target"), least.alias("min_severity"))
+    packs = settled(stateful.packed(subs), "packs")
     v = F.col("value")
     severity = F.when(v > 150, "critical").when(v > 100, "high").otherwise("medium")
-    m = stateful.stream_of(spark, sf_dir, "events").where(v > 60).select(F.col("event_id").alias("message_id"), F.col("user_id").alias("entity"), F.col("event_type").alias("category"), severity.alias("severity"))
+    e = table(spark, sf_dir, "events").where(v > 60).select("event_id", "user_id", "event_type", "value", "ts")
+    m = keyed.dated(e, days_from("ts", 6)).select(F.col("event_id").alias("message_id"), F.col("user_id").alias("entity"), F.col("event_type").alias("category"), severity.alias("severity"))
+    got = stateful.drained(stateful.fan_out(m, packs), "fan-out")
+    return got.groupBy("subscriber").agg(F.count_distinct("message_id").alias("messages"))
 
-    got = stateful.drained(m, "messages")
-    return stateful.fan_out(got, subs).groupBy("subscriber").agg(F.count_distinct("message_id").alias("messages"))
+
+@stream("""
+WITH e AS (SELECT *, ts::DATE + (CASE WHEN event_id % 17 = 0 THEN 6 WHEN event_id % 5 = 0 THEN 1 ELSE 0 END)::INT AS arrival FROM events),
+w AS (SELECT a.arrival, (SELECT max(b.ts) FROM e b WHERE b.arrival < a.arrival) - INTERVAL 2 DAYS AS mark FROM (SELECT DISTINCT arrival FROM e) a),
+k AS (SELECT e.* FROM e JOIN w USING (arrival) WHERE mark IS NULL OR ts::DATE + INTERVAL 1 DAY > mark)
+SELECT event_type, strftime(ts::DATE, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM k
+WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAYS FROM events) GROUP BY ALL""")
+def s_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day over rows that arrive late, a day's arrivals at a time: a day late counts, six days are beyond the bound of two."""
+    late = F.when(F.col("event_id") % 17 == 0, 6).when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    w = stateful.tumbling(keyed.dated(e, F.date_add(F.to_date("ts"), late)), "ts", ["event_type"], "1 day", "2 days")
+    got = stateful.drained(w.select("event_type", F.col("window.start").alias("start"), "n", "total"), "late-windows")
+    return got.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+@stream("""
+WITH g AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOURS AS starts FROM events),
+s AS (SELECT *, sum(CASE WHEN coalesce(starts, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n, round(sum(value), 4) AS total FROM s
+GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) FROM events)""")
+def s_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user that end after twelve hours without an event, six days at a time; sessions go on across micro-batches."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "value")
+    w = stateful.sessions(keyed.dated(e, days_from("ts", 6)), "ts", ["user_id"], "12 hours", "0 seconds")
+    got = stateful.drained(w.select("user_id", F.col("session.start").alias("start"), "n", "total"), "sessions")
+    return got.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n", F.round("total", 4).alias("total"))
 
 
 @stream("""

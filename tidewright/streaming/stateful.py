@@ -1,4 +1,4 @@
-"""Structured Streaming: deduplication, windows, keyed state, fan-out."""
+"""Structured Streaming: windows, sessions, first values, means, fan-out. State that ends by timers is in keyed.py."""
 
 from __future__ import annotations
 
@@ -35,11 +35,6 @@ def tumbling(df: DataFrame, at: str, keys: list[str], width: str, late: str) ->
     return df.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).groupBy(F.window("_at", width), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def without_repeats(df: DataFrame, at: str, keys: list[str], span: str) -> DataFrame:
-    """The first row of a key; repeats within the span are dropped, and state older than it is forgotten."""
-    return df.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", span).dropDuplicatesWithinWatermark(keys)
-
-
 def least(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A row (keys, value) whenever the least value of a key falls, whatever the order of rows and micro-batches; the least of these rows is the key's. State is the least so far."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -73,10 +68,36 @@ def smoothed(df: DataFrame, keys: list[str], at: str, value: str, alpha: float)
     return df.groupBy(*keys).applyInPandasWithState(step, out, "mean double", "append", "NoTimeout")
 
 
-def fan_out(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(message_id, subscriber) of messages (message_id, entity, category, severity): by entity, by category or all, at the subscription's least severity. Each kind is an equi-join."""
+#: Subscribers in one packed row.
+PACK = 1000
+
+
+def packed(subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions (kind, target, subscriber, min_severity) as rows (kind, target, subscribers) of about PACK each."""
+    order = F.create_map(*[x for k, s in enumerate(COOLDOWN_HOURS) for x in (F.lit(s), F.lit(k))])
+    s = subscriptions.withColumn("least", F.coalesce(order[F.col("min_severity")], F.lit(0)))
+    n = s.groupBy("kind", "target").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64("subscriber"), F.ceil(F.col("_n") / PACK))
+    s = s.join(n, ["kind", "target"]).withColumn("_p", part)
+    return s.groupBy("kind", "target", "_p").agg(F.collect_list(F.struct("subscriber", "least")).alias("subscribers")).drop("_p")
+
+
+def fan_out(messages: DataFrame, packs: DataFrame) -> DataFrame:
+    """(message_id, subscriber) of messages (message_id, entity, category, severity), a stream or a table: by entity, by category or all.
+
+    Each kind is an equi-join with packed() subscribers, so a target that many share is one row for each pack and message,
+    filtered by the subscription's least severity and expanded last. A subscriber of several matching targets comes several times.
+    """
     order = F.create_map(*[x for k, s in enumerate(COOLDOWN_HOURS) for x in (F.lit(s), F.lit(k))])
-    m = messages.withColumn("_level", F.coalesce(order[F.col("severity")], F.lit(0)))
-    s = subscriptions.withColumn("_least", F.coalesce(order[F.col("min_severity")], F.lit(0)))
-    targets = m.select("message_id", "_level", F.explode(F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("target")), F.struct(F.lit("entity").alias("kind"), F.col("entity").cast("string").alias("target")), F.struct(F.lit("category").alias("kind"), F.col("category").alias("target")))).alias("t")).select("message_id", "_level", "t.*")
-    return targets.join(s, ["kind", "target"]).where("_level >= _least").select("message_id", "subscriber").distinct()
+    level = F.coalesce(order[F.col("severity")], F.lit(0))
+    target = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("target"))
+    kinds = F.array(target("all", F.lit("")), target("entity", F.col("entity").cast("string")), target("category", F.col("category")))
+    each = messages.select("message_id", level.alias("level"), F.explode(kinds).alias("t")).select("message_id", "level", "t.*")
+    heard = F.filter("subscribers", lambda s: s["least"] <= F.col("level"))
+    return each.join(packs, ["kind", "target"]).select("message_id", F.explode(heard).alias("s")).select("message_id", F.col("s.subscriber").alias("subscriber"))
+
+
+def sessions(df: DataFrame, at: str, keys: list[str], gap: str, late: str) -> DataFrame:
+    """Sessions of a key that end after a gap, and their counts and sums of `value`; a session closes with the watermark."""
+    marked = df.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
+    return marked.groupBy(*keys, F.session_window("_at", gap).alias("session")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
