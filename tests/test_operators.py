@@ -181,6 +181,18 @@ def test_g01_components_and_g12_spread(spark):
     assert got[3] == (1, 0.7) and got[2] == (1, 3.5) and got[4][0] == 2
 
 
+def test_g12_wide_spreading_equals_the_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "LANES", 4)
+    rnd = random.Random(9)
+    edges = {(rnd.randrange(40), rnd.randrange(40)): round(rnd.uniform(-1, 1), 3) for _ in range(160)} | {(0, k): 0.0 for k in range(40, 44)}
+    e = spark.createDataFrame([(a, b, s, 1) for (a, b), s in edges.items()], "src long, dst long, strength double, lag int")
+    starts = spark.createDataFrame([(k, k % 20, float(k + 1)) for k in range(11)] + [(3, 30, -2.0), (3, 3, 0.5)], "origin long, node long, impact double")
+    once = starts.groupBy("origin", "node").agg(F.max_by("impact", F.abs("impact")).alias("impact"))
+    got, origins = graphs.spread_wide(e, starts)
+    seen = {(r.origin, r.node): (r.hop, round(abs(r.impact), 9)) for r in got.join(origins, "k").collect()}
+    assert seen == {(r.origin, r.node): (r.hop, round(abs(r.impact), 9)) for r in graphs.spread(e, once).collect()}
+
+
 def test_d13_vectors_match_brute_force(spark):
     rnd = random.Random(1)
     v = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(50)] + [(50, [1.0, 0.0, 0.0, 0.0]), (51, [1.0, 0.0, 0.0, 0.0])]

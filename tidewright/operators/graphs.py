@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
+from .joins import numbered
 from .timeseries import pearson_of
 
 
@@ -96,6 +100,112 @@ def spread(edges: DataFrame, starts: DataFrame, depth: int = 3, decay: float = 0
     return seen
 
 
+#: Origins whose impacts a row holds side by side.
+LANES = 256
+
+
+def spread_wide(edges: DataFrame, starts: DataFrame, depth: int = 3, decay: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Impacts of many origins at once: (k, node, hop, impact), and (origin, k). As spread(), without lags and paths.
+
+    A row is a node with the impacts of LANES origins as one vector (NaN: not reached), so edges meet nodes and not pairs of
+    origin and node: a hop is one join of vectors with edges, then an elementwise maximum of what comes to a node. Rows of
+    a node are combined before and after the shuffle; of equal impacts of both signs the positive one counts.
+    """
+    origins = settled(numbered(starts.select("origin").distinct(), ["origin"], "k"), "origins")
+    wide = max(1, min(LANES, origins.count()))
+    first = starts.groupBy("origin", "node").agg(F.max_by(F.col("impact").cast("double"), F.abs("impact")).alias("impact")).join(origins, "origin")
+    lane = F.struct((F.col("k") % wide).cast("int").alias("lane"), "impact")
+    kind = edges.schema["src"].dataType.simpleString()
+    held = first.groupBy(F.floor(F.col("k") / wide).alias("blk"), "node").agg(F.collect_list(lane).alias("lanes"))  # wide of them at most
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lanes in batch.column("lanes").to_pylist():
+                v = np.full(wide, np.nan)
+                v[[x["lane"] for x in lanes]] = [x["impact"] for x in lanes]
+                rows.append((v.tobytes(), np.where(np.isnan(v), -1, 0).astype(np.int8).tobytes()))
+            yield _columns(batch, ["blk", "node"], {"impact": [r[0] for r in rows], "hop": [r[1] for r in rows]})
+
+    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (blk, node, impact) in order of (blk, node): the strongest of each lane. A group that goes on in the next batch gives two rows."""
+        for batch in batches:
+            if batch.num_rows:
+                blk, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("blk", "node"))
+                cuts = np.append(0, np.flatnonzero((np.diff(blk) != 0) | (np.diff(node) != 0)) + 1)
+                x = np.frombuffer(b"".join(batch.column("impact").to_pylist()), np.float64).reshape(-1, wide)
+                high, low = np.fmax.reduceat(x, cuts, axis=0), np.fmin.reduceat(x, cuts, axis=0)
+                best = np.where(np.abs(high) >= np.abs(low), high, low)
+                yield _columns(batch.take(pa.array(cuts)), ["blk", "node"], {"impact": [v.tobytes() for v in best]})
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors along edges (blk, dst, strength, impact), combined by node within a batch."""
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("impact").to_pylist()), np.float64).reshape(-1, wide)
+            x = x * (batch.column("strength").to_numpy(zero_copy_only=False) * decay)[:, None]
+            order = np.lexsort((batch.column("dst").to_numpy(zero_copy_only=False), batch.column("blk").to_numpy(zero_copy_only=False)))
+            own = batch.take(pa.array(order))
+            sent = pa.RecordBatch.from_arrays([own.column("blk"), own.column("dst"), pa.array([v.tobytes() for v in x[order]], pa.binary())], ["blk", "node", "impact"])
+            yield from strongest(iter([sent]))
+
+    def settle_hop(hop: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fresh, impact, hops = [], [], []
+                for new, old, at in zip(*(batch.column(c).to_pylist() for c in ("came", "impact", "hop")), strict=True):
+                    v = np.full(wide, np.nan) if old is None else np.frombuffer(old, np.float64)
+                    h = np.full(wide, -1, np.int8) if at is None else np.frombuffer(at, np.int8)
+                    n = np.full(wide, np.nan) if new is None else np.frombuffer(new, np.float64)
+                    take = (h < 0) & ~np.isnan(n)
+                    fresh.append(np.where(take, n, np.nan).tobytes() if take.any() else None)
+                    impact.append(np.where(take, n, v).tobytes())
+                    hops.append(np.where(take, np.int8(hop), h).astype(np.int8).tobytes())
+                yield _columns(batch, ["blk", "node"], {"impact": impact, "hop": hops, "fresh": fresh})
+
+        return run
+
+    schema = f"blk long, node {kind}, impact binary"
+    state = settled(held.mapInArrow(begin, f"{schema}, hop binary"), "wide0")
+    front = state.select("blk", F.col("node").alias("_n"), "impact")
+    for hop in range(1, depth + 1):
+        sent = front.join(edges.select("src", "dst", F.col("strength").cast("double").alias("strength")), F.col("_n") == F.col("src"))
+        sent = sent.select("blk", "dst", "strength", "impact").mapInArrow(carried, schema)
+        came = sent.repartition("blk", "node").sortWithinPartitions("blk", "node").mapInArrow(strongest, schema)
+        # a node that two batches share has a row of each: the second pass has few rows and joins them
+        came = came.groupBy("blk", "node").agg(F.collect_list("impact").alias("parts"))
+        came = came.select(F.col("blk").alias("_b"), F.col("node").alias("_m"), "parts").mapInArrow(_joined, f"_b long, _m {kind}, came binary")
+        both = state.join(came, (F.col("blk") == F.col("_b")) & (F.col("node") == F.col("_m")), "full")
+        both = both.select(F.coalesce("blk", "_b").alias("blk"), F.coalesce("node", "_m").alias("node"), "came", "impact", "hop")
+        after = settled(both.mapInArrow(settle_hop(hop), f"{schema}, hop binary, fresh binary"), f"wide{hop}")
+        state, front = after.drop("fresh"), after.where("fresh is not null").select("blk", F.col("node").alias("_n"), F.col("fresh").alias("impact"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                own = batch.slice(k, 512)
+                x = np.frombuffer(b"".join(own.column("impact").to_pylist()), np.float64).reshape(-1, wide)
+                h = np.frombuffer(b"".join(own.column("hop").to_pylist()), np.int8).reshape(-1, wide)
+                r, c = np.nonzero(h >= 0)
+                blk = own.column("blk").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(blk[r] * wide + c), own.column("node").take(pa.array(r)), pa.array(h[r, c].astype(np.int32)), pa.array(x[r, c])], ["k", "node", "hop", "impact"])
+
+    return state.mapInArrow(rows, f"k long, node {kind}, hop int, impact double"), origins
+
+
+def _columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v, pa.binary()) for v in new.values())], [*keep, *new])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for parts in batch.column("parts").to_pylist():
+            x = np.array([np.frombuffer(p, np.float64) for p in parts])
+            high, low = np.fmax.reduce(x), np.fmin.reduce(x)
+            out.append(np.where(np.abs(high) >= np.abs(low), high, low).tobytes())
+        yield _columns(batch, ["_b", "_m"], {"came": out})
+
+
 def warnings_of(changes: DataFrame, leads: DataFrame, least: float) -> DataFrame:
     """Changes (leader, c) joined with those that follow (leader, target, lag, r, n): a negative correlation turns the expected direction round; correlations up to `least` warn of nothing."""
     sign = lambda c: F.when(c, "positive").otherwise("negative")
