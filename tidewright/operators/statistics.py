@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import numbered
@@ -110,19 +111,49 @@ def fisher_interval(r: Column, n: Column, z: float = 1.96) -> tuple[Column, Colu
     return F.tanh(f - half), F.tanh(f + half)
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], value: str, row: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """2.5 and 97.5 percentiles of the mean under Poisson bootstrap: each row enters each draw by weights that a hash of its identifier `row` decides, so draws are sums that combine on the map side and intervals do not depend on the partitions."""
-    u = F.pmod(F.xxhash64(row, F.col("draw"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    edges = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(7)]
-    weight = sum(((F.col("_u") >= e).cast("int") for e in edges[1:]), (F.col("_u") >= edges[0]).cast("int"))
-    each = df.select(*keys, value, row, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_u", u).withColumn("_w", weight)
-    means = each.groupBy(*keys, "draw").agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("m"))
+def mixed_bits(row: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """32 bits for each row and draw, by multiplications and shifts that any engine can repeat (fixed values)."""
+    x = (row.astype(np.uint64)[:, None] * np.uint64(2654435761) + draw.astype(np.uint64)[None, :] * np.uint64(2246822519)) & np.uint64(0xFFFFFFFF)
+    for shift, factor in ((16, 2246822507), (13, 3266489909)):
+        x ^= x >> np.uint64(shift)
+        x = (x * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(16))
+
+
+#: From which share of the draws on a row counts once, twice and so on: Poisson with mean 1.
+POISSON_EDGES = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def bootstrap_mean(df: DataFrame, keys: list[str], value: str, row: str, draws: int = 1000) -> DataFrame:
+    """2.5 and 97.5 percentiles of the mean under Poisson bootstrap: (keys, low, high).
+
+    Each row enters each draw by a weight that its number `row` and the draw decide, so intervals do not depend on the
+    partitions. A task adds up all draws of its rows in one matrix product for each key and sends `draws` sums of each;
+    rows are never multiplied. Rows without a value do not count.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["draw int, w double, wx double"])
+    every = np.arange(1, draws + 1)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, g in pdf.groupby(keys, dropna=False, sort=False):
+                w, wx = np.zeros(draws), np.zeros(draws)
+                for at in range(0, len(g), 1000):
+                    part = g.iloc[at : at + 1000]
+                    weight = np.searchsorted(POISSON_EDGES, mixed_bits(part[row].to_numpy(), every) / 2.0**32, side="right")
+                    w += weight.sum(axis=0)
+                    wx += part[value].to_numpy(np.float64) @ weight
+                yield pd.DataFrame({**dict(zip(keys, k, strict=True)), "draw": every.astype(np.int32), "w": w, "wx": wx})
+
+    each = df.where(F.col(value).isNotNull()).select(*keys, value, row).mapInPandas(sums, schema)
+    means = each.groupBy(*keys, "draw").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
     return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
-def bonferroni(p: Column, alpha: float = 0.05) -> tuple[Column, Column]:
+def bonferroni(p: Column, tests: Column, alpha: float = 0.05) -> tuple[Column, Column]:
     """p times the number of tests (1 at most), and whether it stays below alpha."""
-    q = F.least(p * F.count(p).over(Window.partitionBy()), F.lit(1.0))
+    q = F.least(p * tests, F.lit(1.0))
     return q, q < alpha
 
 

@@ -36,10 +36,19 @@ def grouped_having(t):
 
 @query("SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id LIMIT 25 OFFSET 50")
 def ordered_page(t):
-    """The third page of 25 in a total order."""
+    """The third page of 25 in a total order."""
     return t("events").select("event_id", "user_id", "value").orderBy(F.desc("value"), "event_id").offset(50).limit(25)
 
 
+@query("""
+WITH p AS (SELECT event_id, user_id, value, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS k, count(*) OVER () AS total FROM events WHERE value IS NOT NULL)
+SELECT event_id, user_id, value, total, ceil(total / 40.0)::BIGINT AS total_pages, ceil(total / 40.0) > 5 AS has_next, true AS has_prev FROM p WHERE k >= 160 AND k < 200""")
+def counted_page(t):
+    """The fifth page of forty in a total order, with what an export says of its pages."""
+    rows, about = sinks.page(t("events").select("event_id", "user_id", "value").where("value is not null"), [F.desc("value"), F.col("event_id")], 5, 40)
+    return rows.select("*", *[F.lit(v).alias(k) for k, v in about.items()])
+
+
 @query("""SELECT user_id, event_type, ts, value, count(*) OVER (PARTITION BY user_id, event_type) AS total FROM events
 WHERE ts >= TIMESTAMP '2024-01-24' AND ts < TIMESTAMP '2024-01-31' AND event_type IN ('click', 'view')""")
 def signal_history(t):
@@ -248,7 +257,16 @@ def united_sources(t):
     return u.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.count("category").alias("with_category"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, ts::VARCHAR AS hit, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+    '{"at":"' || ts::VARCHAR || '","event_id":' || event_id || ',"event_type":"' || event_type || '","value":'
+      || CASE WHEN value IS NULL THEN 'null' WHEN round(value, 8) = floor(value) THEN floor(value)::BIGINT::VARCHAR ELSE round(value, 8)::VARCHAR END || '}' AS body
+  FROM events),
+r AS (
+  SELECT user_id, k, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS entry_hash FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, r.entry_hash, sha256(r.entry_hash || e.body) FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT e.user_id, event_id, hit AS at, event_type, value, prev_hash, entry_hash FROM e JOIN r USING (user_id, k)""")
 def ledger_chain(t):
     """A hash chain over each user's events in order; each entry covers the one before."""
     e = t("events").select("user_id", "event_id", F.col("ts").cast("string").alias("at"), "event_type", "value")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..operators import statistics as st
+from ..sources.tables import settled
 from .registry import query
 
 FORECAST = """f AS (SELECT doc_id, source, lang, least(0.99, greatest(0.01, round(ln(n_chars + 1) / 10.0, 3))) AS p, quality AS hit FROM documents JOIN labels USING (doc_id))"""
@@ -123,22 +123,38 @@ def claims(t):
     return g.withColumn("status", F.when(F.col("sources") >= 3, "confirmed").when(F.col("sources") == 2, "likely").otherwise("single"))
 
 
-@query()
+@query("""
+WITH d AS (SELECT event_type, ts::DATE AS day, round(avg(value), 6) AS v FROM events GROUP BY ALL),
+m AS (SELECT a.event_type AS a, b.event_type AS b, corr(a.v, b.v) AS r, count(*) AS n FROM d a JOIN d b ON a.day = b.day AND a.event_type < b.event_type GROUP BY ALL HAVING count(*) >= 10),
+i AS (
+  SELECT a, b, sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 - pow(r * k / 2000, 2), (n - 4) / 2.0)) * abs(r) / 6000
+    / exp(lgamma(0.5::DOUBLE) + lgamma((n - 2) / 2.0::DOUBLE) - lgamma((n - 1) / 2.0::DOUBLE)) AS half
+  FROM m, range(0, 2001) t(k) GROUP BY a, b, r, n),
+p AS (SELECT m.*, 1 - 2 * half AS p, count(*) OVER () AS tests, atanh(r) AS f, 1.96 / sqrt(n - 3) AS h FROM m JOIN i USING (a, b))
+SELECT a, b, n, round(r, 5) AS r, round(p, 6) AS p, round(least(p * tests, 1.0), 6) AS p_corrected, least(p * tests, 1.0) < 0.05 AS significant, round(tanh(f - h), 5) AS low, round(tanh(f + h), 5) AS high FROM p""")
 def correlation_tests(t):
     """Correlation of daily series with p-values, Bonferroni's correction and Fisher's interval."""
     from .series import daily
     from ..operators.graphs import correlation_matrix
 
-    m = correlation_matrix(daily(t), "event_type", "day", "v", 10).withColumn("p", st.t_p_value(F.col("r"), F.col("n")))
-    q, ok = st.bonferroni(F.col("p"))
+    m = settled(correlation_matrix(daily(t), "event_type", "day", "v", 10).withColumn("p", st.t_p_value(F.col("r"), F.col("n"))), "tests")
+    q, ok = st.bonferroni(F.col("p"), m.agg(F.count("p")).scalar())
     low, high = st.fisher_interval(F.col("r"), F.col("n"))
-    return m.select("a", "b", "n", F.round("r", 5).alias("r"), F.round("p", 6).alias("p"), F.round(q, 6).alias("p_corrected"), ok.alias("significant"), F.round(low, 5).alias("low"), F.round(high, 5).alias("high"))
+    rounded = [F.round("r", 5).alias("r"), F.round("p", 6).alias("p"), F.round(q, 6).alias("p_corrected"), ok.alias("significant"), F.round(low, 5).alias("low"), F.round(high, 5).alias("high")]
+    return m.select("a", "b", "n", *rounded)
 
 
-@query()
+@query(f"""
+WITH x0 AS (SELECT event_type, value, draw, (event_id::UBIGINT * 2654435761 + draw::UBIGINT * 2246822519) % 4294967296 AS x FROM events, range(1, 1001) t(draw) WHERE value IS NOT NULL),
+x1 AS (SELECT * REPLACE ((xor(x, x >> 16) * 2246822507) % 4294967296 AS x) FROM x0), x2 AS (SELECT * REPLACE ((xor(x, x >> 13) * 3266489909) % 4294967296 AS x) FROM x1),
+u AS (SELECT event_type, value, draw, xor(x, x >> 16) / 4294967296.0::DOUBLE AS u FROM x2),
+w AS (SELECT event_type, draw, value, {" + ".join(f"(u >= {e!r})::INT" for e in st.POISSON_EDGES)} AS w FROM u),
+m AS (SELECT event_type, draw, sum(w * value) / sum(w) AS m FROM w GROUP BY ALL)
+SELECT event_type, round(quantile_cont(m, 0.025), 5) AS low, round(quantile_cont(m, 0.975), 5) AS high FROM m GROUP BY 1""")
 def bootstrap_intervals(t):
-    """Bootstrap intervals of means."""
-    return st.bootstrap_mean(t("events"), ["event_type"], "value", "event_id")
+    """Intervals of means from 1,000 draws."""
+    got = st.bootstrap_mean(t("events"), ["event_type"], "value", "event_id")
+    return got.select("event_type", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
