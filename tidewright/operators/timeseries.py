@@ -130,6 +130,13 @@ def ema(df: DataFrame, keys: list[str], value: str, alpha: float, out: str, seed
     return settled(done.select(*df.columns, out).unionByName(early.select(*df.columns, out)), "ema")
 
 
+def last_ema(df: DataFrame, keys: list[str], value: str, alpha: float, out: str, place: str = "_i") -> DataFrame:
+    """(keys, out): where ema() of each key's placed() rows ends. Each row's part depends on its place from the end alone, so the sum combines before the shuffle."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.when(F.col(place) == 0, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("_n") - 1 - F.col(place))
+    return df.join(n, keys).groupBy(*keys).agg(F.sum(F.col(value) * share).alias(out))
+
+
 def clipped(df: DataFrame, keys: list[str], value: str, low: float, high: float, out: str) -> DataFrame:
     """Adds `out`: the value held between its key's sorted values at int(n * low) and int(n * high)."""
     r = placed(df, keys, value, "_rank")

@@ -58,7 +58,7 @@ def cluster_ranks(t):
 @query("""WITH m AS (SELECT user_id, event_type, count(*) AS n, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS recent FROM events GROUP BY ALL), s AS (SELECT user_id, count(*) AS types, sum(n)::BIGINT AS n, sum(recent)::BIGINT AS recent, count(*) FILTER (event_type = 'view') AS news FROM m GROUP BY 1)
 SELECT user_id, round(least(100.0, 12 * types + 5 * log2(n + 1) + 25.0 * recent / n), 5) AS emergence, news = 0 AS stealth FROM s WHERE types >= 2""")
 def emergence(t):
-    """Entities that several kinds of source mention lately."""
+    """Entities that several kinds of source mention lately."""
     e = t("events")
     s = e.groupBy("user_id").agg(F.count_distinct("event_type").alias("types"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") >= F.lit("2024-01-24").cast("timestamp_ntz")).alias("recent"), F.count_if(F.col("event_type") == "view").alias("news"))
     x = 12 * F.col("types") + 5 * F.log2(F.col("n") + 1) + 25.0 * F.col("recent") / F.col("n")

@@ -66,7 +66,7 @@ def calibration_errors(t):
 
 @query(f"""WITH {FORECAST} SELECT coalesce(source, '*') AS source, coalesce(lang, '*') AS lang, count(*) AS n, round(avg(CASE WHEN (p > 0.5) = (hit = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM f GROUP BY GROUPING SETS ((source), (lang), ()) HAVING count(*) >= 5""")
 def accuracy_breakdown(t):
-    """Accuracy by each dimension and overall."""
+    """Accuracy by each dimension and overall."""
     f = forecasts(t).withColumn("ok", F.when((F.col("p") > 0.5) == (F.col("hit") == 1), 1.0).otherwise(0.0)).select("ok", F.explode(F.array(F.struct("source", F.lit("*").alias("lang")), F.struct(F.lit("*").alias("source"), "lang"), F.struct(F.lit("*").alias("source"), F.lit("*").alias("lang")))).alias("g"))
     return f.groupBy("g.source", "g.lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ok"), 6).alias("accuracy")).where("n >= 5")
 
@@ -106,7 +106,7 @@ def beliefs(t):
 @query("""WITH s AS (SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) AS n, date_diff('day', min(ts)::DATE, max(ts)::DATE) AS span, stddev_pop(value) AS sd, avg(value) AS mean FROM events WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY 1)
 SELECT user_id, kinds, CASE WHEN span <= 7 THEN 1.0 WHEN span <= 14 THEN 0.7 ELSE 0.4 END AS alignment, round(kinds / 5.0 * least(1.0, n / 10.0) * (1 + 0.1 * (kinds - 1)), 6) AS validation, round(mean - 1.96 * sd / 2, 5) AS low, round(mean + 1.96 * sd / 2, 5) AS high FROM s""")
 def signal_validation(t):
-    """Coverage, strength and variety of sources, agreement in time, and an interval."""
+    """Coverage, strength and variety of sources, agreement in time, and an interval."""
     e = t("events").where(F.col("ts") >= F.lit("2024-01-24").cast("timestamp_ntz"))
     s = e.groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.count(F.lit(1)).alias("n"), F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))).alias("span"), F.stddev_pop("value").alias("sd"), F.avg("value").alias("mean"))
     span = F.when(F.col("span") <= 7, 1.0).when(F.col("span") <= 14, 0.7).otherwise(0.4)
