@@ -135,6 +135,15 @@ def test_op3_matches_brute_force(spark, crowd):
     assert suffix_dedup.removed_repeats(nothing(spark)).count() == 0
 
 
+def test_op3_buckets_follow_the_bytes(spark, monkeypatch):
+    _, df = corpus(spark, 3)
+    few = suffix_dedup.buckets_for(df)
+    want = sorted(suffix_dedup.removed_repeats(df).collect(), key=str)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 4_000)
+    assert few == int(spark.conf.get("spark.sql.shuffle.partitions")) < suffix_dedup.buckets_for(df)
+    assert sorted(suffix_dedup.removed_repeats(df).collect(), key=str) == want
+
+
 def test_op4_finds_planted_items(spark):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8)))

@@ -29,6 +29,8 @@ from .shingles import mix
 LENGTH, GRAM = 50, 20
 #: Bytes that one suffix array is built of, and occurrences of an anchor whose units are still sorted together.
 PIECE, CROWD = 1 << 18, 12_000
+#: Bytes of text to a bucket: a task holds the anchors of one, so their number follows the input.
+BUCKET = 64 << 20
 #: Bytes of text in a block, unless its one text is longer, and windows that are anchored at a time.
 BLOCK, SEGMENT = 2 << 20, 1 << 16
 _B, _M = np.uint32(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
@@ -427,6 +429,12 @@ def cut(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions, or more where a bucket would have over BUCKET bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+
+
 def removed_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """What is left of documents (doc_id, text; other columns are ignored) without strings of LENGTH bytes that start in a document of smaller doc_id.
 
@@ -435,7 +443,7 @@ def removed_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     at a time, but is held whole by one task. No documents give no rows.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets_for(docs)
     blocks = dealt_table(blocks_of(docs), "block", n, "repeat_blocks")
     release(spark)
     answer = pa.schema([("block", pa.int64()), ("hashes", pa.binary())])
