@@ -75,3 +75,16 @@ def outcome(now: Column, then: Column, percent: float) -> Column:
     """rising, falling or flat by the change in percent; null without a base."""
     change = 100 * F.try_divide(now - then, F.when(then != 0, F.abs(then)))
     return F.when(change >= percent, "rising").when(change <= -percent, "falling").when(change.isNotNull(), "flat")
+
+
+def price_divergence(change: Column, mood: Column, percent: float = 3.0, high: float = 6.5, low: float = 3.5, least: float = 40.0) -> Column:
+    """A price that moves against the mood (0 to 10), as a struct of kind, magnitude and strength; null where they agree, either is unknown or the magnitude is under `least`.
+
+    `change` is in percent. A price and a mood that point apart are price_leads or mood_leads, a flat price under
+    a marked mood is anticipation. Ten points for each percent, 50 at most, and ten for each point of mood from 5 make the magnitude.
+    """
+    up, down, bright, dark = change > percent, change < -percent, mood > high, mood < low
+    kind = F.when(up & dark, "price_leads").when(down & bright, "mood_leads").when(~up & ~down & (bright | dark), "anticipation")
+    size = F.least(F.lit(50.0), F.abs(change) * 10) + 10 * F.abs(mood - 5)
+    strength = F.when(size >= 70, "strong").when(size >= 50, "moderate").otherwise("weak")
+    return F.when(kind.isNotNull() & (size >= least), F.struct(kind.alias("kind"), size.alias("magnitude"), strength.alias("strength")))

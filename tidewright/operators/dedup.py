@@ -154,5 +154,22 @@ def merged(df: DataFrame, group: str, score: str, key: str) -> DataFrame:
     return df.groupBy(group).agg(best.alias("r"), F.count(F.lit(1)).alias("n_merged"), F.sum(score).alias("score_sum")).select(group, "r.*", "n_merged", "score_sum")
 
 
+def merged_ways(df: DataFrame, group: str, key: str, score: str, at: str) -> DataFrame:
+    """(group, strategy, key, score, n_merged): groups of two rows or more merged in four ways.
+
+    `higher_score` and `smart` keep the best-scored row, `recent` the newest, `combined` the least key with the
+    mean score. A null score or time loses to any other, ties go to the least key. Rows without a group are left out. All is one aggregate, combined before the shuffle, so no group is ever held.
+    """
+    lowest = F.lit(float("-inf"))
+    row = F.struct(F.col(key).alias("key"), F.col(score).alias("score"))
+    best = F.max_by(row, F.struct(F.coalesce(score, lowest), -F.col(key)))
+    newest = F.max_by(row, F.struct(F.coalesce(F.col(at).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")), -F.col(key)))
+    n = F.count(F.lit(1)).alias("n_merged")
+    g = df.where(F.col(group).isNotNull()).groupBy(group).agg(best.alias("best"), newest.alias("newest"), F.struct(F.min(key).alias("key"), F.avg(score).alias("score")).alias("mean"), n).where("n_merged > 1")
+    ways = {"higher_score": "best", "recent": "newest", "combined": "mean", "smart": "best"}
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("strategy"), f"{c}.key", f"{c}.score") for w, c in ways.items()]))
+    return g.select(group, each.alias("r"), "n_merged").select(group, "r.strategy", F.col("r.key").alias(key), F.col("r.score").alias(score), "n_merged")
+
+
 def combined_rank(score: Column, age_days: Column, trend: Column) -> Column:
     return 0.4 * score + 0.4 * F.pow(F.lit(0.5), age_days / 7) + 0.2 * trend

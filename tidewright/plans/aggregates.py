@@ -172,7 +172,7 @@ def rolled_up(t):
 rest AS (SELECT doc_id, source, n_chars, 'novelty' AS reason, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS r FROM q WHERE r > 7)
 SELECT doc_id, source, reason FROM top UNION ALL SELECT doc_id, source, reason FROM rest WHERE r <= 3""")
 def quality_and_novelty(t):
-    """The seven best of each source, then three of the rest by another measure."""
+    """The seven best of each source, then three of the rest by another measure."""
     w = lambda *o: F.row_number().over(Window.partitionBy("source").orderBy(*o))
     q = t("documents").select("doc_id", "source", "n_chars").withColumn("r", w(F.desc("n_chars"), "doc_id"))
     rest = q.where("r > 7").withColumn("r", w("n_chars", "doc_id")).where("r <= 3")

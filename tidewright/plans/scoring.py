@@ -27,7 +27,7 @@ def scales(t):
 @query(f"""WITH {PROFILE}, x AS (SELECT user_id, unnest([{{'pair': 'technical_financial', 'a': technical, 'b': financial, 'k': 30.0}}, {{'pair': 'technical_media', 'a': technical, 'b': media, 'k': 25.0}}, {{'pair': 'product_media', 'a': product, 'b': media, 'k': 25.0}}, {{'pair': 'company_financial', 'a': company, 'b': financial, 'k': 20.0}}]) AS s, kinds FROM p)
 SELECT user_id, s.pair AS pair, round(abs(s.a - s.b), 3) AS magnitude, CASE WHEN s.a > s.b THEN 'opportunity' ELSE 'risk' END AS interpretation FROM x WHERE abs(s.a - s.b) >= s.k AND kinds >= 3""")
 def divergences(t):
-    """Pairs of categories that disagree beyond their thresholds."""
+    """C11, Q16, Q20: pairs of categories that disagree beyond their thresholds."""
     pairs = [("technical", "financial", 30.0), ("technical", "media", 25.0), ("product", "media", 25.0), ("company", "financial", 20.0)]
     s = F.array(*[F.struct(F.lit(f"{a}_{b}").alias("pair"), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(k).alias("k")) for a, b, k in pairs])
     x = profiles(t).where("kinds >= 3").select("user_id", F.explode(s).alias("s")).select("user_id", "s.*").withColumn("gap", F.abs(F.col("a") - F.col("b"))).where("gap >= k")
@@ -87,7 +87,7 @@ def bucket_alerts(t):
 @query("""SELECT c_mktsegment, count(*) AS positions, round(sum(l_quantity * p_retailprice), 2) AS worth, round(sum(l_extendedprice * (1 - l_discount)) - sum(l_quantity * p_retailprice), 2) AS gain
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE l_shipdate >= TIMESTAMP '2000-01-01' GROUP BY 1""")
 def portfolio(t):
-    """Positions valued by a price table."""
+    """Positions valued by a price table."""
     l = t("lineitem").where(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     j = l.join(t("orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer").select("c_custkey", "c_mktsegment"), F.col("c_custkey") == F.col("o_custkey")).join(t("part").select("p_partkey", "p_retailprice"), F.col("p_partkey") == F.col("l_partkey"))
     worth = F.sum(F.col("l_quantity") * F.col("p_retailprice"))
