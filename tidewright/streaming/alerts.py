@@ -62,7 +62,7 @@ class AlertStore:
         known, told = F.col("alert_id").isNotNull(), F.col("at").isNotNull()
         raised = known & told & (F.col("new") > F.col("level"))
         sent = told & (~known | raised | (F.col("at") >= F.col("silent_until")))
-        own = F.substring(F.md5(F.concat_ws("|", "bucket", "kind", F.col("at").cast("string")).cast("binary")), 1, 8)
+        own = F.md5(F.concat_ws("|", "bucket", "kind", F.col("at").cast("string")).cast("binary"))  # all of it: parts of a hash meet by chance among many alerts
         both = both.select(
             F.coalesce("alert_id", own).alias("alert_id"), "bucket", "kind", F.coalesce("new", "level").alias("level"), F.coalesce("first_detected", "at").alias("first_detected"),
             F.coalesce("at", "last_updated").alias("last_updated"), (F.coalesce("weeks_persistent", F.lit(0)) + told.cast("int")).alias("weeks_persistent"),
