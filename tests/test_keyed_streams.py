@@ -83,3 +83,24 @@ def test_fan_out_packs_do_not_lose_subscribers(spark, monkeypatch):
     want = {(m, s) for m, e, c, v in [(1, "7", "x", "low"), (2, "7", None, "high"), (3, None, "y", None)] for s, k, t, least in subs
             if rank[v] >= rank[least] and (k == "all" or (k == "entity" and t == e) or (k == "category" and t == c))}
     assert got == want
+
+
+def test_packs_of_keys_share_one_state_and_equal_a_fold(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = sorted({(k, rnd.randrange(300)) for k in [None, *"abcdefghij"] for _ in range(12)}, key=lambda r: (str(r[0]), r[1]))
+    df = levels(spark, [(k, d, 1 + d % 4) for k, d in rows]).select("key", "day", F.col("level").cast("long").alias("n"))
+    kept = keyed.keyed(keyed.dated(df, F.floor(F.datediff("day", F.lit(DAY0)) / 100)), ["key"], "day", keyed.Retention(["key"]), KEPT, packs=2)
+    got, path = keyed.run(kept, "packs")
+    want, newest = [], max(d for _, d in rows)
+    for key in {k for k, _ in rows}:
+        days = [d for k, d in rows if k == key]
+        for d, after in zip(days, [*days[1:], None]):
+            inside = [x for x in days if d - 60 < x <= d]
+            want.append((key, number(d), sum(1 + x % 4 for x in inside), len(inside)))
+            if after is None and d + 60 <= newest or after is not None and after - d > 60:
+                want.append((key, number(d + 60), 0, 0))
+    order = lambda r: (str(r[0]), *r[1:])
+    assert sorted((tuple(r) for r in got.collect()), key=order) == sorted(want, key=order)
+    assert keyed.held(spark, path, "kept").count() <= 3  # two packs and the rows without a key, for eleven keys
