@@ -193,6 +193,18 @@ def test_g12_wide_spreading_equals_the_plain_one(spark, monkeypatch):
     assert seen == {(r.origin, r.node): (r.hop, round(abs(r.impact), 9)) for r in graphs.spread(e, once).collect()}
 
 
+def test_g12_wide_spreading_in_many_groups_and_over_a_node_of_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "LANES", 5)
+    monkeypatch.setattr(graphs, "GROUP_EDGES", 40)
+    rnd, far = random.Random(11), 2**60
+    ends = {(0, k): rnd.uniform(-1, 1) for k in range(1, 601)} | {(k, 601): rnd.uniform(-1, 1) for k in range(1, 601)} | {(601, 602 + k % 7): rnd.uniform(-1, 1) for k in range(30)}
+    e = spark.createDataFrame([(far + a, far + b, round(s, 3), 1) for (a, b), s in ends.items()], "src long, dst long, strength double, lag int")
+    starts = spark.createDataFrame([(k, far + 13 * k, float(k + 1)) for k in range(9)], "origin long, node long, impact double")
+    got, origins = graphs.spread_wide(e, starts)
+    seen = {(r.origin, r.node): (r.hop, round(abs(r.impact), 9)) for r in got.join(origins, "k").collect()}
+    assert seen == {(r.origin, r.node): (r.hop, round(abs(r.impact), 9)) for r in graphs.spread(e, starts).collect()}
+
+
 def test_d13_vectors_match_brute_force(spark):
     rnd = random.Random(1)
     v = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(50)] + [(50, [1.0, 0.0, 0.0, 0.0]), (51, [1.0, 0.0, 0.0, 0.0])]
