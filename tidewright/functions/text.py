@@ -39,19 +39,6 @@ def words(text: Column, least: int = 3) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda w: (F.length(w) >= least) & ~w.isin(*STOP_WORDS))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Windows of n words joined by spaces; the whole text if it is shorter; none for no words."""
-    k = F.size(tokens)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(k - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(k == 0, F.array().cast("array<string>")).otherwise(many)
-
-
-def word_triples(docs: DataFrame) -> DataFrame:
-    """(doc_id, g): the word triples of each text that has words of three letters or digits."""
-    ws = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), lambda w: F.length(w) >= 3)
-    return docs.select("doc_id", ws.alias("ws")).where(F.size("ws") > 0).select("doc_id", ngrams(F.col("ws"), 3).alias("g"))
-
-
 def kind_of(name: Column, kinds: dict[str, tuple[str, ...]], default: str) -> Column:
     """The first kind that has a part of the name, whatever its case; the default for names of none and for null."""
     out = F.lit(default)

@@ -77,7 +77,7 @@ FINGERPRINTS = f"f AS ({ORACLE_SQL['simhash_fingerprints']}), k AS (SELECT doc_i
 SELECT b AS doc_id, min_by(a, (d, a)) AS best, min(d)::INT AS distance FROM p GROUP BY 1""")
 def best_earlier_copy(t):
     """For each text the earlier one whose fingerprint is nearest, within three bits."""
-    f = tables.settled(dedup.simhash(text.word_triples(t("documents")), "doc_id", "g"), "simhash")
+    f = tables.settled(dedup.simhash(t("documents").where("text is not null"), "doc_id", "text"), "simhash")
     each = dedup.near_fingerprints(f, "doc_id")
     # The first of equal texts stands for them: it is the least of its distance.
     return each.groupBy(F.col("b").alias("doc_id")).agg(F.min_by("a", F.struct("distance", "a")).alias("best"), F.min("distance").alias("distance"))
