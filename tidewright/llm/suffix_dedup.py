@@ -333,6 +333,16 @@ def _halves_met(t: np.ndarray, at: np.ndarray, size: np.ndarray, place: np.ndarr
     return met
 
 
+def _pieces(number: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Where to cut units, whose anchors have ascending numbers, so that an anchor's stay together and a piece has PIECE bytes at most, or one anchor."""
+    last = np.flatnonzero(np.append(np.diff(number) != 0, True)) if len(number) else number
+    upto, cuts, k = np.cumsum(size)[last], [0], 0
+    while k < len(last):
+        k = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + PIECE, side="right")))
+        cuts.append(int(last[k - 1]) + 1)
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def _compared(rows: list[dict]) -> Iterator[tuple]:
     """(block, firsts, runs, own): of the block's units by number, the least doc_id of equal ones, and runs of windows that lie in a unit of smaller doc_id, for those that have that least doc_id. OWNs are passed on."""
     yield from ((r["block"], None, None, r["heads"]) for r in rows if r["bodies"] is None)
@@ -361,9 +371,7 @@ def _compared(rows: list[dict]) -> Iterator[tuple]:
     k = one[contested]
     contested = contested[_halves_met(t, begin[k], x["n"][k].astype(np.int64), x["place"][k].astype(np.int64), x["h"][k])]
     runs: dict[int, list[list[int]]] = {}
-    upto = np.cumsum(size[one[contested]] + 1)
-    cut = np.concatenate([[0], np.flatnonzero((np.diff(number[contested]) != 0) & (np.diff(upto // PIECE) != 0)) + 1, [len(contested)]]) if len(contested) else []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
+    for a, b in _pieces(number[contested], size[one[contested]] + 1):
         g = contested[a:b]
         k = one[g]
         for u, hit in zip(g.tolist(), earlier([t[i : i + n].tobytes() for i, n in zip(begin[k].tolist(), size[k].tolist(), strict=True)], first[g]), strict=True):
